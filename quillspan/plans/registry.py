@@ -2,11 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from importlib import import_module
+
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function (session, folder of the tables) under its name, with the SQL that DuckDB runs for it."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return register
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Hybrid retrieval over documents: both ranked lists, fused."""
+    return QUERIES["rrf_fusion"](spark, sf_dir)
+
+
+for _name in ("relational", "ingest", "retrieval", "text", "telemetry"):
+    import_module(f"{__package__}.{_name}")
