@@ -29,5 +29,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["rrf_fusion"](spark, sf_dir)
 
 
-for _name in ("relational", "ingest", "retrieval", "text", "telemetry"):
+for _name in ("relational", "ingest", "retrieval", "text", "telemetry", "documents", "linking", "evaluation"):
     import_module(f"{__package__}.{_name}")
