@@ -41,7 +41,7 @@ def validate(spark: SparkSession, sql: str, tables: set[str], most: int = 50) ->
         return False, f"parse: {str(e).strip().splitlines()[0][:200]}", sql
     tree = plan.toString()
     root = re.match(r"[^A-Za-z]*([A-Za-z]+)", tree)[1]
-    if root not in {"Project", "GlobalLimit", "Sort", "Aggregate", "Distinct", "Union", "Intersect", "Except", "UnresolvedWith", "Filter", "UnresolvedHaving", "WithWindowDefinition"}:
+    if root not in {"Project", "GlobalLimit", "Sort", "Aggregate", "Distinct", "Union", "Intersect", "Except", "CTE", "UnresolvedWith", "Filter", "UnresolvedHaving", "WithWindowDefinition"}:
         return False, f"not a query: {root}", sql
     used = {m.replace("`", "") for m in re.findall(r"UnresolvedRelation \[([^\]]+)\]", tree)}
     named = {n.lower() for n in re.findall(r"(?i)(?:\bwith\s+(?:recursive\s+)?|,\s*)(\w+)(?:\s*\([^()]*\))?\s+as\s*\(", sql)}

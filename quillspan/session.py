@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Rows of a batch between Spark and Python.
+BATCH_ROWS, _BATCH = 512, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def build_session(master: str | None = None, app: str = "quillspan", **conf: str) -> SparkSession:
@@ -28,7 +30,13 @@ def build_session(master: str | None = None, app: str = "quillspan", **conf: str
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application, for the functions that run in their Python."""
+    """Sends this package to the executors, once for each application, for the functions that run in their Python.
+
+    Whole texts go there in batches of ``BATCH_ROWS``, unless the session asks for smaller ones: several batches are
+    held at a time on either side, and the default of 10,000 rows takes hundreds of megabytes.
+    """
+    if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         _shipped.add(app)
