@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quillspan.llm import bpe, decontam, pii, simhash, toxicity
 from quillspan.llm.queries import VOCABULARY
-from quillspan.session import cut, shared_dir, table
+from quillspan.session import cut, shared_dir, ship, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,6 +31,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     groups = simhash.near_duplicates(docs).select("doc_id", "component_id").distinct()
     stay = groups.where(F.col("doc_id").isNull() & F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id")
     kept = docs.join(stay.distinct(), docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
@@ -47,11 +48,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     clean = pii.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else clean
 
 
 def count_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return bpe.digest(docs, VOCABULARY)
 
 

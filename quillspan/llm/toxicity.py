@@ -54,7 +54,7 @@ class Model:
     def word(self, word: str) -> float:
         found = self.words.get(word)
         if found is None:
-            if len(self.words) > 300_000:
+            if len(self.words) > 100_000:
                 self.words.clear()
             found = self.words[word] = sum(self.weights.get(f, 0.0) for f in _features(word))
         return found
@@ -104,7 +104,7 @@ def _count_features(known: DataFrame) -> DataFrame:
             for text, y in zip(frame["text"], frame["y"], strict=True):
                 for f in {f for w in set(WORD.findall((text or "").lower())) for f in _features(w)}:
                     counts.setdefault(f, [0, 0])[y] += 1
-                if len(counts) > 400_000:
+                if len(counts) > 100_000:
                     yield out()
         yield out()
 
