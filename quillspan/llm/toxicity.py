@@ -6,8 +6,9 @@ weights are fitted through the noisy-or, so sentences that explain the label get
 
 Features are whole words and word beginnings. The model is fitted on at most ``PER_CLASS`` labelled
 documents of each label, those whose hashed ids come first: Spark counts in how many of each label a
-feature occurs, and the ``FEATURES`` that tell the labels apart best get weights. Whole texts of all
-documents are scored.
+feature occurs, and the ``FEATURES`` that tell the labels apart best get weights, if they differ by
+``LEAST_GAP`` standard errors or more. A sentence's distinct words count once each. Whole texts of
+all documents are scored.
 
 Cases: a null or empty text has no sentence, its score is the noisy-or of nothing plus the label
 noise; rows with a null label or id aren't learnt from; an id with several rows is learnt from
@@ -32,6 +33,10 @@ from .rows import with_columns
 
 #: Features kept, documents of each label that weights are fitted on, and the least documents that a feature must be in.
 FEATURES, PER_CLASS, LEAST_DOCS = 4096, 6000, 4
+#: Standard errors, were the labels alike, that a feature's shares of them must differ by: few of 100,000 features do by chance.
+LEAST_GAP = 4.0
+#: Weight of the squared weights in the fit.
+PENALTY = 5e-4
 #: Share of labels taken to be wrong.
 NOISE = 0.02
 PREFIXES = (4, 5, 6, 7)
@@ -64,7 +69,7 @@ class Model:
         found, at, known = [], 0, self.word
         bounds = [*[(m.start(), m.end()) for m in SENTENCE.finditer(text or "")], (len(text or ""), 0)]
         for end, after in bounds:
-            hits = [w for w in map(known, WORD.findall(text[at:end].lower())) if w] if text else []
+            hits = [w for w in map(known, dict.fromkeys(WORD.findall(text[at:end].lower()))) if w] if text else []
             if hits:
                 found.append((1 / (1 + np.exp(-np.clip(sum(hits) + self.bias, -30, 30))), at, end))
             at = after
@@ -132,7 +137,7 @@ def _fit(bags: list[tuple[int, list[list[int]]]], size: int, start: np.ndarray)
         q = NOISE + (1 - 2 * NOISE) * (1 - clean)
         slope = balance * (q - y) / (q * (1 - q)) * (1 - 2 * NOISE) * clean / len(y)  # by -log_clean
         by_z = slope[owner] * p  # d(-log(1-p))/dz = p
-        grad = np.append(np.bincount(cols, by_z[rows], size) + 1e-4 * w, by_z.sum() + 1e-3 * (bias + 4))
+        grad = np.append(np.bincount(cols, by_z[rows], size) + PENALTY * w, by_z.sum() + 1e-3 * (bias + 4))
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         w, bias = w - move[:-1], min(bias - move[-1], -2.0)
@@ -147,14 +152,15 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column | None = None, id_co
     if not totals["n0"] or not totals["n1"]:
         return Model({}, -30.0)
     rate = lambda c: (F.col(c) + 0.5) / (totals[c] + 1.0)
-    gap = F.abs(rate("n1") - rate("n0")) / F.sqrt(rate("n1") * (1 - rate("n1")) / totals["n1"] + rate("n0") * (1 - rate("n0")) / totals["n0"])
-    best = counts.select("feature", gap.alias("gap"), F.log(rate("n1") / rate("n0")).alias("odds")).orderBy(F.desc("gap"), "feature").limit(FEATURES).collect()
+    alike = (F.col("n0") + F.col("n1") + 1.0) / (totals["n0"] + totals["n1"] + 2.0)
+    gap = F.abs(rate("n1") - rate("n0")) / F.sqrt(alike * (1 - alike) * (1 / totals["n1"] + 1 / totals["n0"]))
+    best = counts.select("feature", gap.alias("gap"), F.log(rate("n1") / rate("n0")).alias("odds")).where(F.col("gap") >= LEAST_GAP).orderBy(F.desc("gap"), "feature").limit(FEATURES).collect()
     number = {r["feature"]: n for n, r in enumerate(best)}
     def bags(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for text in frame["text"]:
-                parts = [sorted({number[f] for w in WORD.findall(s.lower()) for f in _features(w) if f in number}) for s in SENTENCE.split(text or "")]
+                parts = [sorted(number[f] for w in set(WORD.findall(s.lower())) for f in _features(w) if f in number) for s in SENTENCE.split(text or "")]
                 rows.append(" ".join(",".join(map(str, p)) for p in parts if p))
             yield pd.DataFrame({"y": frame["y"], "bag": rows})
 

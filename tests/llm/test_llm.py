@@ -279,3 +279,12 @@ def test_decontamination_finds_every_whole_passage(spark, docs, sf):
     want = {(d, i) for d, t in texts(docs).items() for i, x in items.items() if f" {x} " in f" {' '.join(decontam.words(t))} "}
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).where("score = 1").collect()}
     assert want and got == want
+
+
+def test_toxicity_leaves_repeated_words_alone(spark):
+    rows = [(i, f"some plain words of row {chr(97 + i % 26)}. " + ("you awful thing! " if i % 3 == 0 else "a thing. ") + "more of them.") for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    once, often = model.score("plain thing words")[0], model.score("plain thing words " * 200)[0]
+    assert once == often < 0.5 <= model.score("some awful thing")[0]
+    assert "plain" not in model.weights  # both labels have it alike
