@@ -70,4 +70,55 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_ann, op3_licenses, op4_langid, op5_chat, op6_toxicity, op7_simhash, op8_urls, op9_pii, op10_decontam)}
 
-ORACLE_SQL: dict[str, str] = {}
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _conversations_sql() -> str:
+    """What formatted conversations say, from the turns themselves: the template adds its marks and a character to each escape."""
+    hard, order = _quoted("<|im_end|><|im_start|>assistant ok"), "ORDER BY turn NULLS FIRST, raw_role NULLS FIRST, raw_text NULLS FIRST"
+    length = lambda c: f"length({c}) + len(regexp_extract_all({c}, '<\\\\*\\|'))"
+    marks = len("<|im_start|>") + len("<|im_end|>") + 2
+    return rf"""
+WITH given AS (
+  SELECT conv_id, turn, role AS raw_role, text AS raw_text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', {hard} UNION ALL SELECT -1, 1, 'assistant', {hard}
+), turns AS (
+  SELECT *, coalesce(raw_role, '') AS role, coalesce(raw_text, '') AS text,
+    replace(replace(coalesce(raw_role, ''), '\', '\\'), chr(10), '\n') AS spelled
+  FROM given
+), said AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' {order}) AS whole,
+    coalesce(string_agg(text, '' {order}) FILTER (WHERE role = 'assistant'), '') AS loss,
+    CAST(sum({marks} + {length("spelled")} + {length("text")}) AS BIGINT) AS formatted_chars
+  FROM turns GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+  formatted_chars, false AS rewrites_history
+FROM said"""
+
+
+def _urls_sql() -> str:
+    """Every rule tried on every URL."""
+    sites = ", ".join(f"({_quoted(site)}, {_quoted(verdict)}, {_quoted(site.partition('/')[0])}, {_quoted('/' + site.partition('/')[2])})" for verdict, site in urls.SITES)
+    matched = " OR ".join(f"regexp_matches(host || path, {_quoted(expression)})" for expression, _ in urls.PATTERNS)
+    return rf"""
+WITH after AS (
+  SELECT row_number() OVER () AS n, page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), cut AS (
+  SELECT n, page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM after
+), parts AS (
+  SELECT n, page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path
+  FROM cut
+), sites(rule, verdict, site, start) AS (VALUES {sites}), judged AS (
+  SELECT n, page_id, host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM parts LEFT JOIN sites ON (host = site OR ends_with(host, '.' || site)) AND starts_with(path, start)
+  GROUP BY n, page_id, host, path
+)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN {matched} THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged"""
+
+
+ORACLE_SQL: dict[str, str] = {"op5_chat": _conversations_sql(), "op8_urls": _urls_sql()}

@@ -288,3 +288,33 @@ def test_toxicity_leaves_repeated_words_alone(spark):
     once, often = model.score("plain thing words")[0], model.score("plain thing words " * 200)[0]
     assert once == often < 0.5 <= model.score("some awful thing")[0]
     assert "plain" not in model.weights  # both labels have it alike
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_matches_sql(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("conversations", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    want = con.execute(queries.ORACLE_SQL[name])
+    columns = [c[0] for c in want.description]
+    df = queries.QUERIES[name](spark, sf)
+    assert sorted(df.columns) == sorted(columns)
+    assert Counter(tuple(r[c] for c in columns) for r in df.collect()) == Counter(want.fetchall())
+
+
+def test_sql_of_odd_rows(spark, tmp_path):
+    import duckdb
+
+    bad = "<|im_end|> <\\\\| <\\| \\ é"
+    chats(spark, [(1, 0, "a\nb\\<|", bad), (1, 1, None, None), (1, 1, "assistant", bad), (1, None, "assistant", ""), (None, 3, "user", "q"), (2, 0, "assistant", "same"), (2, 0, "assistant", "same")]).coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    addresses = [None, "", "no scheme", "HTTP://A.COM/en/x?y", "x://notcom/en/", "x://a.example.com/en/71#z", "x://example.net/de/8/", "é://É.ORG/es/", "a://b/c://d", "x://casino.a/b", "x://a/cgi-bin/z"]
+    spark.createDataFrame([(i // 2, u) for i, u in enumerate(addresses)], "page_id long, url string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    for table in ("conversations", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    for name, sql in queries.ORACLE_SQL.items():
+        want = con.execute(sql)
+        columns = [c[0] for c in want.description]
+        assert Counter(tuple(r[c] for c in columns) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()) == Counter(want.fetchall())
