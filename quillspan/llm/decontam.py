@@ -1,11 +1,12 @@
 """Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
 
 Words are lower-cased runs of letters and digits. One pass over the documents keeps, of each, the
-windows around its n-grams that occur in the benchmark. The number of windows' documents with an
-n-gram is its frequency; of each item, the rarer half of its n-grams are its seeds (ties in), so an
-item that is copied everywhere still has seeds. Windows and items join on seeds. Distinct pairs of
-window and item are then aligned word by word: a match scores 2, a changed, left out or added word
-costs 1. The score of a pair is the alignment's share of the item's full score.
+windows around its n-grams that occur in the benchmark. The number of windows with an n-gram is its
+frequency. An item's n-grams that no document has can't be seeds; of the others, those are that at
+most ``RARE`` of the documents have (or ``FEW`` of them), and the rarer half (ties in) whatever
+their frequency, so an item that is copied everywhere still has seeds. Windows and items join on
+seeds. Distinct pairs of window and item are then aligned word by word: a match scores 2, a changed,
+left out or added word costs 1. The score of a pair is the alignment's share of the item's full score.
 
 Cases: items without a word, and null texts on either side, match nothing; an item shorter than an
 n-gram is one n-gram of its own length; items of equal text match alike; repeated documents and ids
@@ -28,6 +29,8 @@ from ..session import cut
 
 #: Words of an n-gram, words of slack around a window's n-grams, and the least score of a contaminated pair.
 N, SLACK, LEAST_SCORE = 5, 24, 0.5
+#: Share of the documents, and number of them, up to which an n-gram is rare.
+RARE, FEW = 0.001, 100
 #: Hashed n-grams shared with the executors at a time.
 GRAMS = 2_000_000
 WORD = re.compile(r"[^\W_]+")
@@ -146,9 +149,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
     stretch = cut(stretch.withColumn("window", F.monotonically_increasing_id()))
     hit = stretch.select("window", "copies", F.explode("hits").alias("gram"))
     frequency = hit.groupBy("gram").agg(F.sum("copies").alias("df"))
-    rank = Window.partitionBy("item_id")
-    seeds = items.select("item_id", F.explode("grams").alias("gram")).join(frequency, "gram", "left").fillna(0, ["df"])
-    seeds = seeds.withColumn("place", F.rank().over(rank.orderBy("df"))).withColumn("all", F.count("*").over(rank)).where(F.col("place") <= F.ceil(F.col("all") / 2)).select("gram", "item_id")
+    rank, rare = Window.partitionBy("item_id"), max(FEW, int(RARE * docs.count()))
+    seeds = items.select("item_id", F.explode("grams").alias("gram")).join(frequency, "gram")
+    seeds = seeds.withColumn("place", F.rank().over(rank.orderBy("df"))).withColumn("all", F.count("*").over(rank))
+    seeds = seeds.where((F.col("df") <= rare) | (F.col("place") <= F.ceil(F.col("all") / 2))).select("gram", "item_id")
     pairs = hit.join(seeds, "gram").select("window", "item_id").distinct()
     both = pairs.join(items.select("item_id", "item"), "item_id").join(stretch.select("window", "words"), "window")
 

@@ -248,12 +248,16 @@ def test_decontamination(spark, odd):
     item = [f"w{i}" for i in range(40)]
     edited = [*item[:9], "new", *item[10:19], *item[20:29], "more", "words", *item[29:]]
     third = [w if i % 4 else f"other{i}" for i, w in enumerate(item)]
+    sixth = [w if i % 6 != 5 else f"other{i}" for i, w in enumerate(item)]
     pad = " ".join(f"p{i}" for i in range(300))
     rows = [(1, f"{pad} {' '.join(item)} {pad}"), (2, f"{pad} {' '.join(edited)}"), (3, pad), (4, " ".join(item[:8])), (5, None), (6, " ".join(item).upper()), (6, " ".join(item)), (None, " ".join(item)), (7, " ".join(third))]
+    alone = spark.createDataFrame([(8, f"{pad} {' '.join(sixth)} {pad}"), (9, pad)], "doc_id long, text string")
     bench = spark.createDataFrame([(10, " ".join(item)), (11, None), (12, ""), (13, "tiny item"), (None, "x"), (10, " ".join(item))], "item_id long, text string")
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit(1)).withColumn("item_id", F.lit(9)).withColumn("words", F.lit(1))
     got = {(r.doc_id, r.item_id): round(r.score, 3) for r in decontam.contaminated(df, bench).collect()}
     assert set(got) == {(1, 10), (2, 10), (6, 10), (None, 10)} and got[1, 10] == got[6, 10] == 1.0
+    # few of the item's n-grams are left, and no document has the others
+    assert [(r.doc_id, r.item_id, r.score) for r in decontam.contaminated(alone, bench).collect()] == [(8, 10, 0.775)]
     first = decontam.contaminated(df, bench).where("doc_id = 1").first()
     assert (first.first_word, first.last_word) == (300, 339)
     assert decontam.contaminated(odd, bench).count() == 0 and decontam.contaminated(df.limit(0), bench).count() == 0 and decontam.contaminated(df, bench.limit(0)).count() == 0
