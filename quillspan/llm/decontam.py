@@ -12,13 +12,15 @@ Cases: items without a word, and null texts on either side, match nothing; an it
 n-gram is one n-gram of its own length; items of equal text match alike; repeated documents and ids
 give a row for each id; documents with a null id are reported under null; empty tables give empty
 ones; other columns are ignored. The benchmark is shared with the executors as a table of
-hashed n-grams, at most ``GRAMS`` of them; a larger benchmark is passed in parts.
+hashed n-grams, of about ``PART_CHARS`` characters of text; a larger benchmark is gone through in parts,
+each with all of its items' rows, and a pass over the documents for each.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,8 @@ from ..session import cut
 N, SLACK, LEAST_SCORE = 5, 24, 0.5
 #: Share of the documents, and number of them, up to which an n-gram is rare.
 RARE, FEW = 0.001, 100
-#: Hashed n-grams shared with the executors at a time.
-GRAMS = 2_000_000
+#: Characters of the benchmark whose hashed n-grams are shared with the executors at a time.
+PART_CHARS = 8_000_000
 WORD = re.compile(r"[^\W_]+")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -79,9 +81,6 @@ def align(doc: list[str], item: list[str]) -> tuple[float, int, int]:
 def item_grams(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, dict[str, int], set[int]]:
     """Items with their words and hashed n-grams; the numbers of the benchmark's words; the lengths of n-grams in it."""
     rows = benchmark.select(benchmark[id_col].cast("long").alias("item_id"), benchmark[text_col].alias("text")).where("item_id is not null and text is not null").distinct()
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size > 8 * GRAMS:
-        raise ValueError("pass the benchmark in parts")
     numbers: dict[str, int] = {}
     out, lengths = [], set()
     for r in rows.orderBy("item_id", "text").collect():
@@ -137,6 +136,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
     """``doc_id``, ``item_id``, ``score``, ``first_word`` and ``last_word`` (of the document's words, from 0) of the best
     alignment of each pair that scores ``least`` or more.
     """
+    columns = (id_col, text_col, item_col, item_text)
+    size = benchmark.agg(F.sum(F.length(item_text).cast("long"))).first()[0] or 0
+    parts = max(1, -(-size // PART_CHARS))
+    part = F.pmod(F.xxhash64(benchmark[item_col]), F.lit(parts))
+    return reduce(DataFrame.unionByName, [_contaminated(docs, benchmark.where(part == n) if parts > 1 else benchmark, least, *columns) for n in range(parts)])
+
+
+def _contaminated(docs: DataFrame, benchmark: DataFrame, least: float, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame:
+    """The same for a part of a benchmark that is shared as a whole."""
     items, numbers, lengths = item_grams(benchmark, item_col, item_text)
     items = cut(items)
     grams = np.array(sorted({g for r in items.select("grams").toLocalIterator() for g in r["grams"]}), np.int64)

@@ -263,6 +263,14 @@ def test_decontamination(spark, odd):
     assert decontam.contaminated(odd, bench).count() == 0 and decontam.contaminated(df.limit(0), bench).count() == 0 and decontam.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_in_parts_is_the_same(spark, docs, sf, monkeypatch):
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    whole = sorted(map(tuple, decontam.contaminated(docs, bench).collect()))
+    size = bench.agg(F.sum(F.length("text"))).first()[0]
+    monkeypatch.setattr(decontam, "PART_CHARS", size // 2)
+    assert whole and sorted(map(tuple, decontam.contaminated(docs, bench).collect())) == whole
+
+
 def test_alignment_against_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(200):
