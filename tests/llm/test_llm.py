@@ -244,6 +244,16 @@ def test_pii_redacts(spark):
     assert Counter(got) == Counter([(1, "é [EMAIL], [PHONE]!"), (2, None), (3, "plain"), (1, "é [EMAIL], [PHONE]!")])
 
 
+def test_chat_renders_all_turns_before_if_asked(spark):
+    def second_goes(turns):
+        """Drops the second turn once there are twelve."""
+        return "".join(f"[{r}]{t};" for n, (r, t) in enumerate(turns) if n != 1 or len(turns) < 12)
+
+    df = spark.createDataFrame([(1, n, "user", f"text {n}") for n in range(14)], "conv_id long, turn long, role string, text string")
+    found = lambda context: [r.n for r in chat.format_turns(df, second_goes, context=context).where("rewrites").collect()]
+    assert found(None) == [11] and found(6) == []
+
+
 def test_decontamination(spark, odd):
     item = [f"w{i}" for i in range(40)]
     edited = [*item[:9], "new", *item[10:19], *item[20:29], "more", "words", *item[29:]]
