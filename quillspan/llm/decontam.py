@@ -1,38 +1,37 @@
-"""Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
+"""Benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
 
 Words are lower-cased runs of letters and digits. One pass over the documents keeps, of each, the
-windows around its n-grams that occur in the benchmark. The number of windows with an n-gram is its
-frequency. An item's n-grams that no document has can't be seeds; of the others, those are that at
-most ``RARE`` of the documents have (or ``FEW`` of them), and the rarer half (ties in) whatever
-their frequency, so an item that is copied everywhere still has seeds. Windows and items join on
-seeds. Distinct pairs of window and item are then aligned word by word: a match scores 2, a changed,
-left out or added word costs 1. The score of a pair is the alignment's share of the item's full score.
+windows around its n-grams that occur in the benchmark, with the items that have one of them: every
+n-gram is a seed, however many documents have it, so a pair that shares one is never left out. Equal
+windows are taken once. A window and an item with too few words in common to score ``least`` are
+passed over; all other pairs are aligned word by word: a match scores 2, a changed, left out or added
+word costs 1. The score of a pair is the alignment's share of the item's full score.
 
 Cases: items without a word, and null texts on either side, match nothing; an item shorter than an
 n-gram is one n-gram of its own length; items of equal text match alike; repeated documents and ids
 give a row for each id; documents with a null id are reported under null; empty tables give empty
 ones; other columns are ignored. The benchmark is shared with the executors as a table of
-hashed n-grams, of about ``PART_CHARS`` characters of text; a larger benchmark is gone through in parts,
+hashed n-grams and their items, of about ``PART_CHARS`` characters of text; a larger benchmark is gone through in parts,
 each with all of its items' rows, and a pass over the documents for each.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
 
 #: Words of an n-gram, words of slack around a window's n-grams, and the least score of a contaminated pair.
 N, SLACK, LEAST_SCORE = 5, 24, 0.5
-#: Share of the documents, and number of them, up to which an n-gram is rare.
-RARE, FEW = 0.001, 100
 #: Characters of the benchmark whose hashed n-grams are shared with the executors at a time.
 PART_CHARS = 8_000_000
 WORD = re.compile(r"[^\W_]+")
@@ -78,30 +77,47 @@ def align(doc: list[str], item: list[str]) -> tuple[float, int, int]:
     return best[0] / (2 * len(b)), best[1], best[2]
 
 
-def item_grams(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, dict[str, int], set[int]]:
-    """Items with their words and hashed n-grams; the numbers of the benchmark's words; the lengths of n-grams in it."""
-    rows = benchmark.select(benchmark[id_col].cast("long").alias("item_id"), benchmark[text_col].alias("text")).where("item_id is not null and text is not null").distinct()
-    numbers: dict[str, int] = {}
-    out, lengths = [], set()
-    for r in rows.orderBy("item_id", "text").collect():
-        ws = words(r["text"])
-        if ws:
+class Items:
+    """A benchmark's items: ids, the word lists of each, its words' numbers, the n-grams' hashes in order and the places in ``ids`` of each n-gram's items."""
+
+    def __init__(self, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"):
+        rows = benchmark.select(benchmark[id_col].cast("long").alias("item_id"), benchmark[text_col].alias("text")).where("item_id is not null and text is not null").distinct()
+        self.ids: list[int] = []
+        self.texts: list[list[list[str]]] = []
+        self.numbers: dict[str, int] = {}
+        self.lengths: list[int] = []
+        owners: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
+        for r in rows.orderBy("item_id", "text").collect():
+            ws = words(r["text"])
+            if not ws:
+                continue
+            if not self.ids or self.ids[-1] != r["item_id"]:
+                self.ids.append(r["item_id"])
+                self.texts.append([])
+            if ws not in self.texts[-1]:
+                self.texts[-1].append(ws)
             n = min(N, len(ws))
-            lengths.add(n)
-            ids = np.array([numbers.setdefault(w, len(numbers) + 1) for w in ws])
-            out.append((r["item_id"], " ".join(ws), sorted(set(_hashes(ids, n).view(np.int64).tolist()))))
-    return benchmark.sparkSession.createDataFrame(out, "item_id long, item string, grams array<long>"), numbers, lengths
+            self.lengths = sorted({*self.lengths, n})
+            grams = np.unique(_hashes(np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in ws]), n).view(np.int64))
+            owners.append(np.stack([grams, np.full(len(grams), len(self.ids) - 1)]))
+        pairs = np.unique(np.concatenate(owners, axis=1), axis=1)
+        self.grams, first = np.unique(pairs[0], return_index=True)
+        self.owners, self.first = pairs[1], np.r_[first, pairs.shape[1]]
+        self.longest = max((len(ws) for texts in self.texts for ws in texts), default=0)
 
+    def having(self, places: np.ndarray) -> list[int]:
+        """Places in ``ids`` of the items that have one of the n-grams at ``places``."""
+        return np.unique(np.concatenate([self.owners[self.first[g] : self.first[g + 1]] for g in np.unique(places).tolist()])).tolist()
 
-def windows(docs: DataFrame, grams: np.ndarray, numbers: dict[str, int], lengths: set[int], longest: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``start`` (a word), ``words`` and ``hits`` (hashed n-grams of the benchmark) of each stretch around hits."""
-    shared = docs.sparkSession.sparkContext.broadcast((grams, numbers, sorted(lengths)))
+
+def windows(docs: DataFrame, shared: Broadcast, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``start`` (a word), ``words`` and ``items`` (places in the shared ``Items``) of each stretch around n-grams of the benchmark."""
     small = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     kind = small.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, number, sizes = shared.value
-        get = number.get
+        items = shared.value
+        known, get, sizes, longest = items.grams, items.numbers.get, items.lengths, items.longest
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -114,7 +130,7 @@ def windows(docs: DataFrame, grams: np.ndarray, numbers: dict[str, int], lengths
                         h = _hashes(ids, n)[inside].view(np.int64)
                         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                         ok = known[at] == h
-                        hits += [np.stack([inside[ok], h[ok]])]
+                        hits += [np.stack([inside[ok], at[ok]])]
                 found = np.concatenate(hits, axis=1) if hits else np.zeros((2, 0), np.int64)
                 found = found[:, np.argsort(found[0], kind="stable")]
                 i = 0
@@ -123,13 +139,13 @@ def windows(docs: DataFrame, grams: np.ndarray, numbers: dict[str, int], lengths
                     while j < found.shape[1] and found[0, j] - found[0, j - 1] <= longest and found[0, j] - found[0, i] <= 4 * longest:
                         j += 1
                     a, b = max(0, int(found[0, i]) - longest - SLACK), min(len(ws), int(found[0, j - 1]) + longest + SLACK)
-                    rows.append((doc.as_py(), a, " ".join(ws[a:b]), sorted(set(found[1, i:j].tolist()))))
+                    rows.append((doc.as_py(), a, " ".join(ws[a:b]), items.having(found[1, i:j])))
                     i = j
             columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-            kinds = [batch.schema.field(0).type, pa.int64(), pa.string(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "words", "hits"])
+            kinds = [batch.schema.field(0).type, pa.int64(), pa.string(), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "words", "items"])
 
-    return small.mapInArrow(run, f"doc_id {kind}, start long, words string, hits array<long>")
+    return small.mapInArrow(run, f"doc_id {kind}, start long, words string, items array<int>")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -145,33 +161,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
 
 def _contaminated(docs: DataFrame, benchmark: DataFrame, least: float, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame:
     """The same for a part of a benchmark that is shared as a whole."""
-    items, numbers, lengths = item_grams(benchmark, item_col, item_text)
-    items = cut(items)
-    grams = np.array(sorted({g for r in items.select("grams").toLocalIterator() for g in r["grams"]}), np.int64)
-    longest = items.agg(F.max(F.size(F.split("item", " ")))).first()[0] or 0
-    if not len(grams):
-        grams = np.zeros(1, np.int64)
-    seen = cut(windows(docs, grams, numbers, lengths, longest, id_col, text_col).withColumn("key", F.xxhash64("words", "hits")))
-    # copies of a window are aligned once
-    stretch = seen.groupBy("key", "words", "hits").agg(F.count("*").alias("copies"))
-    stretch = cut(stretch.withColumn("window", F.monotonically_increasing_id()))
-    hit = stretch.select("window", "copies", F.explode("hits").alias("gram"))
-    frequency = hit.groupBy("gram").agg(F.sum("copies").alias("df"))
-    rank, rare = Window.partitionBy("item_id"), max(FEW, int(RARE * docs.count()))
-    seeds = items.select("item_id", F.explode("grams").alias("gram")).join(frequency, "gram")
-    seeds = seeds.withColumn("place", F.rank().over(rank.orderBy("df"))).withColumn("all", F.count("*").over(rank))
-    seeds = seeds.where((F.col("df") <= rare) | (F.col("place") <= F.ceil(F.col("all") / 2))).select("gram", "item_id")
-    pairs = hit.join(seeds, "gram").select("window", "item_id").distinct()
-    both = pairs.join(items.select("item_id", "item"), "item_id").join(stretch.select("window", "words"), "window")
+    shared = docs.sparkSession.sparkContext.broadcast(Items(benchmark, item_col, item_text))
+    seen = cut(windows(docs, shared, id_col, text_col).withColumn("key", F.xxhash64("words", "items")))
+    stretch = seen.groupBy("key", "words", "items").count()  # copies of a window are aligned once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = shared.value
         for batch in batches:
-            found = [align(w.split(" "), i.split(" ")) for w, i in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            more = [pa.array([f[n] for f in found], k) for n, k in enumerate((pa.float64(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *more], names=["window", "item_id", "score", "a", "b"])
-
-    scored = both.select("window", "item_id", "words", "item").mapInArrow(run, "window long, item_id long, score double, a long, b long").where(F.col("score") >= least)
-    named = scored.join(stretch.select("window", "key", "words"), "window")
+            rows: list[tuple] = []
+            for key, window, at in zip(*(batch.column(n).to_pylist() for n in range(3)), strict=True):
+                ws = window.split(" ")
+                there = Counter(ws)
+                for i in at:
+                    for item in items.texts[i]:
+                        # a score takes that share of the item's words, in any order, at least
+                        if (there & Counter(item)).total() >= least * len(item):
+                            score, a, b = align(ws, item)
+                            if score >= least:
+                                rows.append((key, window, items.ids[i], score, a, b))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "words", "item_id", "score", "a", "b"])
+
+    named = stretch.select("key", "words", "items").mapInArrow(run, "key long, words string, item_id long, score double, a long, b long")
     back = seen.select("doc_id", "start", "key", "words").join(named, ["key", "words"])
     best = F.max_by(F.struct("score", (F.col("start") + F.col("a")).alias("first_word"), (F.col("start") + F.col("b") - 1).alias("last_word")), F.struct("score", -F.col("start") - F.col("a")))
     return back.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")

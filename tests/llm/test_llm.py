@@ -340,3 +340,15 @@ def test_sql_of_odd_rows(spark, tmp_path):
         want = con.execute(sql)
         columns = [c[0] for c in want.description]
         assert Counter(tuple(r[c] for c in columns) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()) == Counter(want.fetchall())
+
+
+def test_decontamination_finds_an_edited_copy_beside_many_whole_ones(spark):
+    item = [f"w{i}" for i in range(40)]
+    sixth = [w if i % 6 != 5 else f"other{i}" for i, w in enumerate(item)]
+    rows = [(n, f"{' '.join(f'p{n}q{i}' for i in range(80))} {' '.join(item)} end{n}") for n in range(300)] + [(1000, f"start {' '.join(sixth)} end")]
+    other = [*[f"v{i}" for i in range(30)], *item[:5]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(10, " ".join(item)), (11, " ".join(other))], "item_id long, text string")
+    want = {(d, i, decontam.align(decontam.words(t), ws)[0]) for d, t in rows for i, ws in ((10, item), (11, other))}
+    got = {(r.doc_id, r.item_id, r.score) for r in decontam.contaminated(df, bench).collect()}
+    assert got == {x for x in want if x[2] >= decontam.LEAST_SCORE} and (1000, 10, 0.775) in got
