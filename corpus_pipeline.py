@@ -1,21 +1,21 @@
 """A corpus pipeline of five stages over ``documents``; each works on what the stage before kept.
 
 1. toxicity: documents that the model rejects (score of 0.5 or more) go.
-2. near_duplicates: of each group of near-duplicates by SimHash, the document of least id stays.
+2. near_duplicates: of each group of near-duplicates by SimHash, one row stays: that of least id.
 3. decontamination: documents with a copied or edited benchmark passage go.
 4. personal_data: spans of personal data are replaced by their kind.
 5. tokens: a row per document with the number of ids and digests of ids and decoded text.
 
-All but the last return the columns of ``documents``. Documents with a null id are kept or dropped
-by their text alone; in a group of near-duplicates a document with an id goes first, and of rows of
-the same id one stays.
+All but the last return the columns of ``documents``. Rows are told apart by id and text, never by id alone: rows with
+a null id are kept or dropped by their text; in a group of near-duplicates a row with an id goes before one without,
+and of rows of one id that of least digest; different texts of one id stay if they aren't near-duplicates.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm import bpe, decontam, pii, simhash, toxicity
@@ -30,21 +30,31 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("score < 0.5").select(*docs.columns)
 
 
+def digest_of(text: Column) -> Column:
+    """Stands for a text, null included, where decisions on texts are joined to rows."""
+    return F.coalesce(F.md5(text.cast("binary")), F.lit(""))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    groups = simhash.near_duplicates(docs).select("doc_id", "component_id").distinct()
-    stay = groups.where(F.col("doc_id").isNull() & F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id")
-    kept = docs.join(stay.distinct(), docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.md5(F.col("text").cast("binary")))
-    repeated = cut(kept.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
-    once = kept.join(repeated, "doc_id", "left_anti")
-    again = kept.join(repeated, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return once.unionByName(again).select(*docs.columns)
+    digest = digest_of(F.col("text"))
+    groups = simhash.near_duplicates(docs.select(digest.alias("doc_id"), "text")).select(F.col("doc_id").alias("_text"), F.col("component_id").alias("_group")).distinct()
+    least = docs.groupBy(digest.alias("_text")).agg(F.min("doc_id").alias("_id"))  # null if no row of the text has an id
+    first = F.min(F.struct(F.isnull("_id").alias("none"), "_id", "_text")).alias("first")
+    stay = cut(least.join(groups, "_text").groupBy("_group").agg(first).select("first._id", "first._text"))
+    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]) & (digest_of(docs["text"]) == stay["_text"]), "left_semi").withColumn("_text", digest)
+    repeated = cut(kept.groupBy("doc_id", "_text").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("_text").alias("_same")))
+    same = kept["doc_id"].eqNullSafe(repeated["_id"]) & (kept["_text"] == repeated["_same"])
+    once = kept.join(repeated, same, "left_anti")
+    rows = Window.partitionBy("doc_id", "_text").orderBy(F.xxhash64(*docs.columns))
+    again = kept.join(repeated, same, "left_semi").withColumn("_n", F.row_number().over(rows)).where("_n = 1")
+    return once.select(*docs.columns).unionByName(again.select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    hit = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]), "left_anti").select(*docs.columns)
+    texts = docs.select(digest_of(F.col("text")).alias("doc_id"), "text")
+    hit = decontam.contaminated(texts, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_hit")).distinct()
+    return docs.join(hit, digest_of(docs["text"]) == hit["_hit"], "left_anti").select(*docs.columns)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

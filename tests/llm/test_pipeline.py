@@ -75,3 +75,23 @@ def test_odd_rows(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.count() > 0
+
+
+def rows_with_texts(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_near_duplicates_stage_decides_by_row(spark, sf):
+    one, two, three, four, five = (" ".join(f"{c}{i}" for i in range(40)) for c in "vwxyz")
+    rows = [(1, one), (None, one), (None, one), (None, two), (None, two), (None, three), (5, one), (5, four), (6, four), (7, five), (7, five), (7, None), (None, None)]
+    after = corpus_pipeline.drop_near_duplicates(spark, rows_with_texts(spark, rows), sf)
+    want = [(1, one), (None, two), (None, three), (5, four), (7, five), (7, None)]
+    assert Counter((r.doc_id, r.text) for r in after.collect()) == Counter(want)
+
+
+def test_decontamination_stage_decides_by_row(spark, tmp_path):
+    item, clean, other = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyz")
+    spark.createDataFrame([(1, item)], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, item), (None, clean), (None, None), (1, item), (1, clean), (2, other), (2, other), (3, "")]
+    after = corpus_pipeline.drop_contaminated(spark, rows_with_texts(spark, rows), str(tmp_path))
+    assert Counter((r.doc_id, r.text) for r in after.collect()) == Counter(r for r in rows if r[1] != item)
