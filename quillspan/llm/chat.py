@@ -5,11 +5,10 @@ before it are rendered without and with it; if the second output starts with the
 is the turn's span, else the template rewrites history there and the span is what follows the common
 beginning. Rendering the turn with a marker for its text shows what the template puts around a text.
 
-The turns rendered are the conversation's first and the ``CONTEXT`` before the turn, so that a
-conversation of any length takes bounded memory and time in proportion to its turns: it streams
-through its task in the order of turns. For conversations of up to ``CONTEXT`` + 2 turns these are
-all turns before. For a template whose rendering of a turn depends on turns between the first and
-those, ``context=None`` renders all turns before, in time by the square of a conversation's turns.
+All turns before a turn are rendered with it, and each output is kept as the next turn's first half, so
+whether the template rewrites history is settled over the whole conversation, in time by the square of its
+turns. For a template that is known to look back no further, ``context=CONTEXT`` renders the first turn and
+the ``CONTEXT`` before instead: bounded memory and time in proportion to the turns, whatever the length.
 
 Cases: a null role or text is an empty one; turns of one number follow each other by role, then
 text, nulls first; a null turn number comes first; rows without a conversation form one; repeated
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Turns before a turn that are rendered with it, besides the first.
+#: A bound, if asked for, on the turns before a turn that are rendered with it, besides the first.
 CONTEXT = 6
 #: Stands for a text when the template is asked what it puts around one.
 MARK = "\ue000\ue001"
@@ -56,9 +55,11 @@ def parse_im(piece: str) -> Turn:
     return role, unescape(text.removesuffix("<|im_end|>\n"))
 
 
-def locate(window: list[Turn], turn: Turn, template: Callable[[list[Turn]], str]) -> tuple[str, int, int, bool]:
-    """What the template adds for ``turn`` after ``window``, where the text is in it, and whether it rewrote what came before."""
-    before, after = template(window) if window else "", template([*window, turn])
+def locate(window: list[Turn], turn: Turn, template: Callable[[list[Turn]], str], before: str) -> tuple[str, int, int, bool, int, str]:
+    """What the template adds for ``turn`` after ``window``, which gives ``before``; where the text is in it; whether it
+    rewrote what came before; where in the output it begins, and that output.
+    """
+    after = template([*window, turn])
     rewrites = not after.startswith(before)
     start = len(commonprefix([before, after])) if rewrites else len(before)
     piece, marked = after[start:], template([*window, (turn[0], MARK)])
@@ -66,15 +67,15 @@ def locate(window: list[Turn], turn: Turn, template: Callable[[list[Turn]], str]
     head = at - start
     tail = len(marked) - at - len(MARK)
     if at < start or head + tail > len(piece) or after[:at] != marked[:at] or not after.endswith(marked[at + len(MARK) :]):
-        return piece, 0, len(piece), True  # the template changes around the text itself
-    return piece, head, len(piece) - tail, rewrites
+        return piece, 0, len(piece), True, start, after  # the template changes around the text itself
+    return piece, head, len(piece) - tail, rewrites, start, after
 
 
-def format_turns(conversations: DataFrame, template: Callable[[list[Turn]], str] = im_template, loss_roles: tuple[str, ...] = ("assistant",), context: int | None = CONTEXT) -> DataFrame:
+def format_turns(conversations: DataFrame, template: Callable[[list[Turn]], str] = im_template, loss_roles: tuple[str, ...] = ("assistant",), context: int | None = None) -> DataFrame:
     """A row per turn, in order within its partition, which holds whole conversations.
 
     ``conv_id``, ``n`` (from 0), ``role``, ``piece`` (what the template adds for the turn), ``start`` and ``end``
-    (the piece in the conversation's output, in characters), ``loss_start`` and ``loss_end`` (the text of a turn
+    (the piece in the output as of that turn, in characters), ``loss_start`` and ``loss_end`` (the text of a turn
     to learn from, in the same output; null for others), ``rewrites`` (whether the template changed what came before).
     """
     rows = conversations.select(conversations["conv_id"], conversations["turn"], conversations["role"], conversations["text"])
@@ -83,20 +84,24 @@ def format_turns(conversations: DataFrame, template: Callable[[list[Turn]], str]
     names = ["conv_id", "n", "role", "piece", "start", "end", "loss_start", "loss_end", "rewrites"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n, at, window = object(), 0, 0, []
+        own, n, at, window, before = object(), 0, 0, [], ""
         for batch in batches:
             out = {name: [] for name in names}
             for conv, role, text in zip(*(batch.column(i) for i in (0, 2, 3)), strict=True):
                 conv, turn = conv.as_py(), (role.as_py() or "", text.as_py() or "")
                 if conv != own:
-                    own, n, at, window = conv, 0, 0, []
-                piece, a, b, rewrites = locate(window, turn, template)
+                    own, n, at, window, before = conv, 0, 0, [], ""
+                piece, a, b, rewrites, start, after = locate(window, turn, template, before)
+                if context is None:
+                    at = start
                 learn = turn[0] in loss_roles
                 for name, x in zip(names, (conv, n, turn[0], piece, at, at + len(piece), at + a if learn else None, at + b if learn else None, rewrites), strict=True):
                     out[name].append(x)
                 window.append(turn)
                 if context is not None and len(window) > context + 1:
                     del window[1]
+                    after = template(window)
+                before = after
                 n, at = n + 1, at + len(piece)
             kinds = [batch.schema.field(0).type, pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 4, pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(out[c], k) for c, k in zip(names, kinds, strict=True)], names=names)

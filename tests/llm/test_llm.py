@@ -352,3 +352,14 @@ def test_decontamination_finds_an_edited_copy_beside_many_whole_ones(spark):
     want = {(d, i, decontam.align(decontam.words(t), ws)[0]) for d, t in rows for i, ws in ((10, item), (11, other))}
     got = {(r.doc_id, r.item_id, r.score) for r in decontam.contaminated(df, bench).collect()}
     assert got == {x for x in want if x[2] >= decontam.LEAST_SCORE} and (1000, 10, 0.775) in got
+
+
+def test_chat_renders_all_turns_before_by_default(spark):
+    def second_goes(turns):
+        """Drops the second turn once there are twelve."""
+        return "".join(f"[{r}]{t};" for n, (r, t) in enumerate(turns) if n != 1 or len(turns) < 12)
+
+    rows = [(1, n, "user", f"text {n}") for n in range(14)]
+    got = sorted(chat.format_turns(chats(spark, rows), second_goes).collect(), key=lambda r: r.n)
+    assert [r.n for r in got if r.rewrites] == [11]
+    assert all(second_goes([("user", t) for *_, t in rows[: r.n + 1]])[r.start : r.end] == r.piece for r in got)
