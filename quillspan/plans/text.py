@@ -13,6 +13,9 @@ from ..operators.scan import is_write
 from ..session import table
 from .registry import query
 
+#: Blocks that true values are dealt into.
+BLOCKS = 16
+
 
 @query(r"SELECT event_id, try_cast(nullif(regexp_extract(props, '(-?[0-9]+(?:\.[0-9]+)?)', 1), '') AS DOUBLE) AS k FROM events")
 def number_extract(spark: SparkSession, sf: str) -> DataFrame:
@@ -90,17 +93,18 @@ def edit_match(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def nearest_value(spark: SparkSession, sf: str) -> DataFrame:
-    """For misspelt part types the nearest true one by gestalt ratio, which no built-in gives."""
+    """For misspelt part types the nearest true one by gestalt ratio, which no built-in gives: all true ones are compared, in blocks."""
     part = table(spark, sf, "part")
-    true = sorted(r[0] for r in part.select("p_type").where("p_type IS NOT NULL").distinct().limit(1000).collect())
+    true = part.select(F.col("p_type").alias("near")).where("near IS NOT NULL").distinct().withColumn("block", F.pmod(F.xxhash64("near"), F.lit(BLOCKS)))
 
-    @F.pandas_udf("struct<near string, ratio double>")
-    def near(typed: pd.Series) -> pd.DataFrame:
-        best = [max(((difflib.SequenceMatcher(None, x, t).ratio(), t) for t in true), default=(0.0, None)) for x in typed.fillna("")]
-        return pd.DataFrame({"near": [b[1] for b in best], "ratio": [round(b[0], 6) for b in best]})
+    @F.pandas_udf("double")
+    def ratio(typed: pd.Series, near: pd.Series) -> pd.Series:
+        return pd.Series([0.0 if t is None else difflib.SequenceMatcher(None, x, t).ratio() for x, t in zip(typed.fillna(""), near, strict=True)])
 
     typed = part.groupBy(F.expr("concat(substr(p_type, 2), substr(p_type, 1, 1))").alias("typed")).agg(F.count("*").alias("n"))
-    return typed.withColumn("m", near("typed")).select("typed", "n", "m.near", "m.ratio")
+    asked = typed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))))
+    best = asked.join(true, "block", "left").withColumn("ratio", ratio("typed", "near")).groupBy("typed", "n").agg(F.max(F.struct("ratio", "near")).alias("m"))
+    return best.select("typed", "n", "m.near", F.round("m.ratio", 6).alias("ratio"))
 
 
 _ENUMS = [("customer", "c_mktsegment"), ("part", "p_brand"), ("part", "p_type"), ("orders", "o_orderpriority"), ("orders", "o_orderstatus"), ("nation", "n_name"), ("customer", "c_name")]
