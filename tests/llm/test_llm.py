@@ -85,13 +85,56 @@ def test_ann_odd_vectors(spark):
 
 def test_ann_probing_is_complete():
     rng = np.random.default_rng(0)
-    codes = rng.integers(0, 1 << 16, (3000, 8)).astype(np.uint16)
-    codes[:500] = codes[0] ^ (1 << rng.integers(0, 16, (500, 8))).astype(np.uint16)
-    index = ann.Index(codes)
-    for q in codes[::300]:
+    codes = rng.integers(0, 1 << 16, (30_000, ann.PARTS)).astype(np.uint16)
+    for n in range(500):  # codes close to the first
+        for bit in rng.integers(0, ann.BITS, n // 6):
+            codes[n, bit // 16] ^= 1 << int(bit % 16)
+    index, sets = ann.Index(codes), ann.flip_order()
+    for q in codes[:600:50]:
         far = np.bitwise_count(codes ^ q).sum(axis=1)
-        got = index.within(q, 200)
-        assert len(got) >= 200 and set(got) == set(np.flatnonzero(far <= far[got].max()))
+        got, distances = index.within(q, rng.normal(size=ann.BITS), sets)
+        assert set(np.flatnonzero(far < ann.PARTS * (ann.FLIPS + 1))) <= set(got.tolist()) and (distances == far[got]).all()
+
+
+def test_ann_flips_are_all_and_the_least_come_first():
+    sets = ann.flip_order()
+    assert len(np.unique(np.exp2(np.arange(16)) @ sets)) == 1 << 16
+    assert (sets[:, :137].sum(axis=0) <= 2).all() and (sets[:, 137:].sum(axis=0) > 2).all()
+
+
+def test_ann_reads_grow_slower_than_rows():
+    rng, reads = np.random.default_rng(0), []
+    sets, rotation = ann.flip_order(), ann.learn_rotations(rng.normal(size=(4000, 32)))
+    for n in (8_000, 64_000):
+        x = rng.normal(size=(n, 32))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        numbers = x @ rotation
+        index, read, hit = ann.Index(ann.encode(numbers)), [], []
+        for i in range(0, 40):
+            code = ann.encode(numbers[i : i + 1])[0]
+            read.append(len(index.within(code, numbers[i], sets)[0]))
+            at, scores = ann.nearest(index, np.arange(n), x, i, x[i], code, numbers[i], sets, 20)
+            true = np.lexsort((np.arange(n), -(x @ x[i])))[1:21]
+            hit.append(np.isin(true, at).mean())
+            assert (np.diff(scores) <= 0).all() and np.allclose(scores, (x[at] * x[i]).sum(axis=1))
+        assert np.mean(hit) >= 0.9
+        reads.append(np.mean(read))
+    assert reads[1] < 6 * reads[0]
+
+
+def test_ann_order_and_scores_are_exact(spark, sf):
+    vectors, asked = spark.read.parquet(f"{sf}/embeddings.parquet"), F.col("vec_id") % 20 == 0
+    got = {(r.query_id, r["rank"]): r for r in ann.search(vectors, asked, 20).collect()}
+    want = {(r.query_id, r["rank"]): r for r in ann.exact(vectors, asked, 20).collect()}
+    assert got.keys() == want.keys()  # of so few rows all are scored
+    assert all(got[k].vec_id == r.vec_id and got[k].score == pytest.approx(r.score, abs=1e-12) for k, r in want.items())
+
+
+def test_ann_repeated_ids(spark):
+    rows = [(20, [0.0, 1.0]), (20, [1.0, 0.0]), (1, [0.0, 0.5]), (1, [0.0, 2.0]), (2, [0.1, 1.0]), (3, [0.1, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in ann.search(df, F.col("vec_id") % 20 == 0, 3).orderBy("rank").collect()]
+    assert got == [(20, 1, 1, 2.0), (20, 2, 2, 1.0), (20, 3, 3, 1.0)]
 
 
 def test_licenses_base(docs, odd):
