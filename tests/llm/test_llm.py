@@ -338,6 +338,38 @@ def test_alignment_against_brute_force():
         assert again == score
 
 
+def test_alignment_of_many_pairs_is_that_of_each():
+    rng, pairs = np.random.default_rng(1), []
+    for _ in range(300):
+        pairs.append(tuple(["abcdefgh"[i] for i in rng.integers(0, 8, n)] for n in rng.integers(0, 60, 2)))
+    assert decontam.align_many(pairs) == [decontam.align(*p) for p in pairs] and decontam.align_many([]) == []
+
+
+def test_decontamination_finds_a_copy_with_many_words_added(spark):
+    item = [f"w{i}" for i in range(60)]
+    spread = [w for i, x in enumerate(item) for w in ([x, f"new{i}"] if i < 55 else [x])]
+    pad = [f"p{i}" for i in range(400)]
+    df = spark.createDataFrame([(1, " ".join([*pad, *spread, *pad])), (2, " ".join(pad))], "doc_id long, text string")
+    bench = spark.createDataFrame([("first", " ".join(item)), (None, " ".join(pad))], "item_id string, text string")
+    (got,) = decontam.contaminated(df, bench).collect()
+    score, a, b = decontam.align([*pad, *spread, *pad], item)
+    assert (got.doc_id, got.item_id, got.score, got.first_word, got.last_word) == (1, "first", score, a, b - 1) and 0.54 < score < 0.55
+
+
+def test_decontamination_finds_every_pair_that_shares_a_seed(spark, docs, sf):
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    items = {r.item_id: decontam.words(r.text) for r in bench.collect()}
+    grams = lambda ws: set(zip(*(ws[n:] for n in range(min(5, len(ws)))), strict=False))
+    want = {}
+    for d, t in texts(docs).items():
+        ws = decontam.words(t)
+        have = grams(ws)
+        for i, x in items.items():
+            if have & grams(x) and (score := decontam.align(ws, x)[0]) >= decontam.LEAST_SCORE:
+                want[d, i] = score
+    assert {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(docs, bench).collect()} == want
+
+
 def test_decontamination_finds_every_whole_passage(spark, docs, sf):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     items = {r.item_id: " ".join(decontam.words(r.text)) for r in bench.collect()}
