@@ -21,6 +21,47 @@ def license_base(text):
     return len(words), len(at), at[0] if at else None, at[-1] if at else None, ",".join(sorted({x for _, x in places}))
 
 
+def license_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOW))
+
+
+def licenses(text, spec):
+    """Labels, score and spans: each template is laid over the text at every shift."""
+    ws, spans, score = license_words(text), [], 0.0
+    phrases = [(label, license_words(t), True) for label, t in spec.PHRASES.items()]
+    for number, (label, t, exact) in enumerate([*phrases, *((label, license_words(t), False) for label, t in spec.TEMPLATES)]):
+        places = defaultdict(list)
+        for i in range(len(t) - 2):
+            places[tuple(t[i : i + 3])].append(i)
+        lines = defaultdict(list)
+        for pos in range(len(ws) - 2):
+            for i in places.get(tuple(ws[pos : pos + 3]), ()):
+                lines[pos - i].append((pos, i))
+        alone = {d for d, h in lines.items() if exact or len({i + k for _, i in h for k in range(3)}) == len(t)}
+        merged, before = [lines[d] for d in alone], None
+        for shift in sorted(set(lines) - alone):
+            low, high = min(lines[shift])[0], max(lines[shift])[0]
+            if before is None or max(low - before[1], before[0] - high) > spec.GAP or shift - before[2] > spec.DRIFT:
+                merged.append([])
+            merged[-1] += lines[shift]
+            before = low, high, shift
+        for hits in merged:
+            covered = len({i + k for _, i in hits for k in range(3)})
+            first, after = min(p for p, _ in hits), max(p for p, _ in hits) + 3
+            whole = covered == len(t) if exact else covered >= spec.LEAST * len(t) and covered >= spec.LEAST * (after - first)
+            score = max(score, covered / len(t) if whole or not exact else 0.0)
+            if whole:
+                spans.append((first, after, number, label, exact, (len(t) - covered + max(0, after - first - covered), -covered)))
+    found, group, end = [s for s in spans if s[4]], [], 0
+    for s in [*sorted(s for s in spans if not s[4]), (1 << 60, 0, 0, "", False, (0, 0))]:
+        if s[0] >= end:
+            found += [x for x in group if x[5] == min(y[5] for y in group)]
+            group = []
+        group.append(s)
+        end = max(end, s[1])
+    return ",".join(sorted({s[3] for s in found})), round(score, 9), tuple(sorted((s[0], s[1] - 1, s[3]) for s in found))
+
+
 def fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW))
     shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []

@@ -154,6 +154,38 @@ def test_licenses_edited_templates(spark):
     assert got == {1: "bsd", 2: "gpl-3", 3: "", 4: ""}
 
 
+def words_text(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_licenses_repeated_runs_are_no_copy(spark):
+    rows = [(1, "licensed under cc " * 4), (2, "licensed under cc " * 4 + "by 4 0"), (3, "licensed under cc by 4 0 " * 3)]
+    got = {r.doc_id: (r.labels, len(r.spans)) for r in licenses.scan(words_text(spark, rows)).collect()}
+    assert got[1] == ("", 0) and got[2] == ("cc-by", 1) and got[3] == ("cc-by", 3)
+
+
+def test_licenses_with_a_word_added_changed_or_left_out(spark):
+    rows, want = [], {}
+    for n, (label, text) in enumerate(licenses.TEMPLATES):
+        ws = brute.license_words(text)
+        if len(ws) < 9:
+            continue
+        at = len(ws) // 2
+        for k, edited in enumerate(([*ws[:at], "zzz", *ws[at:]], [*ws[:at], "zzz", *ws[at + 1 :]], [*ws[:at], *ws[at + 1 :]], ws)):
+            rows.append((10 * n + k, "before all " + " ".join(edited) + " and after"))
+            want[10 * n + k] = label
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(words_text(spark, rows)).collect()}
+    # a left-out word may turn a notice into another one
+    assert {d: want[d] for d in got if want[d] not in got[d]} == {}
+
+
+def test_licenses_methods_labels(spark, docs, odd):
+    made = words_text(spark, [(n, f"{a} {b} {c}") for n, (a, b, c) in enumerate(zip(*[[t for _, t in licenses.TEMPLATES][k:] + [t for _, t in licenses.TEMPLATES][:k] for k in (0, 1, 5)], strict=True))])
+    for df in (docs, odd, made):
+        want = Counter((r.doc_id, *brute.licenses(r.text, licenses)) for r in df.select("doc_id", "text").collect())
+        assert Counter((r.doc_id, r.labels, round(r.score, 9), tuple((s.first, s.last, s.label) for s in r.spans)) for r in licenses.scan(df).collect()) == want
+
+
 def test_langid(spark, docs, odd):
     known = langid.fit(docs, queries.remainder(4) != 2)
     rows = langid.predict(docs, known).join(docs.select("doc_id", "lang"), "doc_id").where(queries.remainder(4) == 2).collect()
