@@ -3,15 +3,17 @@
 Each language has a codeword. A binary classifier per bit tells the languages with a 1 from those
 with a 0 by byte n-grams: its weights are smoothed log odds of hashed n-grams, counted by Spark over
 all training documents. A text's bits are the classifiers' mean log odds; the language whose codeword
-has the least exponential loss against them wins, and near ties are flagged.
+has the least weighted exponential loss against them wins, and near ties are flagged. The weight of a bit for a
+language is learnt from the same counts: how much likelier than by chance the classifier is right on ``JUDGED``
+n-grams of the language, by the mean and the spread of its log odds there.
 
 Codewords: with up to ``EXHAUSTIVE`` languages, every split of the languages into two groups is a
-bit; beyond, ``32 + 8 * ceil(log2(n))`` splits drawn with a fixed seed.
+bit; beyond, ``32 + 8 * ceil(log2(n))`` splits, of ``DRAWS`` drawn with a fixed seed those whose closest codewords lie farthest apart.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0 and isn't learnt from; rows
 without a language aren't learnt from; with nothing learnt every text is ``und``; with one language
 every text with a letter has it. Ties go to the language that sorts first. Repeated rows keep a row
-each, an empty table gives an empty table, further columns are ignored.
+each, very long texts are read whole in pieces of ``BYTES_AT_ONCE`` characters, an empty table gives an empty table, further columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from .rows import with_columns
 BUCKETS, SIZES, BYTES_AT_ONCE = 1 << 14, (2, 3, 4), 1 << 20
 #: Languages up to which all splits are bits, and the score under which a language is flagged as ambiguous.
 EXHAUSTIVE, CLEAR = 7, 0.6
+#: Sets of codewords that are drawn, and n-grams on which a bit's weight is judged.
+DRAWS, JUDGED = 32, 20
 LETTER = regex.compile(r"\p{L}")
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 
@@ -43,12 +47,27 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
     if n <= EXHAUSTIVE:
         bits = [(1, *rest) for rest in product((1, -1), repeat=n - 1) if -1 in rest]
         return np.array(bits, float).T.reshape(n, len(bits))
-    rng, columns = np.random.default_rng(seed), []
-    while len(columns) < 32 + 8 * math.ceil(math.log2(n)):
-        c = rng.choice([-1.0, 1.0], n)
-        if 1 <= (c > 0).sum() < n:
-            columns.append(c)
-    return np.array(columns).T
+    rng, best, apart = np.random.default_rng(seed), None, -1
+    for _ in range(DRAWS):
+        columns: list[np.ndarray] = []
+        while len(columns) < 32 + 8 * math.ceil(math.log2(n)):
+            c = rng.choice([-1.0, 1.0], n)
+            if 1 <= (c > 0).sum() < n:
+                columns.append(c)
+        code = np.array(columns).T
+        alike = code @ code.T - 2 * code.shape[1] * np.eye(n)
+        if (least := (code.shape[1] - alike.max()) / 2) > apart:
+            best, apart = code, least
+    return best
+
+
+def bit_weights(code: np.ndarray, share: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """A row of weights, of sum 1, for each language's bits; ``share``: of a language's n-grams in each bucket."""
+    mean = share @ weights
+    spread = np.sqrt(np.maximum(share @ weights**2 - mean**2, 1e-12))
+    right = np.array([[0.5 * (1 + math.erf(z / math.sqrt(2))) for z in row] for row in code * mean / spread * math.sqrt(JUDGED)])
+    gain = np.maximum(right - 0.5, 1e-6)
+    return gain / gain.sum(axis=1, keepdims=True)
 
 
 def _grams(text: str) -> Iterator[np.ndarray]:
@@ -67,11 +86,12 @@ def _grams(text: str) -> Iterator[np.ndarray]:
 
 @dataclass
 class Model:
-    """Languages in order, their codewords, and a row of bit weights for each bucket."""
+    """Languages in order, their codewords, a row of log odds for each bucket, and a row of weights of the bits for each language."""
 
     langs: list[str]
     code: np.ndarray
     weights: np.ndarray
+    trust: np.ndarray
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score from 0 to 1, whether it is ambiguous)."""
@@ -84,7 +104,7 @@ class Model:
             total += self.weights[g].sum(axis=0, dtype=np.float64)
             n += len(g)
         margin = np.clip(total / max(n, 1) * min(n, 60), -20, 20)
-        loss = np.exp(-np.clip(self.code * margin / 2, -10, 10)).mean(axis=1)
+        loss = (self.trust * np.exp(-np.clip(self.code * margin / 2, -10, 10))).sum(axis=1)
         weight = 1 / (loss + 1e-12)
         best = int(np.argmin(loss))
         score = float(weight[best] / weight.sum())
@@ -116,11 +136,11 @@ def fit(docs: DataFrame, train: F.Column | None = None, text_col: str = "text",
         for bucket, n in r["n"].items():
             table[i, bucket] = n
     if not langs:
-        return Model([], np.zeros((0, 0)), np.zeros((BUCKETS, 0), np.float32))
+        return Model([], np.zeros((0, 0)), np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0)))
     code = codewords(len(langs))
     share = (table + 0.5) / (table.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)  # languages weigh alike in a bit, however many rows they have
     weights = np.stack([np.log(share[c > 0].mean(axis=0)) - np.log(share[c < 0].mean(axis=0)) for c in code.T], axis=1) if code.size else np.zeros((BUCKETS, 0))
-    return Model(langs, code, weights.astype(np.float32))
+    return Model(langs, code, weights.astype(np.float32), bit_weights(code, share, weights) if code.size else code)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

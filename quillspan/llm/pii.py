@@ -2,15 +2,15 @@
 
 Base entities (e-mail and IP addresses, card and phone numbers) are found by expressions and checks.
 Mentions are all stretches that look like an identifier. A mention that passes a base check, or is a
-long run of hexadecimal digits, seeds its kind. The one to three tokens before a mention are its
+long run of hexadecimal digits, seeds its kind. The one to three tokens before a mention, since the mention before it, are its
 lexical patterns. In rounds, Spark scores the graph of patterns and distinct mentioned values: a
 pattern's confidence in a kind is the share of its values known to be of it, a value's is the noisy-or
-of its confident patterns. Values that come out confident are known in the next round; in the end
-each of their mentions is a span too.
+of its confident patterns. Values that come out confident are known in all later rounds, which go on
+until one finds no further value; in the end each of their mentions is a span too.
 
 Cases: a null text is an empty one; expressions match leftmost and don't overlap within a kind, and a
 match that fails its check is dropped without another try inside it; spans of different kinds may
-overlap; repeated rows and ids keep a row each; an empty table gives an empty table; other columns
+overlap; repeated rows and ids keep a row each; very long texts and tokens are looked at whole; an empty table gives an empty table; other columns
 are ignored. Starts and ends are in code points, ends are exclusive.
 """
 
@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-#: Rounds over the graph, the least values of a pattern, and the least confidence of a pattern and of a value.
-ROUNDS, LEAST_VALUES, PATTERN, VALUE = 2, 3, 0.6, 0.8
-#: Characters looked at for the tokens before a mention.
-BEFORE = 48
+#: The least values of a pattern, and the least confidence of a pattern and of a value.
+LEAST_VALUES, PATTERN, VALUE = 3, 0.6, 0.8
+#: The end of a text, written backwards, that has its last three tokens.
+LAST_TOKENS = r"^\s*+(?:(?:\p{L}++|[^\s\p{L}])\s*+){0,3}+"
 
 #: Kinds in their order, and the expression of each. Runs are possessive and begin where
 #: no match could have begun earlier, so that no text takes more than a time in proportion to its length.
@@ -65,7 +65,7 @@ def _matches(text: Column, kind: str, expression: str, may: Column) -> Column:
     both = F.zip_with(
         F.split(text, expression, -1),
         F.regexp_extract_all(text, F.lit(expression), F.lit(0)),
-        lambda gap, value: F.struct(F.lit(kind).alias("kind"), F.length(gap).alias("gap"), value.alias("value"), (F.right(gap, F.lit(BEFORE)) if kind == "mention" else F.lit(None).cast("string")).alias("before")),
+        lambda gap, value: F.struct(F.lit(kind).alias("kind"), F.length(gap).alias("gap"), value.alias("value"), (F.reverse(F.regexp_extract(F.reverse(gap), LAST_TOKENS, 0)) if kind == "mention" else F.lit(None).cast("string")).alias("before")),
     )
     return F.when(may, F.filter(both, lambda x: x["value"].isNotNull()))
 
@@ -104,23 +104,27 @@ def _patterns(before: Column) -> Column:
     return F.array_compact(F.array(*parts))
 
 
-def discover(mentions: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def discover(mentions: DataFrame) -> DataFrame:
     """``value``, ``kind`` and ``confidence`` of values that confident patterns find, from ``mentions`` (value, before)."""
     edges = mentions.select("value", F.explode(_patterns(F.col("before"))).alias("pattern")).distinct()
-    edges = cut(edges.withColumn("seed", _seed_kind(F.col("value"))))
-    open_values = edges.where(F.col("seed").isNull() & F.col("value").rlike(r"[0-9@].*[0-9@]") & (F.length("value") >= 6)).select("value", "pattern")
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("size")).where(F.col("size") >= LEAST_VALUES)
-    seeds = edges.where(F.col("seed").isNotNull()).select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("confidence")).distinct()
-    known, found = seeds, None
-    for _ in range(rounds):
-        held = edges.select("value", "pattern").join(known, "value").groupBy("pattern", "kind").agg(F.sum("confidence").alias("held"))
-        trusted = held.join(sizes, "pattern").withColumn("trust", F.col("held") / (F.col("size") + 1)).where(F.col("trust") >= PATTERN)
+    # patterns of fewer values are never trusted
+    edges = cut(edges.join(sizes, "pattern").withColumn("seed", _seed_kind(F.col("value"))))
+    open_values = edges.where(F.col("seed").isNull() & F.col("value").rlike(r"[0-9@].*[0-9@]") & (F.length("value") >= 6)).select("value", "pattern")
+    fresh = edges.where(F.col("seed").isNotNull()).select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("confidence")).distinct()
+    held, found = None, None
+    while True:  # a value is found once, so there is a last round
+        more = edges.select("value", "pattern", "size").join(fresh, "value").groupBy("pattern", "size", "kind").agg(F.sum("confidence").alias("held"))
+        held = cut(more if held is None else held.unionByName(more).groupBy("pattern", "size", "kind").agg(F.sum("held").alias("held")))
+        trusted = held.withColumn("trust", F.col("held") / (F.col("size") + 1)).where(F.col("trust") >= PATTERN).select("pattern", "kind", "trust")
         doubt = F.sum(F.log(1 - F.least("trust", F.lit(0.999))))
-        each = open_values.join(trusted, "pattern").groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("confidence"))
+        left = open_values if found is None else open_values.join(found, "value", "left_anti")
+        each = left.join(trusted, "pattern").groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("confidence"))
         best = each.groupBy("value").agg(F.max(F.struct("confidence", "kind")).alias("b")).select("value", "b.kind", "b.confidence")
-        found = cut(best.where(F.col("confidence") >= VALUE))
-        known = seeds.unionByName(found)
-    return found
+        fresh = cut(best.where(F.col("confidence") >= VALUE))
+        found = fresh if found is None else cut(found.unionByName(fresh))
+        if fresh.isEmpty():
+            return found
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

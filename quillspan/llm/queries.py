@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
 from . import ann, bpe, chat, decontam, langid, licenses, pii, simhash, toxicity, urls
 
-#: Where the public vocabulary files are; another place is a parameter of the queries' operators.
-TOKENIZERS = os.environ.get("QUILLSPAN_TOKENIZERS", "/opt/tokenizers")
-VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
+#: The public vocabulary file; another one is a parameter of the queries' operators.
+VOCABULARY = str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def remainder(n: int) -> F.Column:

@@ -10,8 +10,9 @@ longest wins. Where none fits, pattern rules decide: block if any matches, else
 
 Cases: a null URL, or one without ``://``, has an empty host and path and is allowed; a rule without
 tokens is filed under the empty token, which every URL has; rules of one length that fit alike: the
-one that sorts last; repeated rows and ids keep a row each; an empty table gives an empty table;
-other columns are ignored. The rules are a fixed parameter; at most ``MOST_RULES`` are shared.
+one that sorts last; repeated rows and ids keep a row each; very long URLs are judged whole; an empty table of URLs gives an
+empty table, an empty one of rules allows all; other columns are ignored. Rules are a parameter: lists, or a table of any
+size (``rules_table`` tells its columns). Up to ``SHARED_RULES`` of them, counted first, are shared with every task; more are joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rules that may be shared with every task.
-MOST_RULES = 50_000
+#: Rules up to which they are shared with every task.
+SHARED_RULES = 50_000
 
 #: Site rules (verdict, host and path).
 SITES = [
@@ -72,30 +73,36 @@ def tokens(where: Column) -> Column:
 
 
 def rules_table(pages: DataFrame, sites: list[tuple[str, str]], patterns: list[tuple[str, list[str]]]) -> DataFrame:
-    rows = [(site, verdict, site_expression(site), site_tokens(site) or [""], len(site)) for verdict, site in sites]
-    rows += [(None, "block", expression, literal or [""], 0) for expression, literal in patterns]
-    if len(rows) > MOST_RULES:
-        raise ValueError("pass the rules in parts")
+    """Rules as a table: ``rule`` (of a site rule, else null), ``verdict``, ``expression``, ``literal`` (its tokens) and ``size`` (the greatest wins)."""
+    rows = [(site, verdict, site_expression(site), site_tokens(site), len(site)) for verdict, site in sites]
+    rows += [(None, "block", expression, literal, 0) for expression, literal in patterns]
     for _, _, expression, _, _ in rows:
         re.compile(expression)
-    table = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(r).cast("string").alias("rule"), F.lit(v).alias("verdict"), F.lit(e).alias("expression"), F.array(*map(F.lit, t)).alias("literal"), F.lit(size).alias("size")) for n, (r, v, e, t, size) in enumerate(rows)])
-    return pages.sparkSession.range(1).select(F.explode(table).alias("r")).select("r.*")
+    strings = lambda t: F.array(*map(F.lit, t)) if t else F.array().cast("array<string>")
+    listed = [F.struct(F.lit(r).cast("string").alias("rule"), F.lit(v).alias("verdict"), F.lit(e).alias("expression"), strings(t).alias("literal"), F.lit(size).alias("size")) for r, v, e, t, size in rows]
+    one = pages.sparkSession.range(1 if rows else 0)
+    empty = F.expr("array(named_struct('rule', '', 'verdict', '', 'expression', '', 'literal', array(''), 'size', 0))")
+    return one.select(F.explode(F.array(*listed) if rows else empty).alias("r")).select("r.*")
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", sites: list[tuple[str, str]] = SITES, patterns: list[tuple[str, list[str]]] = PATTERNS) -> DataFrame:
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", sites: list[tuple[str, str]] = SITES, patterns: list[tuple[str, list[str]]] = PATTERNS, rules: DataFrame | None = None) -> DataFrame:
     """A row per row of ``pages``: ``page_id``, ``host``, ``path``, ``rule`` (the site rule that wins, else null), ``verdict``
-    and ``candidates`` (how many rules were tried).
+    and ``candidates`` (how many rules were tried). ``rules``, if given, is used in place of ``sites`` and ``patterns``.
     """
     urls = pages.select(F.monotonically_increasing_id().alias("row"), pages[id_col].alias("page_id"), host_of(pages[url_col]).alias("host"), path_of(pages[url_col]).alias("path"))
     urls = urls.withColumn("where", F.concat("host", "path"))
-    rules = rules_table(pages, sites, patterns)
-    literal = rules.select("n", F.explode("literal").alias("token"))
+    given = rules_table(pages, sites, patterns) if rules is None else rules
+    n_rules = len(sites) + len(patterns) if rules is None else rules.count()
+    shared = F.broadcast if n_rules <= SHARED_RULES else lambda df: df
+    given = given.select("rule", "verdict", "expression", F.when(F.size("literal") > 0, F.col("literal")).otherwise(F.array(F.lit(""))).alias("literal"), "size")
+    given = given.withColumn("n", F.xxhash64("rule", "verdict", "expression", "size"))
+    literal = given.select("n", F.explode("literal").alias("token")).distinct()
     # how many URLs have each token that rules have
-    seen = urls.select(F.explode(tokens(F.col("where"))).alias("token")).join(F.broadcast(literal.select("token").distinct()), "token").groupBy("token").agg(F.count("*").alias("urls"))
+    seen = urls.select(F.explode(tokens(F.col("where"))).alias("token")).join(shared(literal.select("token").distinct()), "token").groupBy("token").agg(F.count("*").alias("urls"))
     rarest = Window.partitionBy("n").orderBy(F.coalesce("urls", F.lit(0)), "token")
     filed = literal.join(seen, "token", "left").withColumn("place", F.row_number().over(rarest)).where("place = 1").select("n", "token")
-    index = rules.drop("literal").join(filed, "n")
-    tried = urls.withColumn("token", F.explode(tokens(F.col("where")))).join(F.broadcast(index), "token", "left")
+    index = given.drop("literal").distinct().join(filed, "n")
+    tried = urls.withColumn("token", F.explode(tokens(F.col("where")))).join(shared(index), "token", "left")
     fits = tried.withColumn("fits", F.coalesce(F.expr("where rlike expression"), F.lit(False)))
     site = F.when(F.col("fits") & F.col("rule").isNotNull(), F.struct("size", "rule", "verdict"))
     judged = fits.groupBy("row", "page_id", "host", "path").agg(F.max(site).alias("site"), F.bool_or(F.col("fits") & F.col("rule").isNull()).alias("matched"), F.count("n").alias("candidates"))

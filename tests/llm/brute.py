@@ -1,6 +1,7 @@
 """Plain versions of the contracts, in one process, for comparison."""
 
 import hashlib
+import math
 import re
 from collections import defaultdict
 
@@ -132,3 +133,97 @@ def conversation(turns):
     said = "".join(f"{r or ''}\n{t or ''}\n" for _, r, t in turns)
     learnt = "".join(t or "" for _, r, t in turns if r == "assistant")
     return len(turns), sha(said), len(learnt), sha(learnt)
+
+
+def discovered(mentions, spec):
+    """(value, kind) of the values that patterns find: the graph in dictionaries. mentions: (value, text before)."""
+    edges, seeds = set(), {}
+    for value, before in mentions:
+        tokens = re.findall(r"[^\W\d_]+|[^\s]", re.sub("[0-9]+", "0", before.lower()))[-3:]
+        edges |= {(value, f"{k}:{' '.join(tokens[-k:])}") for k in (1, 2, 3) if len(tokens) >= k}
+        if re.fullmatch("(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,}", value):
+            seeds[value] = "secret", 1.0
+    members = defaultdict(set)
+    for v, p in edges:
+        members[p].add(v)
+    members = {p: vs for p, vs in members.items() if len(vs) >= spec.LEAST_VALUES}
+    known = dict(seeds)
+    while True:
+        trust = defaultdict(float)
+        for p, vs in members.items():
+            for v in vs & known.keys():
+                trust[p, known[v][0]] += known[v][1] / (len(vs) + 1)
+        fresh = {}
+        for v in {v for v, _ in edges} - known.keys():
+            if len(v) < 6 or not re.search("[0-9@].*[0-9@]", v):
+                continue
+            clean = defaultdict(lambda: 1.0)
+            for (p, kind), t in trust.items():
+                if t >= spec.PATTERN and v in members[p]:
+                    clean[kind] *= 1 - min(t, 0.999)
+            if clean and max((1 - c, k) for k, c in clean.items())[0] >= spec.VALUE:
+                confidence, kind = max((1 - c, k) for k, c in clean.items())
+                fresh[v] = kind, confidence
+        if not fresh:
+            return {(v, k) for v, (k, _) in known.items() if v not in seeds}
+        known |= fresh
+
+
+def languages(known, texts, spec):
+    """(language, score) of each text, learnt from ``known`` (text, language), n-gram by n-gram."""
+
+    def grams(text):
+        line = (" " + " ".join(re.findall(r"[^\W\d_]+", text.lower())) + " ").encode()
+        for n in (2, 3, 4):
+            for i in range(len(line) - n + 1):
+                code = line[i] * 257 + line[i + 1]
+                for c in line[i + 2 : i + n]:
+                    code = (code * 16777619 + c) % 2**32
+                yield (code * 2654435761 % 2**32) >> 18
+
+    counts = defaultdict(lambda: defaultdict(int))
+    for text, lang in known:
+        if text and lang and re.search(r"[^\W\d_]", text):
+            for g in grams(text):
+                counts[lang][g] += 1
+    langs = sorted(counts)
+    total = [sum(counts[x].values()) + 0.5 * spec.BUCKETS for x in langs]
+    share = [[(counts[x][g] + 0.5) / t for g in range(spec.BUCKETS)] for x, t in zip(langs, total, strict=True)]
+    code, odds, trust = spec.codewords(len(langs)).tolist(), [], []
+    for bit in range(len(code[0])):
+        sides = [[i for i in range(len(langs)) if code[i][bit] == s] for s in (1.0, -1.0)]
+        odds.append([math.log(sum(share[i][g] for i in sides[0]) / len(sides[0])) - math.log(sum(share[i][g] for i in sides[1]) / len(sides[1])) for g in range(spec.BUCKETS)])
+    for i in range(len(langs)):
+        row = []
+        for bit, o in enumerate(odds):
+            mean = sum(p * w for p, w in zip(share[i], o, strict=True))
+            spread = math.sqrt(sum(p * w * w for p, w in zip(share[i], o, strict=True)) - mean * mean)
+            row.append(max(0.5 * (1 + math.erf(code[i][bit] * mean / spread * math.sqrt(spec.JUDGED) / math.sqrt(2))) - 0.5, 1e-6))
+        trust.append([w / sum(row) for w in row])
+    out = []
+    for text in texts:
+        if not text or not re.search(r"[^\W\d_]", text):
+            out.append(("und", 0.0))
+            continue
+        found = list(grams(text))
+        margins = [max(-20, min(20, sum(o[g] for g in found) / len(found) * min(len(found), 60))) for o in odds]
+        losses = [sum(w * math.exp(-max(-10, min(10, c * m / 2))) for w, c, m in zip(trust[i], code[i], margins, strict=True)) for i in range(len(langs))]
+        best = min(range(len(langs)), key=lambda i: losses[i])
+        out.append((langs[best], 1 / (losses[best] + 1e-12) / sum(1 / (x + 1e-12) for x in losses)))
+    return out
+
+
+def toxic(text, weights, bias, noise):
+    """(score, start and end of the worst sentence) by the noisy-or of sentences, word by word."""
+    text, clean, worst = text or "", 1.0, (None, None, None)
+    for m in re.finditer(r"[^.!?\n]+", text):
+        total, any_weight = bias, False
+        for word in set(re.findall(r"[^\W\d_]+", m.group().lower())):
+            w = sum(weights.get(f, 0.0) for f in [word, *(word[:n] + "^" for n in (4, 5, 6, 7) if n <= len(word))])
+            total, any_weight = total + w, any_weight or w != 0
+        if any_weight:
+            p = 1 / (1 + math.exp(-max(-30, min(30, total))))
+            clean *= 1 - p
+            if worst[0] is None or p > worst[0]:
+                worst = p, m.start(), m.end()
+    return noise + (1 - 2 * noise) * (1 - clean), worst[1], worst[2]

@@ -195,12 +195,32 @@ def test_langid(spark, docs, odd):
     assert {r.lang_pred for r in langid.predict(odd, langid.fit(docs.limit(0))).collect()} == {"und"}
     assert {r.lang_pred for r in langid.predict(odd, langid.fit(docs.where("lang = 'de'"))).collect()} == {"und", "de"}
     assert langid.predict(odd.limit(0), known).count() == 0
+    assert langid.fit(odd.withColumn("counts", F.lit(1)).withColumn("bucket", F.lit(2)).withColumn("n", F.lit(3))).langs == ["en"]
 
 
 @pytest.mark.parametrize("n", [2, 3, 4, 7, 9, 40])
 def test_codewords_differ(n):
     code = langid.codewords(n)
     assert len({tuple(r) for r in code.tolist()}) == n and all(0 < (c > 0).sum() < n for c in code.T)
+    apart = min(int((code[i] != code[j]).sum()) for i in range(n) for j in range(i))
+    assert apart >= (code.shape[1] // 4 if n > langid.EXHAUSTIVE else code.shape[1] // 2)
+
+
+def test_langid_against_brute_force(docs):
+    rows = docs.orderBy("doc_id").limit(60).select("doc_id", "text", "lang")
+    given = [(r.doc_id, r.text, r.lang) for r in rows.collect()]
+    want = brute.languages([(t, x) for _, t, x in given], [t for _, t, _ in given], langid)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(rows, langid.fit(rows)).collect()}
+    for (d, _, _), (lang, score) in zip(given, want, strict=True):
+        assert got[d][0] == lang and got[d][1] == pytest.approx(score, abs=1e-4)
+
+
+def test_langid_bits_that_tell_a_language_weigh_more():
+    code = np.array([[1.0, 1.0], [-1.0, 1.0], [1.0, -1.0]])
+    share = np.array([[0.5, 0.5, 0.0], [0.5, 0.5, 0.0], [0.0, 0.0, 1.0]])  # the first two can't be told apart
+    weights = np.array([[0.01, 1.0], [-0.01, 1.0], [0.5, -2.0]])
+    trust = langid.bit_weights(code, share, weights)
+    assert np.allclose(trust.sum(axis=1), 1) and trust[0, 1] > 0.99 and trust[1, 1] > 0.99
 
 
 def chats(spark, rows):
@@ -257,6 +277,48 @@ def test_toxicity(spark, docs, odd):
     assert {r.score for r in toxicity.score(made, none).collect()} == {toxicity.NOISE}
 
 
+def test_toxicity_against_brute_force(spark, docs, sf, odd):
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"), queries.remainder(5) != 0)
+    assert model.weights
+    for df in (docs, odd):
+        want = Counter((r.doc_id, *(round(x, 9) if isinstance(x, float) else x for x in brute.toxic(r.text, model.weights, model.bias, toxicity.NOISE))) for r in df.select("doc_id", "text").collect())
+        assert Counter((r.doc_id, round(r.score, 9), r.worst_start, r.worst_end) for r in toxicity.score(df, model).collect()) == want
+
+
+def test_toxicity_gradient_is_that_of_the_likelihood():
+    """A step of the fit goes where the penalised likelihood, by differences, rises."""
+    rng = np.random.default_rng(0)
+    bags = [(int(n % 3 == 0), [sorted(set(rng.integers(0, 6, 3).tolist())) for _ in range(3)]) for n in range(60)]
+
+    def loss(w, bias):
+        out = 0.0
+        for y, sentences in bags:
+            clean = np.prod([1 - 1 / (1 + np.exp(-(sum(w[f] for f in s) + bias))) for s in sentences])
+            q = toxicity.NOISE + (1 - 2 * toxicity.NOISE) * (1 - clean)
+            mean = np.mean([b for b, _ in bags])
+            out -= np.sqrt(0.5 / (mean if y else 1 - mean)) * (np.log(q) if y else np.log(1 - q)) / len(bags)
+        return out + toxicity.PENALTY / 2 * (w**2).sum() + 1e-3 / 2 * (bias + 4) ** 2
+
+    w, bias = toxicity._fit(bags, 6, np.zeros(6))
+    assert loss(w, bias) < loss(np.zeros(6), -4.0)
+    assert all(loss(w + d, bias) >= loss(w, bias) - 1e-4 for f in range(6) for d in (0.1 * np.eye(6)[f], -0.1 * np.eye(6)[f]))
+
+
+def test_toxicity_of_held_out_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    scored = queries.op6_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").collect()
+    toxic, clean = [r for r in scored if r.toxic == 1], [r for r in scored if r.toxic == 0]
+    assert toxic and np.mean([r.predicted for r in toxic]) >= 0.6 and np.mean([r.predicted for r in clean]) <= 0.05
+
+
+def test_toxicity_fits_beside_clashing_columns(spark):
+    rows = [(i, "you awful thing. " if i % 3 == 0 else "a thing.") for i in range(120)]
+    made = words_text(spark, rows).selectExpr("doc_id", "text", "1 AS y", "2 AS n0", "'z' AS feature", "0 AS toxic", "text AS _text")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), "z", 0) for i in range(120)], "doc_id long, toxic int, text string, y int")
+    model = toxicity.fit(made, labels)
+    assert "awful" in model.weights and toxicity.score(made, model).count() == 120
+
+
 def test_simhash_components(spark, docs, odd):
     for df in (docs, odd):
         want = Counter(brute.components([(r.doc_id, brute.fingerprint(r.text)) for r in df.select("doc_id", "text").collect()]))
@@ -298,6 +360,19 @@ def test_urls(spark, sf):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_urls_with_rules_as_a_table(spark, monkeypatch):
+    sites = [("block" if i % 2 else "allow", f"h{i}.example/{'p' * (i % 5)}/") for i in range(300)]
+    pages = spark.createDataFrame([(n, f"https://a.h{n}.example/{'p' * (n % 5)}/x") for n in range(0, 300, 7)] + [(1000, "x://other.example/"), (1001, None), (1002, "x://other.example/a/cgi-bin/z"), (1003, "x://" + "a." * 5000 + "h1.example/p/")], "page_id long, url string")
+    rules = urls.rules_table(pages, sites, urls.PATTERNS)
+    want = {n: f"h{n}.example/{'p' * (n % 5)}/" for n in range(0, 300, 7)} | {1000: None, 1001: None, 1002: None, 1003: "h1.example/p/"}
+    for shared in (50_000, 10):  # shared with every task, and joined by a shuffle
+        monkeypatch.setattr(urls, "SHARED_RULES", shared)
+        got = urls.judge(pages, rules=rules).collect()
+        assert {r.page_id: r.rule for r in got} == want and {r.page_id: r.verdict for r in got if r.rule is None} == {1000: "allow", 1001: "allow", 1002: "block"}
+    assert {r.verdict for r in urls.judge(pages, rules=rules.limit(0)).collect()} == {"allow"}
+    assert {r.verdict for r in urls.judge(pages, sites=[], patterns=[]).collect()} == {"allow"}
+
+
 def test_pii_base(docs, odd):
     for df in (docs, odd):
         want = Counter((r.doc_id, *brute.pii_base(r.text)) for r in df.select("doc_id", "text").collect())
@@ -312,6 +387,27 @@ def test_pii_discovers_by_context(spark):
     assert got[99] == "secret:13:22" and got[100] == "secret:5:14"
 
 
+def test_pii_discovers_in_as_many_rounds_as_it_takes(spark):
+    """Each link's patterns are known by the values of the link before."""
+    rows = [(i, f"link0 = {hashlib.sha1(str(i).encode()).hexdigest()}") for i in range(40)]
+    for link in range(5):
+        for i in range(40):
+            value = f"v{link}x{i:03d}-{link}{i:03d}"
+            rows.append((1000 * (link + 1) + i, f"link{'abcdef'[link]}x : {value}"))
+            rows.append((1000 * (link + 1) + 500 + i, f"link{'abcdef'[link - 1]}x : {value}" if link else f"link0 = {value}") if i < 15 else (1000 * (link + 1) + 500 + i, f"link{'abcdef'[link]}x : {value}"))
+    mentions = spark.createDataFrame([(t.split(" ")[-1], t[: t.rindex(" ") + 1]) for _, t in rows], "value string, before string")
+    got = {(r.value, r.kind) for r in pii.discover(mentions).collect()}
+    assert got == brute.discovered([(t.split(" ")[-1], t[: t.rindex(" ") + 1]) for _, t in rows], pii)
+    assert {v for v, _ in got} >= {"v0x000-0000"}
+
+
+def test_pii_long_tokens_before_a_mention(spark):
+    long = "a" * 100
+    rows = [(i, f"see {long} {'b' * 70} : {hashlib.sha1(str(i).encode()).hexdigest()}") for i in range(30)] + [(50, f"see {long} {'b' * 70} : zz81-k77q"), (51, f"see {long} {'c' + 'b' * 69} = zz81-k77r"), (52, None), (53, "")]
+    got = {r.doc_id: r.spans for r in pii.report(words_text(spark, rows)).collect()}
+    assert got[50] == f"secret:{4 + 100 + 1 + 70 + 3}:{4 + 100 + 1 + 70 + 3 + 9}" and got[51] == got[52] == got[53] == ""
+
+
 def test_pii_redacts(spark):
     rows = [(1, "é x@y.example, +1 (017) 555-7713!"), (2, None), (3, "plain"), (1, "é x@y.example, +1 (017) 555-7713!")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_found", F.lit(1))
