@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .rows import shared_if_small
 
 #: The least values of a pattern, and the least confidence of a pattern and of a value.
 LEAST_VALUES, PATTERN, VALUE = 3, 0.6, 0.8
@@ -168,10 +169,10 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     given = F.struct(*[docs[c] for c in docs.columns]).alias("given")  # whatever its columns are called
     keyed = docs.select(given, F.md5(docs[text_col].cast("binary")).alias("_key"))
     found = find(keyed.select("_key", F.col("given")[text_col].alias("_text")), "_key", "_text")
-    found = found.where((F.size("found") > 0) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_key")).agg(F.first("found").alias("_found"))
+    found = cut(found.where((F.size("found") > 0) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_key")).agg(F.first("found").alias("_found")))
     spans = F.array_sort(F.transform("_found", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("end"), x["kind"].alias("kind"))))
     name = lambda x: F.concat(F.lit("["), F.upper(F.element_at(F.array(*map(F.lit, KINDS)), x["kind"])), F.lit("]"))
-    joined = keyed.join(found, "_key", "left")
+    joined = keyed.join(shared_if_small(found), "_key", "left")
     text = F.col("given")[text_col]
     step = lambda acc, x: F.when(x["start"] < acc["at"], acc).otherwise(F.struct(F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), name(x)).alias("out"), (-x["end"]).alias("at")))
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))

@@ -1,14 +1,28 @@
-"""Arrow batches in, the same rows with further columns out."""
+"""Rows: further columns by Arrow batches, digests of texts, lists of decisions."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+#: Rows up to which a list of decisions is shared with every task.
+SHARED_ROWS = 200_000
+
+
+def digest_of(text: Column) -> Column:
+    """Stands for a text, null included, where decisions on texts are joined to rows."""
+    return F.coalesce(F.md5(text.cast("binary")), F.lit(""))
+
+
+def shared_if_small(df: DataFrame) -> DataFrame:
+    """``df``, which has been computed, to be sent to every task if it has ``SHARED_ROWS`` rows or fewer; else it is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(SHARED_ROWS + 1).count() <= SHARED_ROWS else df
+
 
 def with_columns(df: DataFrame, text_col: str, fields: list[T.StructField], start: Callable[[], Callable[[str | None], tuple]]) -> DataFrame:
     """``df`` without ``text_col`` and with ``fields``, which what ``start()`` returns gives for a row's text.

@@ -8,15 +8,26 @@ within one bit of it. Two members at distance two or less are under a common one
 under one are within two bits of each other, so linking each to the least of them loses no
 component and needs no pairs. A fingerprint of the list has at most 65 members.
 
+``similar_texts`` links texts by the Jaccard similarity of their shingles, which differ in too many of 64 bits for blocks of
+them. Its fingerprint has as many 64-bit blocks as the text's size asks for: the distinct shingles are dealt into parts by hash,
+and a block is the SimHash of a part. Two texts of ``least`` similarity differ in fewer shingles than there are parts, so
+they share a part, and its block; they meet there and the similarity itself is checked. Sizes lie in classes a factor of 1 / ``least`` apart;
+a text has blocks for its own class and the next. (A shared part may be empty for both: texts of up to ``FEW`` parts are dealt
+``TURNS`` times, which leaves odds below 1 in 10,000 for pairs at the very edge.) A block's members are first checked against the least of
+them alone; then, where a block holds members of several components, pairs of these are. Blocks with more than ``BUCKET`` such members
+bring together only those of them that share one of their rarest shingles, which any two of that similarity do.
+
 Cases: null and empty texts, and texts of white space alone, have fingerprint zero and are linked
 like any other; fewer words than a shingle are one shingle; repeated rows keep a row each; a null
-id is no candidate for the least id of a component (null if there is no other); an empty table gives
-an empty table; further columns are ignored.
+id is no candidate for the least id of a component (null if there is no other); very long texts are read whole; an empty table gives
+an empty table; further columns are ignored. For ``similar_texts`` all texts without a word are alike.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -27,10 +38,14 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .graph import components
+from .rows import digest_of, shared_if_small
 
 #: Members up to which a bucket is paired off, and shingles hashed at once.
 BUCKET, SHINGLES_AT_ONCE = 32, 1 << 16
 BLOCKS = 4
+#: Parts up to which shingles are dealt several times, and how often; word hashes kept by a task, and texts whose blocks it has given.
+FEW, TURNS, KEPT = 16, 3, 200_000
+_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def fingerprint(text: str | None, k: int = 3, seed: int = 42) -> int:
@@ -99,3 +114,144 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = classes.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _P
+    return (x ^ (x >> np.uint64(29))) * _Q
+
+
+def shingle_hashes(text: str | None, k: int, known: dict[bytes, int]) -> np.ndarray:
+    """Hashes of the distinct shingles, in order; ``known`` remembers words' hashes."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(known) > KEPT:
+        known.clear()
+    for w in set(words) - known.keys():
+        known[w] = xxhash.xxh64_intdigest(w, 42)
+    numbers = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    size = min(k, len(words))
+    total = np.full(len(words) - size + 1, size, np.uint64)
+    for i in range(size):
+        total = _mix(total + numbers[i : i + len(total)])
+    return np.unique(total)
+
+
+def parts_of(size_class: int, least: float) -> int:
+    """One more than the shingles that two texts of up to a class's size may differ in."""
+    return math.floor(2 * (1 / least) ** (size_class + 1) * (1 - least) / (1 + least)) + 1
+
+
+def block_keys(hashes: np.ndarray, least: float) -> np.ndarray:
+    """A key for each part of each dealing: it tells class, dealing and part, and has the part's SimHash."""
+    if not len(hashes):
+        return np.zeros(1, np.uint64)
+    bits, keys = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), []
+    own = int(np.searchsorted((1 / least) ** np.arange(2 + math.log(len(hashes)) / -math.log(least)), len(hashes), "right")) - 1
+    for c in (own, own + 1):
+        parts = parts_of(c, least)
+        for turn in range(TURNS if parts <= FEW else 1):
+            part = _mix(hashes + np.uint64(turn + 1)) % np.uint64(parts)
+            order = np.argsort(part, kind="stable")
+            starts = np.append(0, np.flatnonzero(np.diff(part[order])) + 1)
+            ones = np.add.reduceat(bits[order], starts, axis=0, dtype=np.int32)
+            sizes = np.diff(np.append(starts, len(part)))
+            prints = np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+            keys.append(_mix(prints + _mix(part[order][starts] + np.uint64((c * TURNS + turn) << 32))))
+    return np.concatenate(keys)
+
+
+def _posted(texts: DataFrame, k: int, least: float) -> DataFrame:
+    """``key``, ``id``, ``first`` and ``spread`` of each block of each text of ``texts`` (id, text).
+
+    Of texts of one batch that share a key the first has ``spread`` 0; the others name it, and are spread over tasks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[bytes, int] = {}
+        given: set[int] = set()
+        for batch in batches:
+            ids, keys = [], []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if i in given:
+                    continue
+                if len(given) > KEPT:
+                    given.clear()
+                given.add(i)
+                keys.append(block_keys(shingle_hashes(text.as_py(), k, words), least))
+                ids.append(np.full(len(keys[-1]), i, np.int64))
+            if keys:
+                key, own = np.concatenate(keys), np.concatenate(ids)
+                order = np.argsort(key, kind="stable")
+                key, own = key[order], own[order]
+                starts = np.append(0, np.flatnonzero(np.diff(key)) + 1)
+                first = np.repeat(own[starts], np.diff(np.append(starts, len(key))))
+                spread = np.where(first == own, 0, 1 + (own & 63)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own), pa.array(first), pa.array(spread)], names=["key", "id", "first", "spread"])
+
+    return texts.mapInArrow(run, "key long, id long, first long, spread int")
+
+
+def _sets(texts: DataFrame, k: int) -> DataFrame:
+    """``id``, ``digest``, ``n`` and ``hashes`` of each different text of ``texts`` (id, digest, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[bytes, int] = {}
+        for batch in batches:
+            found = [shingle_hashes(x.as_py(), k, words).view(np.int64) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(h) for h in found], pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["id", "digest", "n", "hashes"])
+
+    return texts.mapInArrow(run, "id long, digest string, n int, hashes array<long>").dropDuplicates(["id", "digest"])
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (src, dst: digests) between the texts of ``pairs`` (a, b: ids) that are similar."""
+    a = sets.select(F.col("id").alias("a"), F.col("digest").alias("src"), F.col("n").alias("m"), F.col("hashes").alias("x"))
+    b = sets.select(F.col("id").alias("b"), F.col("digest").alias("dst"), "n", F.col("hashes").alias("y"))
+    near = pairs.join(a, "a").join(b, "b").where((F.col("n") >= F.col("m") * (least - 1e-9)) & (F.col("m") >= F.col("n") * (least - 1e-9)))
+    both = F.size(F.array_intersect("x", "y"))
+    return near.where((both >= (least - 1e-9) * (F.col("m") + F.col("n") - both)) & (F.col("src") != F.col("dst"))).select("src", "dst")
+
+
+def similar_texts(docs: DataFrame, text_col: str = "text", k: int = 5, least: float = 0.8) -> DataFrame:
+    """``digest`` (see ``digest_of``) and ``root``, the least digest of its component, for each different text that has a text of ``least``
+    similarity of their ``k``-word shingles.
+    """
+    if not 0 < least < 1:
+        raise ValueError("a similarity between 0 and 1")
+    texts = docs.select(F.xxhash64(F.coalesce(docs[text_col], F.lit("")), F.isnull(docs[text_col])).alias("id"), digest_of(docs[text_col]).alias("digest"), docs[text_col].alias("text"))
+    one = Window.partitionBy("key", "spread")
+    posted = _posted(texts.select("id", "text"), k, least).withColumn("low", F.min("id").over(one)).withColumn("high", F.max("id").over(one))
+    hub = F.when(F.col("spread") > 0, F.col("first")).otherwise(F.col("low")).alias("hub")
+    members = cut(posted.where("spread > 0 OR low < high").select("key", "id", hub))
+    ids = cut(members.select("id").union(members.select("hub")).distinct())
+    sets = cut(_sets(texts.join(shared_if_small(ids), "id", "left_semi"), k))
+    pair = [F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")]
+    tried = cut(members.where("id != hub").select(*pair).distinct())
+    links = cut(_checked(tried, sets, least).distinct())
+    roots = components(links).select(F.col("node").alias("digest"), "root")
+    placed = cut(sets.select("id", "digest").join(roots, "digest", "left").select("id", F.coalesce("root", "digest").alias("component")))
+    # blocks that hold several components
+    inside = members.select("key", "id").union(members.select("key", F.col("hub").alias("id"))).distinct().join(placed, "id")
+    mixed = inside.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
+    mixed = cut(inside.join(mixed.select("key", "size"), "key"))
+    few, many = mixed.where(F.col("size") <= BUCKET), mixed.where(F.col("size") > BUCKET).select("id", "component").distinct()
+    rare = _rarest(many.join(sets.select("id", "n", "hashes"), "id"), least)
+    more = reduce(DataFrame.union, [_across(few.select("key", "id", "component")), _across(rare)]).distinct().join(tried, ["a", "b"], "left_anti")
+    return components(links.union(_checked(more, sets, least)).distinct()).select(F.col("node").alias("digest"), "root")
+
+
+def _across(members: DataFrame) -> DataFrame:
+    """Pairs (a, b: ids) of different components under one key."""
+    other = members.select("key", F.col("id").alias("b"), F.col("component").alias("there"))
+    return members.join(other, "key").where("id < b AND component != there").select(F.col("id").alias("a"), "b")
+
+
+def _rarest(members: DataFrame, least: float) -> DataFrame:
+    """``members`` (id, component, n, hashes) under each of the rarest shingles that a similar one must share one of, as keys."""
+    each = members.select("id", "component", "n", F.explode("hashes").alias("key"))
+    often = each.groupBy("key").agg(F.count("*").alias("often"))
+    order = Window.partitionBy("id", "component").orderBy("often", "key")
+    ranked = each.join(often, "key").withColumn("place", F.row_number().over(order))
+    return ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * (least - 1e-9)) + 1).select("key", "id", "component")

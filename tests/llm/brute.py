@@ -227,3 +227,28 @@ def toxic(text, weights, bias, noise):
             if worst[0] is None or p > worst[0]:
                 worst = p, m.start(), m.end()
     return noise + (1 - 2 * noise) * (1 - clean), worst[1], worst[2]
+
+
+def similar(texts, least=0.8, k=5):
+    """The classes of texts, each a frozenset, by all pairs of their k-word shingles."""
+    shingles = {}
+    for t in set(texts):
+        ws = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW))
+        shingles[t] = {tuple(ws[i : i + k]) for i in range(max(1, len(ws) - k + 1))} if ws else set()
+    root = {t: t for t in shingles}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    listed = list(shingles)
+    for i, a in enumerate(listed):
+        for b in listed[i + 1 :]:
+            x, y = shingles[a], shingles[b]
+            if (not x and not y) or len(x & y) >= least * len(x | y) > 0:
+                root[find(a)] = find(b)
+    classes = defaultdict(set)
+    for t in shingles:
+        classes[find(t)].add(t)
+    return {frozenset(c) for c in classes.values()}

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspan.llm import ann, bpe, chat, decontam, graph, langid, licenses, pii, queries, simhash, toxicity, urls
+from quillspan.llm import rows as rows_module
 
 VOCAB = queries.VOCABULARY
 needs_vocab = pytest.mark.skipif(not os.path.exists(VOCAB), reason="no vocabulary file here")
@@ -339,6 +340,50 @@ def test_simhash_links_of_crowded_buckets(spark):
     assert len({roots.get(x, x) for x in prints}) == len({least for _, _, least in want})
 
 
+def classes(df):
+    roots = {r.digest: r.root for r in simhash.similar_texts(df).collect()}
+    found = defaultdict(set)
+    for r in df.select("text", simhash.digest_of(F.col("text")).alias("digest")).collect():
+        found[roots.get(r.digest, r.digest)].add(r.text)
+    return {frozenset(c) for c in found.values()}
+
+
+def test_similar_texts_against_brute_force(spark, odd):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [r.text for r in docs.select("text").collect()]
+    want = brute.similar(rows)
+    assert sum(len(c) > 1 for c in want) > 3 and classes(docs) == want
+    assert classes(odd) == brute.similar([t for _, t in ODD])
+    assert simhash.similar_texts(odd.limit(0)).count() == 0
+
+
+def test_similar_texts_at_the_edge(spark, monkeypatch):
+    """Texts of all sizes with edits that leave a similarity about 0.8, and crowded blocks of unlike and of like texts."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for n in [*range(1, 40), *range(40, 400, 15)]:
+        ws = [f"w{n}x{i}" for i in range(n)]
+        rows.append(ws)
+        for _ in range(4):
+            copy = list(ws)
+            for at in rng.integers(0, n, max(1, round(n * rng.uniform(0.0, 0.06)))):
+                copy[at] = f"e{rng.integers(0, 10**6)}"
+            rows.append(copy[: max(1, n - int(rng.integers(0, 1 + n // 8)))])
+    common = [f"c{i}" for i in range(12)]
+    rows += [[*common, *(f"u{n}x{i}" for i in range(6))] for n in range(90)]
+    rows += [[*common, *(f"v{n // 3}x{i}" for i in range(30)), f"end{n}"] for n in range(120)]
+    big = [f"b{i}" for i in range(100)]
+    rows += [[*big[:at], f"z{at}", *big[at + 1 :]] for at in range(100)]
+    rows += [[*big, *(f"tail{n}x{i}" for i in range(int(rng.integers(15, 30))))] for n in range(40)]
+    made = [" ".join(r) for r in rows]
+    df = words_text(spark, list(enumerate(made)))
+    want = brute.similar(made)
+    assert classes(df) == want
+    monkeypatch.setattr(simhash, "BUCKET", 2)
+    monkeypatch.setattr(rows_module, "SHARED_ROWS", 3)
+    assert classes(df) == want
+
+
 def test_components_of_a_chain_and_empty(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "src long, dst long")
     got = {r.node: r.root for r in graph.components(chain).collect()}
