@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages over ``documents``; each works on what the stage before kept.
 
 1. toxicity: documents that the model rejects (score of 0.5 or more) go.
-2. near_duplicates: of each group of near-duplicates by SimHash, one row stays: that of least id.
+2. near_duplicates: of each group of texts that links of five-word similarity 0.8 or more reach, met by SimHash blocks, one row stays:
+   that of least id.
 3. decontamination: documents with a copied or edited benchmark passage go.
 4. personal_data: spans of personal data are replaced by their kind.
 5. tokens: a row per document with the number of ids and digests of ids and decoded text.
@@ -15,11 +16,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm import bpe, decontam, pii, simhash, toxicity
 from quillspan.llm.queries import VOCABULARY
+from quillspan.llm.rows import digest_of, shared_if_small
 from quillspan.session import cut, shared_dir, ship, table
 
 
@@ -30,31 +32,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("score < 0.5").select(*docs.columns)
 
 
-def digest_of(text: Column) -> Column:
-    """Stands for a text, null included, where decisions on texts are joined to rows."""
-    return F.coalesce(F.md5(text.cast("binary")), F.lit(""))
-
-
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    digest = digest_of(F.col("text"))
-    groups = simhash.near_duplicates(docs.select(digest.alias("doc_id"), "text")).select(F.col("doc_id").alias("_text"), F.col("component_id").alias("_group")).distinct()
-    least = docs.groupBy(digest.alias("_text")).agg(F.min("doc_id").alias("_id"))  # null if no row of the text has an id
-    first = F.min(F.struct(F.isnull("_id").alias("none"), "_id", "_text")).alias("first")
-    stay = cut(least.join(groups, "_text").groupBy("_group").agg(first).select("first._id", "first._text"))
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]) & (digest_of(docs["text"]) == stay["_text"]), "left_semi").withColumn("_text", digest)
-    repeated = cut(kept.groupBy("doc_id", "_text").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("_text").alias("_same")))
-    same = kept["doc_id"].eqNullSafe(repeated["_id"]) & (kept["_text"] == repeated["_same"])
-    once = kept.join(repeated, same, "left_anti")
+    texts = docs.groupBy("doc_id", digest_of(F.col("text")).alias("_text")).agg(F.count("*").alias("_rows"))
+    texts = cut(texts.join(simhash.similar_texts(docs).withColumnRenamed("digest", "_text"), "_text", "left").withColumn("root", F.coalesce("root", "_text")))
+    first = texts.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_text")).alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("_text") == F.col("first._text"))
+    decided = texts.join(first, "root").select(F.col("doc_id").alias("_id"), F.col("_text").alias("_same"), stays.alias("_stays"), "_rows")
+    decided = cut(decided.where("NOT _stays OR _rows > 1").drop("_rows"))
+    keyed = docs.withColumn("_text", digest_of(F.col("text")))
+    joined = keyed.join(shared_if_small(decided), keyed["doc_id"].eqNullSafe(decided["_id"]) & (keyed["_text"] == decided["_same"]), "left")
     rows = Window.partitionBy("doc_id", "_text").orderBy(F.xxhash64(*docs.columns))
-    again = kept.join(repeated, same, "left_semi").withColumn("_n", F.row_number().over(rows)).where("_n = 1")
-    return once.select(*docs.columns).unionByName(again.select(*docs.columns))
+    again = joined.where("_stays").withColumn("_n", F.row_number().over(rows)).where("_n = 1")
+    return joined.where("_stays IS NULL").select(*docs.columns).unionByName(again.select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     texts = docs.select(digest_of(F.col("text")).alias("doc_id"), "text")
-    hit = decontam.contaminated(texts, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, digest_of(docs["text"]) == hit["_hit"], "left_anti").select(*docs.columns)
+    hit = cut(decontam.contaminated(texts, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_hit")).distinct())
+    return docs.join(shared_if_small(hit), digest_of(docs["text"]) == hit["_hit"], "left_anti").select(*docs.columns)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
