@@ -8,11 +8,12 @@ within one bit of it. Two members at distance two or less are under a common one
 under one are within two bits of each other, so linking each to the least of them loses no
 component and needs no pairs. A fingerprint of the list has at most 65 members.
 
-``similar_texts`` links texts by the Jaccard similarity of their shingles, which differ in too many of 64 bits for blocks of
-them. Its fingerprint has as many 64-bit blocks as the text's size asks for: the distinct shingles are dealt into parts by hash,
+``similar_texts`` links texts by the Jaccard similarity of their shingles: texts of similarity 0.8 differ in too many of 64 bits for
+blocks of these. Its fingerprint has a 64-bit block for a few shingles each: the distinct shingles are dealt into parts by hash,
 and a block is the SimHash of a part. Two texts of ``least`` similarity differ in fewer shingles than there are parts, so
-they share a part, and its block; they meet there and the similarity itself is checked. Sizes lie in classes a factor of 1 / ``least`` apart;
-a text has blocks for its own class and the next. (A shared part may be empty for both: texts of up to ``FEW`` parts are dealt
+they share a part, and its block; they meet there, and the Hamming distance of 128 bits and then the similarity itself are checked. Sizes lie in classes a factor of 1 / ``least`` apart;
+a text has blocks for its own class and the next. A long text's fingerprint ends after ``MOST`` parts: a part of two such texts
+is the same with odds of at least 0.36, so none of these is with odds below one in a million. (A shared part may be empty for both: texts of up to ``FEW`` parts are dealt
 ``TURNS`` times, which leaves odds below 1 in 10,000 for pairs at the very edge.) A block's members are first checked against the least of
 them alone; then, where a block holds members of several components, pairs of these are. Blocks with more than ``BUCKET`` such members
 bring together only those of them that share one of their rarest shingles, which any two of that similarity do.
@@ -27,7 +28,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -43,6 +43,8 @@ from .rows import digest_of, shared_if_small
 #: Members up to which a bucket is paired off, and shingles hashed at once.
 BUCKET, SHINGLES_AT_ONCE = 32, 1 << 16
 BLOCKS = 4
+#: Parts that give blocks, and shingles from which on whole fingerprints are compared.
+MOST, SURE = 32, 32
 #: Parts up to which shingles are dealt several times, and how often; word hashes kept by a task, and texts whose blocks it has given.
 FEW, TURNS, KEPT = 16, 3, 200_000
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -128,8 +130,9 @@ def shingle_hashes(text: str | None, k: int, known: dict[bytes, int]) -> np.ndar
         return np.zeros(0, np.uint64)
     if len(known) > KEPT:
         known.clear()
-    for w in set(words) - known.keys():
-        known[w] = xxhash.xxh64_intdigest(w, 42)
+    for w in set(words):
+        if w not in known:
+            known[w] = xxhash.xxh64_intdigest(w, 42)
     numbers = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     size = min(k, len(words))
     total = np.full(len(words) - size + 1, size, np.uint64)
@@ -144,22 +147,27 @@ def parts_of(size_class: int, least: float) -> int:
 
 
 def block_keys(hashes: np.ndarray, least: float) -> np.ndarray:
-    """A key for each part of each dealing: it tells class, dealing and part, and has the part's SimHash."""
+    """A key for each part, of the first ``MOST``, of each dealing: it tells class, dealing and part, and has the part's SimHash."""
     if not len(hashes):
         return np.zeros(1, np.uint64)
-    bits, keys = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), []
     own = int(np.searchsorted((1 / least) ** np.arange(2 + math.log(len(hashes)) / -math.log(least)), len(hashes), "right")) - 1
+    dealt, places = [], []
     for c in (own, own + 1):
         parts = parts_of(c, least)
         for turn in range(TURNS if parts <= FEW else 1):
             part = _mix(hashes + np.uint64(turn + 1)) % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
-            starts = np.append(0, np.flatnonzero(np.diff(part[order])) + 1)
-            ones = np.add.reduceat(bits[order], starts, axis=0, dtype=np.int32)
-            sizes = np.diff(np.append(starts, len(part)))
-            prints = np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-            keys.append(_mix(prints + _mix(part[order][starts] + np.uint64((c * TURNS + turn) << 32))))
-    return np.concatenate(keys)
+            inside = part < MOST
+            dealt.append(hashes[inside])
+            places.append(part[inside] + np.uint64((c * TURNS + turn) << 32))
+    chosen, place = np.concatenate(dealt), np.concatenate(places)
+    order = np.argsort(place, kind="stable")
+    place = place[order]
+    starts = np.append(0, np.flatnonzero(np.diff(place)) + 1)
+    ends = np.append(starts[1:], len(place))
+    bits = np.unpackbits(chosen[order].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    total = np.vstack([np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
+    prints = np.packbits(2 * (total[ends] - total[starts]) > (ends - starts)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    return _mix(prints + _mix(place[starts]))
 
 
 def _posted(texts: DataFrame, k: int, least: float) -> DataFrame:
@@ -193,25 +201,63 @@ def _posted(texts: DataFrame, k: int, least: float) -> DataFrame:
     return texts.mapInArrow(run, "key long, id long, first long, spread int")
 
 
-def _sets(texts: DataFrame, k: int) -> DataFrame:
-    """``id``, ``digest``, ``n`` and ``hashes`` of each different text of ``texts`` (id, digest, text)."""
+def _described(texts: DataFrame, k: int, whole: bool) -> DataFrame:
+    """``id``, ``digest`` and ``n`` (shingles) of each different text of ``texts`` (id, digest, text), with ``hashes`` of all shingles if
+    ``whole``, else with ``low`` and ``high``, a SimHash of 128 bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[bytes, int] = {}
+        given: set[str] = set()
         for batch in batches:
-            found = [shingle_hashes(x.as_py(), k, words).view(np.int64) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(h) for h in found], pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["id", "digest", "n", "hashes"])
+            rows = []
+            for n, digest in enumerate(batch.column(1).to_pylist()):
+                if digest not in given:
+                    if len(given) > KEPT:
+                        given.clear()
+                    given.add(digest)
+                    rows.append(n)
+            kept = batch.take(pa.array(rows, pa.int64()))
+            found = [shingle_hashes(x.as_py(), k, words) for x in kept.column(2)]
+            if whole:
+                more = {"hashes": pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))}
+            else:
+                prints = np.array([_majority(h) for h in found], np.uint64).reshape(-1, 2).view(np.int64)
+                more = {"low": pa.array(prints[:, 0]), "high": pa.array(prints[:, 1])}
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array([len(h) for h in found], pa.int32()), *more.values()], names=["id", "digest", "n", *more])
+
+    return texts.mapInArrow(run, "id long, digest string, n int, " + ("hashes array<long>" if whole else "low long, high long")).dropDuplicates(["id", "digest"])
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """Two numbers: the SimHash of 64 bits, and that of the hashes hashed again."""
+    if not len(hashes):
+        return np.zeros(2, np.uint64)
+    both = np.stack([hashes, _mix(hashes + _Q)], axis=1).view(np.uint8)
+    return np.packbits(2 * np.unpackbits(both, axis=1, bitorder="little").sum(axis=0, dtype=np.int64) > len(hashes), bitorder="little").view(np.uint64)
 
-    return texts.mapInArrow(run, "id long, digest string, n int, hashes array<long>").dropDuplicates(["id", "digest"])
 
+def farthest(least: float, bits: int = 128) -> int:
+    """The bits that SimHashes of two texts of ``least`` similarity differ in, with six standard deviations more."""
+    share = math.acos(2 * least / (1 + least)) / math.pi
+    return math.ceil(bits * share + 6 * math.sqrt(bits * share * (1 - share)))
 
-def _checked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links (src, dst: digests) between the texts of ``pairs`` (a, b: ids) that are similar."""
-    a = sets.select(F.col("id").alias("a"), F.col("digest").alias("src"), F.col("n").alias("m"), F.col("hashes").alias("x"))
-    b = sets.select(F.col("id").alias("b"), F.col("digest").alias("dst"), "n", F.col("hashes").alias("y"))
-    near = pairs.join(a, "a").join(b, "b").where((F.col("n") >= F.col("m") * (least - 1e-9)) & (F.col("m") >= F.col("n") * (least - 1e-9)))
+
+def _checked(pairs: DataFrame, prints: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
+    """Links (src, dst: digests) between the texts of ``pairs`` (a, b: ids) that are similar: by Hamming distance first, from ``SURE``
+    shingles on, then by all their shingles.
+    """
+    side = lambda end, names: prints.select(F.col("id").alias(end), *[F.col(c).alias(x) for c, x in zip(("digest", "n", "low", "high"), names, strict=True)])
+    sized = pairs.join(side("a", ("src", "m", "p", "q")), "a").join(side("b", ("dst", "n", "r", "s")), "b")
+    sized = sized.where((F.col("n") >= F.col("m") * (least - 1e-9)) & (F.col("m") >= F.col("n") * (least - 1e-9)) & (F.col("src") != F.col("dst")))
+    far = F.bit_count(F.col("p").bitwiseXOR(F.col("r"))) + F.bit_count(F.col("q").bitwiseXOR(F.col("s")))
+    near = cut(sized.where((far <= farthest(least)) | (F.least("n", "m") < SURE)).select("src", "dst").distinct())
+    ends = cut(near.select(F.col("src").alias("digest")).union(near.select("dst")).distinct())
+    sets = cut(_described(texts.join(shared_if_small(ends), "digest", "left_semi").select("id", "digest", "text"), k, True))
+    x = sets.select(F.col("digest").alias("src"), F.col("n").alias("m"), F.col("hashes").alias("x"))
+    y = sets.select(F.col("digest").alias("dst"), "n", F.col("hashes").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return near.where((both >= (least - 1e-9) * (F.col("m") + F.col("n") - both)) & (F.col("src") != F.col("dst"))).select("src", "dst")
+    return near.join(x, "src").join(y, "dst").where(both >= (least - 1e-9) * (F.col("m") + F.col("n") - both)).select("src", "dst")
 
 
 def similar_texts(docs: DataFrame, text_col: str = "text", k: int = 5, least: float = 0.8) -> DataFrame:
@@ -226,20 +272,20 @@ def similar_texts(docs: DataFrame, text_col: str = "text", k: int = 5, least: fl
     hub = F.when(F.col("spread") > 0, F.col("first")).otherwise(F.col("low")).alias("hub")
     members = cut(posted.where("spread > 0 OR low < high").select("key", "id", hub))
     ids = cut(members.select("id").union(members.select("hub")).distinct())
-    sets = cut(_sets(texts.join(shared_if_small(ids), "id", "left_semi"), k))
-    pair = [F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")]
-    tried = cut(members.where("id != hub").select(*pair).distinct())
-    links = cut(_checked(tried, sets, least).distinct())
+    prints = cut(_described(texts.join(shared_if_small(ids), "id", "left_semi").select("id", "digest", "text"), k, False))
+    tried = cut(members.where("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
+    links = cut(_checked(tried, prints, texts, k, least).distinct())
     roots = components(links).select(F.col("node").alias("digest"), "root")
-    placed = cut(sets.select("id", "digest").join(roots, "digest", "left").select("id", F.coalesce("root", "digest").alias("component")))
+    placed = cut(prints.select("id", "digest").join(roots, "digest", "left").select("id", F.coalesce("root", "digest").alias("component")))
     # blocks that hold several components
     inside = members.select("key", "id").union(members.select("key", F.col("hub").alias("id"))).distinct().join(placed, "id")
     mixed = inside.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
     mixed = cut(inside.join(mixed.select("key", "size"), "key"))
-    few, many = mixed.where(F.col("size") <= BUCKET), mixed.where(F.col("size") > BUCKET).select("id", "component").distinct()
-    rare = _rarest(many.join(sets.select("id", "n", "hashes"), "id"), least)
-    more = reduce(DataFrame.union, [_across(few.select("key", "id", "component")), _across(rare)]).distinct().join(tried, ["a", "b"], "left_anti")
-    return components(links.union(_checked(more, sets, least)).distinct()).select(F.col("node").alias("digest"), "root")
+    few, many = mixed.where(F.col("size") <= BUCKET), cut(mixed.where(F.col("size") > BUCKET).select("id", "component").distinct())
+    crowd = _described(texts.join(shared_if_small(many.select("id").distinct()), "id", "left_semi").select("id", "digest", "text"), k, True)
+    rare = _rarest(many.join(crowd.select("id", "n", "hashes"), "id"), least)
+    more = cut(_across(few.select("key", "id", "component")).union(_across(rare)).distinct().join(tried, ["a", "b"], "left_anti"))
+    return components(links.union(_checked(more, prints, texts, k, least)).distinct()).select(F.col("node").alias("digest"), "root")
 
 
 def _across(members: DataFrame) -> DataFrame:
