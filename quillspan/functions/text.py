@@ -53,3 +53,8 @@ def topn(question: Column) -> Column:
     """The N that a question asks for (``top 5``, ``first 10``), from 1 to 100, or null."""
     n = F.regexp_extract(F.lower(question), r"(?:top|first|best|last)[\s-]*([0-9]{1,3})", 1).try_cast("int")
     return F.when(n.between(1, 100), n)
+
+
+def whole_word(words: str) -> str:
+    """An expression for words (joined by ``|``) between characters that aren't letters, digits or ``_``, of any script: engines differ on ``\\b``."""
+    return rf"(^|[^\p{{L}}\p{{N}}_])({words})($|[^\p{{L}}\p{{N}}_])"

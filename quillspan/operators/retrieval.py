@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bucket, dot, tokens
+from ..session import cut
 
 #: BM25 saturation and length weight, and the constant of reciprocal rank fusion.
 K1, B, RRF = 1.5, 0.75, 60
 DIM = 64
+#: Queries of a stated set that are shared with every task.
+SHARED_QUERIES = 2_000
 
 
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -33,6 +36,7 @@ def bm25(docs: DataFrame, questions: DataFrame, most: int = 20, id_col: str = "d
     corpus = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("mean_size"))
     each = words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
     tf = each.join(asked.select("term").distinct(), "term").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    tf = cut(tf)  # of the questions' terms alone
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weight = asked.join(df, "term").crossJoin(F.broadcast(corpus))  # one row
     weight = weight.withColumn("idf", F.col("times") * F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))).select("qid", "term", "idf", "mean_size")
@@ -41,27 +45,44 @@ def bm25(docs: DataFrame, questions: DataFrame, most: int = 20, id_col: str = "d
     return ranked(scores.where("score > 0"), "score", ["qid"], "doc_id", most)
 
 
+def hash_arrays(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id`` and ``vector``: unit vectors of hashed tokens, ``DIM`` components. A token adds 1 at one place and 0.5 at another.
+
+    A text's tokens are summed by place before they are shuffled, so at most ``DIM`` small rows of it are.
+    """
+    each = texts.select(F.col(id_col).alias("id"), F.explode(F.transform(tokens(F.col(text_col)), lambda t: F.md5(t))).alias("h"))
+    spots = F.array(F.struct(bucket(F.col("h"), 31).alias("slot"), F.lit(1.0).alias("v")), F.struct(bucket(F.col("h"), 27).alias("slot"), F.lit(0.5).alias("v")))
+    sums = each.select("id", F.explode(spots).alias("s")).groupBy("id", "s.slot").agg(F.sum("s.v").alias("v"))
+    held = sums.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    return held.select("id", F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda i: F.coalesce(F.try_element_at("m", i) / F.col("norm"), F.lit(0.0))).alias("vector"))
+
+
 def hash_vectors(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``at``, ``value``: unit vectors of hashed tokens, as their components that aren't zero."""
-    each = texts.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("term"))
-    spots = each.groupBy("id", F.md5("term").alias("h")).agg(F.count("*").alias("n"))
-    spread = spots.select("id", F.explode(F.array(F.struct(bucket(F.col("h"), 31).alias("slot"), F.col("n").cast("double").alias("v")), F.struct(bucket(F.col("h"), 27).alias("slot"), (F.col("n") * 0.5).alias("v")))).alias("s")).select("id", "s.*")
-    sums = spread.groupBy("id", "slot").agg(F.sum("v").alias("v"))
-    norm = sums.groupBy("id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return sums.join(norm, "id").select("id", "slot", (F.col("v") / F.col("norm")).alias("value"))
+    """``id``, ``slot``, ``value``: the same vectors as their components that aren't zero."""
+    return hash_arrays(texts, id_col, text_col).select("id", F.posexplode("vector").alias("slot", "value")).where("value != 0")
 
 
 def dense_texts(docs: DataFrame, questions: DataFrame, most: int = 20) -> DataFrame:
-    """``qid``, ``doc_id``, ``score``, ``rank`` by cosine of hash vectors: an equi-join on components."""
-    d = hash_vectors(docs, "doc_id", "text")
-    q = hash_vectors(questions, "qid", "question").select(F.col("id").alias("qid"), "slot", F.col("value").alias("q"))
-    scores = d.join(q, "slot").groupBy("qid", F.col("id").alias("doc_id")).agg(F.round(F.sum((F.col("value") * F.col("q")).cast("decimal(24,10)")).cast("double"), 6).alias("score"))
-    return ranked(scores, "score", ["qid"], "doc_id", most)
+    """``qid``, ``doc_id``, ``score``, ``rank`` by cosine of hash vectors."""
+    d = hash_arrays(docs, "doc_id", "text").select(F.col("id").alias("doc_id"), F.col("vector").alias("v"))
+    q = hash_arrays(questions, "qid", "question").select(F.col("id").alias("qid"), F.col("vector").alias("q"))
+    scored = against(d, cut(q)).select("qid", "doc_id", F.round(F.aggregate(F.zip_with("v", "q", lambda a, b: (a * b).cast("decimal(24,10)")), F.lit(0).cast("decimal(34,10)"), lambda s, x: (s + x).cast("decimal(34,10)")).cast("double"), 6).alias("score"))
+    return ranked(scored.where("score > 0"), "score", ["qid"], "doc_id", most)
+
+
+def against(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every row with every one of a stated set of queries: up to ``SHARED_QUERIES`` go to every task, more are dealt into blocks of as many."""
+    n = queries.count()
+    if n <= SHARED_QUERIES:
+        return rows.crossJoin(F.broadcast(queries))
+    blocks = -(-n // SHARED_QUERIES)
+    dealt = queries.withColumn("_block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)))
+    return rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "_block").drop("_block")
 
 
 def dense(vectors: DataFrame, queries: DataFrame, most: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``qid``, ``vec_id``, ``score``, ``rank``: exhaustive inner products of a stated set of queries (``qid``, ``q``) with every vector."""
-    pairs = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v")).crossJoin(queries)
+    pairs = against(vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v")), queries)
     scores = pairs.select("qid", "vec_id", F.round(dot(F.col("v"), F.col("q")), 6).alias("score"))
     return ranked(scores, "score", ["qid"], "vec_id", most)
 

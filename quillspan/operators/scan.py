@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import whole_word
+
 #: Functions that statements may not call.
 FORBIDDEN = {"reflect", "java_method", "try_reflect", "input_file_name", "assert_true", "raise_error"}
 #: Words that begin or mark statements that change something.
@@ -26,7 +28,7 @@ def distinct_values(df: DataFrame, column: str, most: int = 5) -> DataFrame:
 
 def is_write(text: F.Column) -> F.Column:
     """Whether a statement's text has a word that marks a change."""
-    return F.lower(text).rlike(r"\b(?:" + "|".join(WRITES) + r")\b")
+    return F.lower(text).rlike(whole_word("|".join(WRITES)))
 
 
 def validate(spark: SparkSession, sql: str, tables: set[str], most: int = 50) -> tuple[bool, str, str]:
@@ -43,8 +45,10 @@ def validate(spark: SparkSession, sql: str, tables: set[str], most: int = 50) ->
     root = re.match(r"[^A-Za-z]*([A-Za-z]+)", tree)[1]
     if root not in {"Project", "GlobalLimit", "Sort", "Aggregate", "Distinct", "Union", "Intersect", "Except", "CTE", "UnresolvedWith", "Filter", "UnresolvedHaving", "WithWindowDefinition"}:
         return False, f"not a query: {root}", sql
+    bare = re.sub(r"--[^\n]*|/\*.*?\*/|'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"", " ", sql, flags=re.S)  # without comments and strings
     used = {m.replace("`", "") for m in re.findall(r"UnresolvedRelation \[([^\]]+)\]", tree)}
-    named = {n.lower() for n in re.findall(r"(?i)(?:\bwith\s+(?:recursive\s+)?|,\s*)(\w+)(?:\s*\([^()]*\))?\s+as\s*\(", sql)}
+    named = {n.lower() for n in re.findall(r"(?i)(?:\bwith\s+(?:recursive\s+)?|,\s*)(\w+)(?:\s*\([^()]*\))?\s+as\s*\(", bare)}
+    named = named if re.match(r"(?i)[\s(]*with\b", bare) else set()
     if unknown := {u for u in used if u.lower() not in tables | named}:
         return False, f"unknown table: {', '.join(sorted(unknown))}", sql
     if bad := {f for f in re.findall(r"'?(\w+)\(", tree) if f.lower() in FORBIDDEN}:
@@ -54,4 +58,4 @@ def validate(spark: SparkSession, sql: str, tables: set[str], most: int = 50) ->
     except Exception as e:
         return False, f"analysis: {str(e).strip().splitlines()[0][:200]}", sql
     limit = re.match(r"[^A-Za-z]*GlobalLimit (\d+)", df._jdf.queryExecution().analyzed().toString())
-    return True, "", sql if limit and int(limit[1]) <= most else f"SELECT * FROM ({sql.strip().rstrip(';')}) LIMIT {most}"
+    return True, "", sql if limit and int(limit[1]) <= most else f"SELECT * FROM ({sql.strip().rstrip(';')}\n) LIMIT {most}"

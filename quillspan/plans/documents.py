@@ -73,7 +73,7 @@ def skew(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", F.round(F.when(a > 45, 90 - a).otherwise(a), 6).alias("skew"))
 
 
-#: A commission with a bonus over a threshold.
+#: Fixed value: a commission with a bonus over a threshold.
 COMMISSION = "0.03*S + 0.02*max(S-100000, 0)"
 _SALES = "SELECT l_suppkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS s FROM lineitem GROUP BY 1"
 
@@ -88,9 +88,10 @@ def formula_commission(spark: SparkSession, sf: str) -> DataFrame:
     return sales(spark, sf).select("l_suppkey", F.round(value, 4).alias("value"), F.when(value < 0, "degraded").otherwise("ok").alias("status"))
 
 
-@query(f"SELECT count(*) AS n, count(*) AS agree FROM ({_SALES})")
+@query(f"""SELECT count(*) AS n, count(*) FILTER (abs(a - b) <= greatest(1e-6, 1e-9 * abs(a))) AS agree, round(min(a), 4) AS low, round(max(b), 4) AS high FROM
+(SELECT 0.03::DOUBLE * s + 0.02::DOUBLE * greatest(s - 100000, 0) AS a, CASE WHEN s > 100000 THEN 0.05::DOUBLE * s - 2000 ELSE 0.03::DOUBLE * s END AS b FROM ({_SALES}))""")
 def formula_dual(spark: SparkSession, sf: str) -> DataFrame:
-    """The formula as a column and as plain Python agree within max(1e-6, 1e-9 |a|)."""
+    """The formula as a column and as plain Python: on how many rows they agree within max(1e-6, 1e-9 |a|), the least value and the greatest."""
     tree = parse(COMMISSION, {"S"})
 
     @F.pandas_udf("double")
@@ -99,7 +100,7 @@ def formula_dual(spark: SparkSession, sf: str) -> DataFrame:
 
     both = sales(spark, sf).select(column(tree, {"S": F.col("S")}).alias("a"), other("S").alias("b"))
     near = F.abs(F.col("a") - F.col("b")) <= F.greatest(F.lit(1e-6), 1e-9 * F.abs("a"))
-    return both.agg(F.count("*").alias("n"), F.count_if(near).alias("agree"))
+    return both.agg(F.count("*").alias("n"), F.count_if(near).alias("agree"), F.round(F.min("a"), 4).alias("low"), F.round(F.max("b"), 4).alias("high"))
 
 
 @query("""SELECT name, score FROM (SELECT name, CAST(sum(CASE WHEN contains(q, kw) THEN length(kw) ELSE 0 END) AS BIGINT) AS score FROM (SELECT p_type AS name, lower(p_type) AS kw FROM part GROUP BY 1, 2), (SELECT lower('commission on economy and promo parts') AS q) GROUP BY 1) ORDER BY score DESC, name LIMIT 1""")

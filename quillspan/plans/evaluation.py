@@ -9,7 +9,6 @@ from ..functions.text import squeezed, tokens
 from ..operators.matching import multiset_difference
 from ..session import table
 from .registry import query
-from .relational import group_sum, join3_agg
 
 
 @query("SELECT lang, count(*) AS n, round(avg(quality), 6) AS accuracy, round(avg(CASE WHEN quality = 1 AND toxic = 0 THEN 1.0 ELSE 0.0 END), 6) AS first_pass FROM labels JOIN documents USING (doc_id) GROUP BY 1")
@@ -46,15 +45,18 @@ def script_score(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.bool_and(ok).alias("all_ok"), F.bool_or(ok).alias("any_ok"))
 
 
-@query("SELECT * FROM (VALUES ('group_sum', 0::BIGINT, 0::BIGINT), ('join3_agg', 0::BIGINT, 0::BIGINT)) t(name, missing, extra)")
+_RICH = "SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer {} GROUP BY 1, 2"
+_SETS = {"same": ("", ""), "part": ("", "WHERE c_acctbal > 0"), "other": ("WHERE c_acctbal > 5000", "WHERE c_acctbal <= 5000")}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS name, (SELECT count(*) FROM ({_RICH.format(a)} EXCEPT ALL {_RICH.format(b)})) AS missing, (SELECT count(*) FROM ({_RICH.format(b)} EXCEPT ALL {_RICH.format(a)})) AS extra" for name, (a, b) in _SETS.items()))
 def match_levels(spark: SparkSession, sf: str) -> DataFrame:
-    """The same results by the DataFrame API and as SQL text: rows that either lacks."""
-    lines, orders, customer, nation = (table(spark, sf, t) for t in ("lineitem", "orders", "customer", "nation"))
-    first = spark.sql("SELECT count(*) AS N, sum(cast(l_extendedprice AS decimal(18,2))) AS SUM_PRICE, sum(cast(l_quantity AS decimal(18,2))) AS sum_qty, l_linestatus, l_returnflag FROM {lines} GROUP BY 4, 5", lines=lines)
-    second = spark.sql("SELECT n_name, count(*) AS n_orders, sum(cast(o_totalprice AS decimal(18,2))) AS revenue FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey GROUP BY 1", orders=orders, customer=customer, nation=nation)
-    out = None
-    for name, a, b in (("group_sum", group_sum(spark, sf), first), ("join3_agg", join3_agg(spark, sf), second)):
-        missing, extra = multiset_difference(a, b)
+    """Result sets of the DataFrame API against those of SQL text, columns named and ordered otherwise: rows that either lacks."""
+    customer, out = table(spark, sf, "customer"), None
+    for name, (a, b) in _SETS.items():
+        first = customer.where(a.removeprefix("WHERE ") or "true").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"))
+        second = spark.sql(f"SELECT count(*) AS N, c_mktsegment AS C_MKTSEGMENT, c_nationkey FROM {{customer}} {b} GROUP BY 2, 3", customer=customer)
+        missing, extra = multiset_difference(first, second)
         part = missing.agg(F.count("*").alias("missing")).crossJoin(extra.agg(F.count("*").alias("extra"))).select(F.lit(name).alias("name"), "missing", "extra")  # one row each
         out = part if out is None else out.union(part)
     return out

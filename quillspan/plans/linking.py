@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import tokens, whole_word
 from ..session import table
 from .registry import query
 
@@ -48,16 +48,16 @@ def card_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(r"""SELECT conv_id, turn, CASE WHEN doc AND db THEN 'HYBRID' WHEN db THEN 'DB' WHEN doc THEN 'DOC' ELSE 'CHAT' END AS intent FROM
-(SELECT conv_id, turn, regexp_matches(lower(text), '\b(the|der|que|les)\b') AS doc, regexp_matches(lower(text), '\b(for|mit|para|dans)\b') AS db FROM conversations WHERE role = 'user')""")
+(SELECT conv_id, turn, regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])(the|der|que|les)($|[^\p{L}\p{N}_])') AS doc, regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])(for|mit|para|dans)($|[^\p{L}\p{N}_])') AS db FROM conversations WHERE role = 'user')""")
 def intent_heuristic(spark: SparkSession, sf: str) -> DataFrame:
     low = F.lower("text")
-    doc, db = low.rlike(r"\b(the|der|que|les)\b"), low.rlike(r"\b(for|mit|para|dans)\b")
+    doc, db = low.rlike(whole_word("the|der|que|les")), low.rlike(whole_word("for|mit|para|dans"))
     intent = F.when(doc & db, "HYBRID").when(db, "DB").when(doc, "DOC").otherwise("CHAT")
     return table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", intent.alias("intent"))
 
 
 #: Slot rules in order: (pattern of the question, slot, what satisfies it).
-RULES = [(r"\bthat\b", "period", r"[0-9]{4}"), (r"\bthe\b", "entity", r"\bwith\b"), (r"\bder\b", "entity", r"\bmit\b")]
+RULES = [(whole_word("that"), "period", r"[0-9]{4}"), (whole_word("the"), "entity", whole_word("with")), (whole_word("der"), "entity", whole_word("mit"))]
 
 
 @query("SELECT conv_id, turn, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN {n}" for n, (p, _, _) in enumerate(RULES)) + " END AS rule, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN CASE WHEN regexp_matches(lower(text), '{ok}') THEN NULL ELSE '{slot}' END" for p, slot, ok in RULES) + " END AS missing FROM conversations WHERE role = 'user'")
@@ -90,12 +90,6 @@ def trivial_turns(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", ((F.length("text") <= 30) & F.col("text").rlike(r"^\S+\.?$")).alias("trivial"))
 
 
-@query("SELECT o_orderpriority AS priority, o_orderstatus AS status, count(*) AS n, CASE WHEN count(*) = 0 THEN 'truly_no_data' WHEN count(*) < 10 THEN 'sparse' ELSE 'ok' END AS verdict FROM orders GROUP BY 1, 2")
-def empty_attribution(spark: SparkSession, sf: str) -> DataFrame:
-    n = F.count("*")
-    return table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status")).agg(n.alias("n"), F.when(n == 0, "truly_no_data").when(n < 10, "sparse").otherwise("ok").alias("verdict"))
-
-
 @query("SELECT c_nationkey, CASE WHEN count(*) = 0 THEN 'empty' WHEN count(*) = 1 AND (max(c_acctbal) IS NULL OR max(c_acctbal) = 0) THEN 'semantically_empty' ELSE 'filled' END AS state, min(c_acctbal) AS low, max(c_acctbal) AS high FROM customer WHERE c_acctbal > 8000 GROUP BY 1")
 def semantic_empty(spark: SparkSession, sf: str) -> DataFrame:
     n, high = F.count("*"), F.max("c_acctbal")

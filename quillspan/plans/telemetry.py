@@ -62,11 +62,11 @@ def event_order(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("user_id", "event_id", prev.alias("prev")).groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("prev").isNotNull() & (F.col("event_id") < F.col("prev"))).alias("disordered"))
 
 
-@query("SELECT conv_id, turn, role, place FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS place FROM conversations) WHERE place <= 6")
+@query("SELECT conv_id, turn, role, place FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text) AS place FROM conversations) WHERE place <= 6")
 def turn_listing(spark: SparkSession, sf: str) -> DataFrame:
     """The last six turns of each conversation."""
-    last = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
-    return table(spark, sf, "conversations").select("conv_id", "turn", "role").withColumn("place", last).where("place <= 6")
+    last = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"), "role", "text"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", "role", last.alias("place")).where("place <= 6")
 
 
 @query("""SELECT p.conv_id, p.turn, count(c.turn) AS n_children FROM conversations p LEFT JOIN conversations c ON c.conv_id = p.conv_id AND c.turn // 2 = p.turn AND c.turn > p.turn GROUP BY 1, 2""")
@@ -77,18 +77,18 @@ def trace_children(spark: SparkSession, sf: str) -> DataFrame:
     return turns.join(kids, ["conv_id", "turn"], "left").groupBy("conv_id", "turn").agg(F.coalesce(F.first("n_children"), F.lit(0)).alias("n_children"))
 
 
-@query("""WITH RECURSIVE t AS (SELECT conv_id, turn, lpad(CAST(turn AS VARCHAR), 4, '0') AS path, 0 AS depth FROM conversations WHERE turn = 0
-UNION ALL SELECT c.conv_id, c.turn, t.path || '/' || lpad(CAST(c.turn AS VARCHAR), 4, '0'), t.depth + 1 FROM conversations c JOIN t ON c.conv_id = t.conv_id AND c.turn // 2 = t.turn AND c.turn > t.turn) SELECT conv_id, turn, path, depth FROM t""")
+@query("""WITH RECURSIVE t AS (SELECT conv_id, turn, lpad(CAST(turn AS VARCHAR), 12, '0') AS path, 0 AS depth FROM conversations WHERE turn = 0
+UNION ALL SELECT c.conv_id, c.turn, t.path || '/' || lpad(CAST(c.turn AS VARCHAR), 12, '0'), t.depth + 1 FROM conversations c JOIN t ON c.conv_id = t.conv_id AND c.turn // 2 = t.turn AND c.turn > t.turn) SELECT conv_id, turn, path, depth FROM t""")
 def trace_preorder(spark: SparkSession, sf: str) -> DataFrame:
     """Paths from the root: their order is the tree's pre-order. A level is a join, so depth grows with the logarithm of turns."""
     turns = table(spark, sf, "conversations").select("conv_id", "turn")
     deepest = turns.agg(F.max("turn")).first()[0] or 0
-    name = F.lpad(F.col("turn").cast("string"), 4, "0")
+    name = F.lpad(F.col("turn").cast("string"), 12, "0")
     level = turns.where("turn = 0").select("conv_id", "turn", name.alias("path"), F.lit(0).alias("depth"))
     out, n = level, 0
     while (1 << n) <= deepest:
         kids = turns.where("turn > turn div 2").select("conv_id", F.expr("turn div 2").alias("parent"), F.col("turn").alias("kid"))
-        level = level.join(kids, (kids["conv_id"] == level["conv_id"]) & (kids["parent"] == level["turn"])).select(level["conv_id"], F.col("kid").alias("turn"), F.concat_ws("/", "path", F.lpad(F.col("kid").cast("string"), 4, "0")).alias("path"), (F.col("depth") + 1).alias("depth"))
+        level = level.join(kids, (kids["conv_id"] == level["conv_id"]) & (kids["parent"] == level["turn"])).select(level["conv_id"], F.col("kid").alias("turn"), F.concat_ws("/", "path", F.lpad(F.col("kid").cast("string"), 12, "0")).alias("path"), (F.col("depth") + 1).alias("depth"))
         out, n = out.union(level), n + 1
     return out
 

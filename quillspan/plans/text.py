@@ -62,7 +62,7 @@ def char_normalize(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", (folded == F.col("text")).alias("plain"), F.md5(folded.cast("binary")).alias("folded"))
 
 
-@query(r"SELECT conv_id, turn, regexp_matches(lower(text), '\b(insert|update|delete|drop|alter|create|truncate|grant|revoke|merge|replace|copy|call|vacuum)\b') AS is_write FROM conversations")
+@query(r"SELECT conv_id, turn, regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])(insert|update|delete|drop|alter|create|truncate|grant|revoke|merge|replace|copy|call|vacuum)($|[^\p{L}\p{N}_])') AS is_write FROM conversations")
 def write_guard(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", is_write(F.col("text")).alias("is_write"))
 
@@ -81,14 +81,20 @@ def vector_parse(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select("vec_id", F.round(F.aggregate(back, F.lit(0.0), lambda s, x: s + x.cast("double")), 5).alias("total"), F.size(back).alias("dim"))
 
 
-@query("""SELECT a.term, b.term AS near FROM (SELECT DISTINCT regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS term FROM customer) a
-JOIN (SELECT DISTINCT regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS term FROM customer) b ON a.term < b.term AND length(a.term) = length(b.term) AND substr(a.term, 1, length(a.term) - 1) = substr(b.term, 1, length(b.term) - 1) AND levenshtein(a.term, b.term) = 1""")
+_TERMS = "(SELECT DISTINCT regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS term FROM customer)"
+
+
+@query(f"SELECT a.term, b.term AS near FROM {_TERMS} a JOIN {_TERMS} b ON a.term < b.term AND length(a.term) >= 4 AND length(b.term) >= 4 AND abs(length(a.term) - length(b.term)) <= 1 AND levenshtein(a.term, b.term) = 1")
 def edit_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Names one changed last character apart: blocked on the rest, then verified by edit distance."""
-    terms = table(spark, sf, "customer").select(F.regexp_replace(F.lower("c_name"), "[^a-z0-9]", "").alias("term")).distinct()
-    keyed = terms.select("term", F.expr("substr(term, 1, length(term) - 1)").alias("stem"))
-    other = keyed.select(F.col("term").alias("near"), "stem")
-    return keyed.join(other, "stem").where((F.col("term") < F.col("near")) & (F.levenshtein("term", "near") == 1)).select("term", "near")
+    """Names of four letters or more, one added, changed or left-out character apart, wherever it is.
+
+    Two such names have a string in common that either is, or becomes by leaving out one character: they meet under it, and edit distance decides.
+    """
+    terms = table(spark, sf, "customer").select(F.regexp_replace(F.lower("c_name"), "[^a-z0-9]", "").alias("term")).distinct().where("length(term) >= 4")
+    without = F.expr("transform(sequence(1, length(term)), i -> concat(substr(term, 1, i - 1), substr(term, i + 1)))")
+    keyed = terms.select("term", F.explode(F.array_distinct(F.concat(F.array("term"), without))).alias("key"))
+    other = keyed.select(F.col("term").alias("near"), "key")
+    return keyed.join(other, "key").where((F.col("term") < F.col("near")) & (F.levenshtein("term", "near") == 1)).select("term", "near").distinct()
 
 
 @query()
