@@ -40,7 +40,8 @@ def shared_sql(name: str, about: str, text: str, given: dict[str, Query] | None
 
     run.__name__, run.__doc__ = name, about
     twin = re.sub(r"\{(\w+)\}", lambda m: f"({ORACLE_SQL[own[m[1]].__name__]})" if m[1] in own else m[1], text)
-    return query(twin.replace("{{", "{").replace("}}", "}"))(run)
+    twin = twin.replace("{{", "{").replace("}}", "}").replace("regexp_like(", "regexp_matches(")  # named otherwise in DuckDB
+    return query(twin)(run)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
