@@ -15,8 +15,8 @@ they share a part, and its block; they meet there, and the Hamming distance of 1
 a text has blocks for its own class and the next. A long text's fingerprint ends after ``MOST`` parts: a part of two such texts
 is the same with odds of at least 0.36, so none of these is with odds below one in a million. (A shared part may be empty for both: texts of up to ``FEW`` parts are dealt
 ``TURNS`` times, which leaves odds below 1 in 10,000 for pairs at the very edge.) A block's members are first checked against the least of
-them alone; then, where a block holds members of several components, pairs of these are. Blocks with more than ``BUCKET`` such members
-bring together only those of them that share one of their rarest shingles, which any two of that similarity do.
+them alone; then, of blocks that hold members of several components, those of different ones that share one of their rarest shingles, which any
+two of that similarity do.
 
 Cases: null and empty texts, and texts of white space alone, have fingerprint zero and are linked
 like any other; fewer words than a shingle are one shingle; repeated rows keep a row each; a null
@@ -46,7 +46,7 @@ BLOCKS = 4
 #: Parts that give blocks, and shingles from which on whole fingerprints are compared.
 MOST, SURE = 32, 32
 #: Parts up to which shingles are dealt several times, and how often; word hashes kept by a task, and texts whose blocks it has given.
-FEW, TURNS, KEPT = 16, 3, 200_000
+FEW, TURNS, KEPT = 16, 3, 20_000
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -277,27 +277,29 @@ def similar_texts(docs: DataFrame, text_col: str = "text", k: int = 5, least: fl
     links = cut(_checked(tried, prints, texts, k, least).distinct())
     roots = components(links).select(F.col("node").alias("digest"), "root")
     placed = cut(prints.select("id", "digest").join(roots, "digest", "left").select("id", F.coalesce("root", "digest").alias("component")))
-    # blocks that hold several components
-    inside = members.select("key", "id").union(members.select("key", F.col("hub").alias("id"))).distinct().join(placed, "id")
-    mixed = inside.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
-    mixed = cut(inside.join(mixed.select("key", "size"), "key"))
-    few, many = mixed.where(F.col("size") <= BUCKET), cut(mixed.where(F.col("size") > BUCKET).select("id", "component").distinct())
-    crowd = _described(texts.join(shared_if_small(many.select("id").distinct()), "id", "left_semi").select("id", "digest", "text"), k, True)
-    rare = _rarest(many.join(crowd.select("id", "n", "hashes"), "id"), least)
-    more = cut(_across(few.select("key", "id", "component")).union(_across(rare)).distinct().join(tried, ["a", "b"], "left_anti"))
+    # texts of blocks that hold several components
+    inside = members.select("key", "id").union(members.select("key", F.col("hub").alias("id"))).join(placed, "id")
+    mixed = inside.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
+    crowd = cut(inside.join(mixed, "key", "left_semi").select("id", "component").distinct())
+    whole = _described(texts.join(shared_if_small(crowd.select("id").distinct()), "id", "left_semi").select("id", "digest", "text"), k, True)
+    more = cut(_across(cut(_rarest(crowd.join(whole.select("id", "n", "hashes"), "id"), least))).distinct().join(tried, ["a", "b"], "left_anti"))
     return components(links.union(_checked(more, prints, texts, k, least)).distinct()).select(F.col("node").alias("digest"), "root")
 
 
 def _across(members: DataFrame) -> DataFrame:
-    """Pairs (a, b: ids) of different components under one key."""
-    other = members.select("key", F.col("id").alias("b"), F.col("component").alias("there"))
-    return members.join(other, "key").where("id < b AND component != there").select(F.col("id").alias("a"), "b")
+    """Pairs (a, b: ids) of different components under one key. Pairs of components are found first, so none within a component is looked at."""
+    held = members.select("key", "component").distinct()
+    two = held.join(held.select("key", F.col("component").alias("other")), "key").where("component < other")
+    one, other = members.select("key", "component", F.col("id").alias("x")), members.select("key", F.col("component").alias("other"), F.col("id").alias("y"))
+    return two.join(one, ["key", "component"]).join(other, ["key", "other"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def _rarest(members: DataFrame, least: float) -> DataFrame:
-    """``members`` (id, component, n, hashes) under each of the rarest shingles that a similar one must share one of, as keys."""
+    """``members`` (id, component, n, hashes) under each of their rarest shingles, one of which a similar one must share, as ``key``, if
+    several components do share it.
+    """
     each = members.select("id", "component", "n", F.explode("hashes").alias("key"))
-    often = each.groupBy("key").agg(F.count("*").alias("often"))
+    often = each.groupBy("key").agg(F.count("*").alias("often"), (F.min("component") < F.max("component")).alias("shared"))
     order = Window.partitionBy("id", "component").orderBy("often", "key")
     ranked = each.join(often, "key").withColumn("place", F.row_number().over(order))
-    return ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * (least - 1e-9)) + 1).select("key", "id", "component")
+    return ranked.where("shared").where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * (least - 1e-9)) + 1).select("key", "id", "component")

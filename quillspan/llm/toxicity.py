@@ -60,7 +60,7 @@ class Model:
     def word(self, word: str) -> float:
         found = self.words.get(word)
         if found is None:
-            if len(self.words) > 100_000:
+            if len(self.words) > 30_000:
                 self.words.clear()
             found = self.words[word] = sum(self.weights.get(f, 0.0) for f in _features(word))
         return found
