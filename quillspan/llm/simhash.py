@@ -297,9 +297,13 @@ def _across(members: DataFrame) -> DataFrame:
 def _rarest(members: DataFrame, least: float) -> DataFrame:
     """``members`` (id, component, n, hashes) under each of their rarest shingles, one of which a similar one must share, as ``key``, if
     several components do share it.
+
+    Shingles are shuffled once, with nothing but two numbers; those that one text alone has come first in its order, so only their number counts.
     """
-    each = members.select("id", "component", "n", F.explode("hashes").alias("key"))
-    often = each.groupBy("key").agg(F.count("*").alias("often"), (F.min("component") < F.max("component")).alias("shared"))
-    order = Window.partitionBy("id", "component").orderBy("often", "key")
-    ranked = each.join(often, "key").withColumn("place", F.row_number().over(order))
-    return ranked.where("shared").where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * (least - 1e-9)) + 1).select("key", "id", "component")
+    under, own = Window.partitionBy("key"), Window.partitionBy("id")
+    each = members.select("id", F.xxhash64("component").alias("c"), F.explode("hashes").alias("key"))
+    often = each.select("id", "key", F.count("*").over(under).alias("often"), (F.min("c").over(under) < F.max("c").over(under)).alias("shared")).where("often > 1")
+    counted = often.join(members.select("id", "component", "n"), "id")
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "key"))
+    ranked = counted.withColumn("place", place).where("shared").where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * (least - 1e-9)) + 1)
+    return ranked.select("key", "id", "component")
