@@ -15,7 +15,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -223,39 +223,64 @@ def _slices(batch: pa.RecordBatch, weight: pa.Array) -> Iterator[pa.RecordBatch]
         i = j
 
 
+def _spelled(packed: list[bytes | None], v: Vocabulary) -> list[str]:
+    """The texts that packed ids stand for."""
+    spell = v.bytes_of.__getitem__
+    return [b"".join(map(spell, np.frombuffer(x or b"", "<u4").tolist())).decode("utf-8", "replace") for x in packed]
+
+
+def _by_slice(df: DataFrame, source: str, added: list[T.StructField], start: Callable[[], Callable[[list], list[pa.Array]]]) -> DataFrame:
+    """``df`` with the columns ``added``, which the function that ``start`` makes in a worker gives for the values of a slice."""
+    names = [f.name for f in added]
+    df = df.select(*[df[c] for c in df.columns if c not in names])
+    schema = T.StructType([*df.schema.fields, *added])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = start()
+        for whole in batches:
+            at = whole.schema.get_field_index(source)
+            for batch in _slices(whole, pc.fill_null(pc.binary_length(whole.column(at)), 0)):
+                yield pa.RecordBatch.from_arrays([*batch.columns, *of(batch.column(at).to_pylist())], names=[*batch.schema.names, *names])
+
+    return df.mapInArrow(run, schema)
+
+
 def encode(df: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``df`` with ``ids_col``: the ids of the whole text, packed as little-endian unsigned 32-bit
     integers (``ids_array`` unpacks them), as the tokenizers library gives them without special
     tokens of its own. The vocabulary file must be at ``vocab_path`` on each executor.
     """
-    df = df.select(*[df[c] for c in df.columns if c != ids_col])
-    schema = T.StructType([*df.schema.fields, T.StructField(ids_col, T.BinaryType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         encoder = Encoder(vocabulary(vocab_path))
-        for whole in batches:
-            at = whole.schema.get_field_index(text_col)
-            for batch in _slices(whole, pc.fill_null(pc.binary_length(whole.column(at)), 0)):
-                ids = encoder.encode([x or "" for x in batch.column(at).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*batch.schema.names, ids_col])
+        return lambda texts: [pa.array(encoder.encode([x or "" for x in texts]), pa.binary())]
 
-    return df.mapInArrow(run, schema)
+    return _by_slice(df, text_col, [T.StructField(ids_col, T.BinaryType())], start)
 
 
 def decode(df: DataFrame, vocab_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``df`` with ``text_col``: the text that packed ids stand for; bytes that aren't UTF-8 become U+FFFD. Null ids: empty."""
-    df = df.select(*[df[c] for c in df.columns if c != text_col])
-    schema = T.StructType([*df.schema.fields, T.StructField(text_col, T.StringType())])
+    start = lambda: lambda ids: [pa.array(_spelled(ids, vocabulary(vocab_path)), pa.string())]
+    return _by_slice(df, ids_col, [T.StructField(text_col, T.StringType())], start)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spell = vocabulary(vocab_path).bytes_of.__getitem__
-        for whole in batches:
-            at = whole.schema.get_field_index(ids_col)
-            for batch in _slices(whole, pc.fill_null(pc.binary_length(whole.column(at)), 0)):
-                texts = [b"".join(map(spell, np.frombuffer(x or b"", "<u4").tolist())).decode("utf-8", "replace") for x in batch.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_col])
 
-    return df.mapInArrow(run, schema)
+def encode_decode(df: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """``df`` with ``ids_col`` as ``encode`` gives it and ``decoded_col`` as ``decode`` gives it from those ids.
+
+    One worker does both: two in a row would hold a vocabulary and its words' memory each, for every task.
+    """
+
+    def start():
+        v = vocabulary(vocab_path)
+        encoder = Encoder(v)
+
+        def both(texts: list[str | None]) -> list[pa.Array]:
+            ids = encoder.encode([x or "" for x in texts])
+            return [pa.array(ids, pa.binary()), pa.array(_spelled(ids, v), pa.string())]
+
+        return both
+
+    return _by_slice(df, text_col, [T.StructField(ids_col, T.BinaryType()), T.StructField(decoded_col, T.StringType())], start)
 
 
 def ids_array(packed: F.Column) -> F.Column:
@@ -268,9 +293,7 @@ def ids_array(packed: F.Column) -> F.Column:
 def digest(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes and decodes whole texts; a row per row of ``docs``: id, number of ids, and digests of ids and decoded text."""
     small = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    coded = encode(small, vocab_path).select("doc_id", "ids")
-    back = decode(coded, vocab_path)
-    return back.select(
+    return encode_decode(small, vocab_path).select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2(F.col("ids"), 256).alias("ids_sha256"),

@@ -53,6 +53,16 @@ def test_bpe_is_the_library_s(spark, docs, odd):
     assert bpe.digest(odd.limit(0), VOCAB).count() == 0
 
 
+@needs_vocab
+def test_bpe_in_one_worker_is_encode_then_decode(spark, odd):
+    clash = odd.select("doc_id", "text", F.lit(1).alias("ids"), F.lit(2).alias("decoded"))
+    both, apart = bpe.encode_decode(clash, VOCAB), bpe.decode(bpe.encode(clash, VOCAB), VOCAB)
+    assert both.columns == apart.columns == ["doc_id", "text", "ids", "decoded"]
+    rows = lambda df: Counter((r.doc_id, r.text, bytes(r.ids), r.decoded) for r in df.collect())
+    assert rows(both) == rows(apart)
+    assert bpe.encode_decode(odd.limit(0), VOCAB).count() == 0
+
+
 def test_bpe_decodes_broken_bytes(spark):
     if not os.path.exists(VOCAB):
         pytest.skip("no vocabulary file here")
