@@ -62,6 +62,17 @@ def hash_vectors(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return hash_arrays(texts, id_col, text_col).select("id", F.posexplode("vector").alias("slot", "value")).where("value != 0")
 
 
+def backfilled(texts: DataFrame, stored: DataFrame, id_col: str, text_col: str, key_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """``id``, ``vector``, ``filled``: the stored vectors of the texts, and hash vectors of those texts alone that have none.
+
+    A stored null counts as none; stored vectors of no text are left out, and so are texts without a token or an id that have none stored.
+    """
+    have = stored.where(F.col(vector_col).isNotNull()).select(F.col(key_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    asked = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+    new = hash_arrays(asked.join(have.select("id"), "id", "left_anti"), "id", "text")
+    return have.join(asked.select("id"), "id", "left_semi").withColumn("filled", F.lit(False)).unionByName(new.withColumn("filled", F.lit(True)))
+
+
 def dense_texts(docs: DataFrame, questions: DataFrame, most: int = 20) -> DataFrame:
     """``qid``, ``doc_id``, ``score``, ``rank`` by cosine of hash vectors."""
     d = hash_arrays(docs, "doc_id", "text").select(F.col("id").alias("doc_id"), F.col("vector").alias("v"))

@@ -62,6 +62,16 @@ def hash_embedding(spark: SparkSession, sf: str) -> DataFrame:
     return R.hash_vectors(table(spark, sf, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "slot", F.round("value", 6).alias("value"))
 
 
+@query(f"""WITH {_vectors("nv", "(SELECT * FROM part WHERE p_partkey NOT IN (SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL))", "p_partkey", "p_name")}
+SELECT id AS p_partkey, true AS filled, slot, round(value, 6) AS value FROM nv UNION ALL
+SELECT vec_id, false, CAST(slot AS INTEGER), value FROM (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS value, generate_subscripts(embedding, 1) - 1 AS slot FROM embeddings WHERE vec_id IN (SELECT p_partkey FROM part)) WHERE value <> 0""")
+def vector_backfill(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of parts' names: those of the same id in ``embeddings``, and hash vectors where there is none."""
+    held = R.backfilled(table(spark, sf, "part"), table(spark, sf, "embeddings"), "p_partkey", "p_name")
+    each = held.select(F.col("id").alias("p_partkey"), "filled", F.posexplode("vector").alias("slot", "value")).where("value != 0")
+    return each.withColumn("value", F.when(F.col("filled"), F.round("value", 6)).otherwise(F.col("value")))
+
+
 @query("""WITH s AS (SELECT q.vec_id AS qid, v.vec_id, round(list_inner_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings v CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""")
 def dense_topk(spark: SparkSession, sf: str) -> DataFrame:

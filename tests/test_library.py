@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import formula
 from quillspan.functions import text as X
-from quillspan.operators import documents, matching, scan
+from quillspan.operators import documents, matching, retrieval, scan
 from quillspan.sources import store
 from quillspan.streaming import jobs
 
@@ -101,3 +101,13 @@ def test_stream_windows(spark, sf, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert spark.sql("SELECT sum(calls) FROM usage").first()[0] == spark.sql("SELECT sum(n) FROM sessions").first()[0] == events.count()
+
+
+def test_backfilled(spark):
+    texts = spark.createDataFrame([(1, "red ring"), (2, "red ring"), (3, None), (4, "blue"), (None, "blue")], "k long, t string")
+    stored = spark.createDataFrame([(1, [0.5, 0.25]), (2, None), (9, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    rows = {r["id"]: r for r in retrieval.backfilled(texts, stored, "k", "t").collect()}
+    assert {k: r["filled"] for k, r in rows.items()} == {1: False, 2: True, 4: True}
+    assert rows[1]["vector"] == [0.5, 0.25]
+    assert abs(sum(x * x for x in rows[2]["vector"]) - 1) < 1e-9 and rows[2]["vector"] != rows[4]["vector"]
+    assert retrieval.backfilled(texts.limit(0), stored, "k", "t").count() == 0
