@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import ann, bpe, chat, decontam, langid, licenses, pii, simhash, toxicity, urls
+from . import ann, archives, bpe, chat, decontam, langid, licenses, negatives, periodic, pii, simhash, toxicity, urls
 
 #: The public vocabulary file; another one is a parameter of the queries' operators.
 VOCABULARY = str(public_tokenizers.path("byte_bpe_50k.json"))
@@ -66,7 +66,20 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_ann, op3_licenses, op4_langid, op5_chat, op6_toxicity, op7_simhash, op8_urls, op9_pii, op10_decontam)}
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.find(table(spark, sf_dir, "documents"), plant=True)
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_ann, op3_licenses, op4_langid, op5_chat, op6_toxicity, op7_simhash, op8_urls, op9_pii, op10_decontam, op11_negatives, op12_periodic, op13_warc)}
 
 
 def _quoted(text: str) -> str:
@@ -119,4 +132,37 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN {matched} THEN 'bl
 FROM judged"""
 
 
-ORACLE_SQL: dict[str, str] = {"op5_chat": _conversations_sql(), "op8_urls": _urls_sql()}
+def _negatives_sql() -> str:
+    """Every anchor with every row."""
+    pairs = "list_inner_product(list_transform(a.embedding, lambda x: floor(256 * x::DOUBLE)), list_transform(b.embedding, lambda x: floor(256 * x::DOUBLE)))"
+    return f"""
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST({pairs} AS BIGINT) AS score
+  FROM rows a JOIN rows b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS positive_rank
+  FROM scores WHERE same QUALIFY positive_rank <= {negatives.POSITIVES}
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score, CAST(positive_rank AS INTEGER) AS positive_rank
+FROM positives JOIN scores USING (anchor_id)
+WHERE NOT same AND {negatives.LOW} * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= {negatives.NEGATIVES}"""
+
+
+def _archives_sql() -> str:
+    """Payloads grouped by their digests; five digits of a hexadecimal digest are four of a base 32 one."""
+    digit = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({} // {}) % 32) + 1, 1)"
+    four = " || ".join(digit.format("CAST('0x' || substr(hex, 5 * i + 1, 5) AS BIGINT)", 32**n) for n in (3, 2, 1, 0))
+    return f"""
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+held AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS response FROM payloads)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(8), lambda i: {four}), '') AS payload_digest,
+  CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> response THEN response END AS refers_to
+FROM held"""
+
+
+ORACLE_SQL: dict[str, str] = {"op5_chat": _conversations_sql(), "op8_urls": _urls_sql(), "op11_negatives": _negatives_sql(), "op13_warc": _archives_sql()}
