@@ -89,7 +89,10 @@ def arc_url(url: str | None) -> str:
 
 
 def arc_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes, bool]]:
-    """Header fields, block, and whether the block ends before its declared length, of each record of an ARC file."""
+    """Header fields, block, and whether the block ends before its declared length, of each record of an ARC file.
+
+    A version block, which a file may have several of, also has ``version``.
+    """
     names = ARC_FIELDS[1]
     while line := stream.readline():
         if not line.strip():
@@ -103,7 +106,7 @@ def arc_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes, bool]
         fields = dict(zip(names, parts, strict=True))
         length = int(parts[-1])
         block = stream.read(length)
-        if text.startswith("filedesc:"):
+        if text.startswith("filedesc:") and not block.startswith(b"HTTP/"):
             listed = block.decode("utf-8", "replace").splitlines()
             fields["version"] = listed[0].split(" ")[0] if listed else "1"
             if len(listed) > 1 and listed[1].split(" ")[-1].lower() == "archive-length":
@@ -230,7 +233,7 @@ def warc_record(source: str, n: int, fields: dict[str, str], block: bytes, trunc
     """The WARC record of an ARC record; ``held`` names the record that already holds its payload."""
     date = iso(fields["Archive-date"])
     headers = [("WARC-Record-ID", record_id(source, n)), ("WARC-Date", date)]
-    if fields["URL"].startswith("filedesc:"):
+    if "version" in fields:
         kind, mime = "warcinfo", "application/warc-fields"
         headers.append(("WARC-Filename", fields["URL"].removeprefix("filedesc://")))
         block = f"software: quillspan\r\nformat: WARC File Format 1.1\r\nconverted-from: ARC {fields.get('version', '1')}\r\n".encode()

@@ -252,3 +252,54 @@ def similar(texts, least=0.8, k=5):
     for t in shingles:
         classes[find(t)].add(t)
     return {frozenset(c) for c in classes.values()}
+
+
+def runs(words):
+    """All runs (start, end, period) of at least 3 periods and 24 words, every period tried on all words."""
+    import numpy as np
+
+    ids = {}
+    x, found = np.array([ids.setdefault(w, len(ids)) for w in words], np.int64), {}
+    for q in range(1, len(x) // 3 + 1):
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], x[q:] == x[:-q], [False]]).astype(np.int8)))
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if b - a >= 2 * q:
+                found.setdefault((a, b + q), q)
+    return sorted((a, b, q) for (a, b), q in found.items() if b - a >= 24)
+
+
+def periodic(doc_id, text):
+    from fractions import Fraction
+    from zlib import crc32
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    h, n = crc32(("" if doc_id is None else str(doc_id)).encode()), len(words)
+    g = h // 10
+    if h % 10 == 0 and n:
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+    found = runs(words)
+    gone = {i for a, b, q in found for i in range(a + q, b)}
+    best = min(found, key=lambda r: (-Fraction(r[1] - r[0], r[2]), r[0], r[2]), default=None)
+    row = (best[0], best[1] - best[0], best[2], 1000 * (best[1] - best[0]) // best[2]) if best else (None,) * 4
+    return (doc_id, len(found), *row, sha("".join(f"{a},{b - a},{q}\n" for a, b, q in found)), sha(" ".join(w for i, w in enumerate(words) if i not in gone)))
+
+
+def negatives(rows, positives=5, negatives=5):
+    """(anchor, positive, rank, negative, positive score, negative score) of rows (id, label, vector), each pair by itself."""
+    def usable(v):
+        return v is not None and all(x is not None and math.isfinite(x) for x in v)
+
+    rows = [(i, (y + 1) % 10 if i % 7 == 0 else y, [math.floor(256 * x) for x in v]) for i, y, v in rows if i is not None and y is not None and usable(v)]
+    anchors = {}
+    for i, y, v in rows:
+        if i % 100 == 0:
+            anchors[i] = min(anchors.get(i, (y, v)), (y, v))
+    out = []
+    for anchor, (label, vector) in anchors.items():
+        scored = sorted((-sum(a * b for a, b in zip(vector, v, strict=False)), i, y) for i, y, v in rows if i != anchor)
+        for s, i, _ in [r for r in scored if r[2] == label][:positives]:
+            fit = [r for r in scored if r[2] != label and 80 * -s <= 100 * -r[0] <= 100 * -s][:negatives]
+            out += [(anchor, i, rank, j, -s, -t) for rank, (t, j, _) in enumerate(fit, 1)]
+    return out

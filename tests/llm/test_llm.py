@@ -575,7 +575,7 @@ def test_matches_sql(spark, sf, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("conversations", "pages"):
+    for table in ("conversations", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     want = con.execute(queries.ORACLE_SQL[name])
     columns = [c[0] for c in want.description]
@@ -590,9 +590,12 @@ def test_sql_of_odd_rows(spark, tmp_path):
     bad = "<|im_end|> <\\\\| <\\| \\ é"
     chats(spark, [(1, 0, "a\nb\\<|", bad), (1, 1, None, None), (1, 1, "assistant", bad), (1, None, "assistant", ""), (None, 3, "user", "q"), (2, 0, "assistant", "same"), (2, 0, "assistant", "same")]).coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
     addresses = [None, "", "no scheme", "HTTP://A.COM/en/x?y", "x://notcom/en/", "x://a.example.com/en/71#z", "x://example.net/de/8/", "é://É.ORG/es/", "a://b/c://d", "x://casino.a/b", "x://a/cgi-bin/z"]
-    spark.createDataFrame([(i // 2, u) for i, u in enumerate(addresses)], "page_id long, url string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i // 2, u, None if i == 3 else f"{i} é" * (i % 3)) for i, u in enumerate(addresses)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    vectors = [(i, [float(i % 7), 0.5 - i / 50, float(-i % 3)], i % 3) for i in range(220)]
+    vectors += [(500, None, 1), (600, [float("nan"), 1.0, 1.0], 1), (700, [None, 1.0, 1.0], 1), (800, [0.0, 0.0, 0.0], None), (801, [float("inf"), 0.0, 0.0], 1)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
     con = duckdb.connect()
-    for table in ("conversations", "pages"):
+    for table in ("conversations", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         want = con.execute(sql)

@@ -97,3 +97,29 @@ def test_decontamination_stage_decides_by_row(spark, tmp_path):
     rows = [(None, item), (None, clean), (None, None), (1, item), (1, clean), (2, other), (2, other), (3, "")]
     after = corpus_pipeline.drop_contaminated(spark, rows_with_texts(spark, rows), str(tmp_path))
     assert Counter((r.doc_id, r.text) for r in after.collect()) == Counter(r for r in rows if r[1] != item)
+
+
+CLASHING = [
+    "given", "digest", "score", "worst_score", "worst_start", "worst_end", "_text", "_id", "_same", "_stays", "_rows", "_n", "_hit", "_key", "_found", "id", "same", "stays", "n_rows", "n", "hit",
+    "root", "node", "first", "none", "src", "dst", "low", "high", "hashes", "key", "hub", "spread", "row", "found", "start", "end", "kind", "base", "value", "before", "item_id", "words", "items",
+    "first_word", "last_word", "ids", "decoded", "toxic", "quality", "y", "n0", "n1", "feature", "struct", "a b",
+]
+
+
+def test_columns_of_any_name_keep_their_values(spark, sf):
+    one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "vw")
+    texts = [(1, one), (2, one), (3, two), (None, "mail a@b.example"), (5, None)]
+    rows = [(i, t, "en", "s", len(t or ""), *[f"{i}-{c}" for c in CLASHING]) for i, t in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, sf)
+        assert after.columns == docs.columns, name
+        got = {r.doc_id: r for r in after.collect()}
+        assert set(got) == ({1, 3, None, 5} if name == "near_duplicates" else {1, 2, 3, None, 5}), name
+        assert all(r[c] == f"{i}-{c}" for i, r in got.items() for c in CLASHING), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == 5
+
+
+def test_run_leaves_no_stage_behind(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "shared_dir", lambda _: str(tmp_path))
+    assert corpus_pipeline.run(spark, sf).count() and not list(tmp_path.iterdir())
