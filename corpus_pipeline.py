@@ -8,7 +8,7 @@
 5. tokens: a row per document with the number of ids and digests of ids and decoded text.
 
 All but the last return the columns of ``documents``. Rows are told apart by id and text, never by id alone: rows with
-a null id are kept or dropped by their text; in a group of near-duplicates a row with an id goes before one without,
+a null id are kept or dropped by their text; further columns, whatever their names, keep their values; in a group of near-duplicates a row with an id goes before one without,
 and of rows of one id that of least digest; different texts of one id stay if they aren't near-duplicates.
 """
 
@@ -20,37 +20,49 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm import bpe, decontam, pii, simhash, toxicity
+from quillspan.llm.archives import located
 from quillspan.llm.queries import VOCABULARY
 from quillspan.llm.rows import digest_of, shared_if_small
 from quillspan.session import cut, shared_dir, ship, table
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``digest`` (of the text) and ``given``, the whole row, so that no column meets one of a stage's own, whatever it is called."""
+    whole = F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns])
+    return docs.select(docs["doc_id"].alias("doc_id"), digest_of(docs["text"]).alias("digest"), whole.alias("given"))
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows that ``packed`` packed."""
+    return rows.select(*[F.col("given").getField(c).alias(c) for c in columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    keep = tuple(c for c in docs.columns if c != "doc_id")
-    scored = toxicity.score(docs, model, keep=keep)
-    return scored.where("score < 0.5").select(*docs.columns)
+    rows = packed(docs).withColumn("text", F.col("given").getField("text"))
+    return unpacked(toxicity.score(rows, model, keep=("given",)).where("score < 0.5"), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    texts = docs.groupBy("doc_id", digest_of(F.col("text")).alias("_text")).agg(F.count("*").alias("_rows"))
-    texts = cut(texts.join(simhash.similar_texts(docs).withColumnRenamed("digest", "_text"), "_text", "left").withColumn("root", F.coalesce("root", "_text")))
-    first = texts.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_text")).alias("first"))
-    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("_text") == F.col("first._text"))
-    decided = texts.join(first, "root").select(F.col("doc_id").alias("_id"), F.col("_text").alias("_same"), stays.alias("_stays"), "_rows")
-    decided = cut(decided.where("NOT _stays OR _rows > 1").drop("_rows"))
-    keyed = docs.withColumn("_text", digest_of(F.col("text")))
-    joined = keyed.join(shared_if_small(decided), keyed["doc_id"].eqNullSafe(decided["_id"]) & (keyed["_text"] == decided["_same"]), "left")
-    rows = Window.partitionBy("doc_id", "_text").orderBy(F.xxhash64(*docs.columns))
-    again = joined.where("_stays").withColumn("_n", F.row_number().over(rows)).where("_n = 1")
-    return joined.where("_stays IS NULL").select(*docs.columns).unionByName(again.select(*docs.columns))
+    rows = packed(docs)
+    texts = rows.groupBy("doc_id", "digest").agg(F.count("*").alias("n_rows"))
+    texts = cut(texts.join(simhash.similar_texts(docs), "digest", "left").withColumn("root", F.coalesce("root", "digest")))
+    first = texts.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "digest")).alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
+    decided = texts.join(first, "root").select(F.col("doc_id").alias("id"), F.col("digest").alias("same"), stays.alias("stays"), "n_rows")
+    decided = cut(decided.where("NOT stays OR n_rows > 1").drop("n_rows"))
+    joined = rows.join(shared_if_small(decided), rows["doc_id"].eqNullSafe(F.col("id")) & (rows["digest"] == F.col("same")), "left")
+    line = Window.partitionBy("doc_id", "digest").orderBy(F.xxhash64("given"))
+    again = joined.where("stays").withColumn("n", F.row_number().over(line)).where("n = 1")
+    return unpacked(joined.where("stays IS NULL").select("given").unionByName(again.select("given")), docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    texts = docs.select(digest_of(F.col("text")).alias("doc_id"), "text")
-    hit = cut(decontam.contaminated(texts, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_hit")).distinct())
-    return docs.join(shared_if_small(hit), digest_of(docs["text"]) == hit["_hit"], "left_anti").select(*docs.columns)
+    rows = packed(docs)
+    texts = docs.select(digest_of(docs["text"]).alias("doc_id"), docs["text"].alias("text"))
+    hit = cut(decontam.contaminated(texts, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("hit")).distinct())
+    return unpacked(rows.join(shared_if_small(hit), rows["digest"] == hit["hit"], "left_anti"), docs.columns)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,12 +89,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each keeps is written to the shared folder and read again."""
+    """All stages over ``documents``; what each keeps is written to the shared folder and read again. The folder goes when the last is done."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
     for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if n + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{n}")
             docs = spark.read.parquet(f"{folder}/{n}")
-    return docs
+    done = cut(docs)
+    system, path = located(folder)
+    system.delete_dir(path)
+    return done
