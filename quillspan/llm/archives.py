@@ -226,7 +226,8 @@ def convert(listed: DataFrame, folder: str, least: int = 0) -> DataFrame:
                 count += 1
         return pa.table({"file": [name], "records": pa.array([count], pa.int64())})
 
-    return cut(decided.select("file", "n", "held").groupBy("file").applyInArrow(run, "file string, records long"))
+    # a task for each file: decisions are so few bytes that Spark would put all into one
+    return cut(decided.select("file", "n", "held").repartition(max(1, listed.count()), "file").groupBy("file").applyInArrow(run, "file string, records long"))
 
 
 def warc_record(source: str, n: int, fields: dict[str, str], block: bytes, truncated: bool, held: dict | None) -> bytes:
