@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import documents as D
-from ..session import table
+from ..operators import graph
+from ..session import cut, table
 from .documents import _HEAD, _LINES, sales
 from .registry import query, shared_sql
 
@@ -17,16 +18,24 @@ slot_canonical = shared_sql(
 l AS (SELECT lower(o_orderpriority) AS label, count(*) AS n FROM {orders} GROUP BY 1)
 SELECT label, n, slot FROM (SELECT label, n, slot, row_number() OVER (PARTITION BY label ORDER BY CASE WHEN label = slot THEN 0 ELSE 1 END, length(slot) DESC, slot) AS place FROM l LEFT JOIN s ON contains(label, slot) OR contains(slot, label)) t WHERE place = 1""",
 )
-synonym_families = shared_sql(
-    "synonym_families",
-    "Part names that share a word are of one family: the first of it, by three rounds of the least name under each word, and whether a fourth changes it.",
-    """WITH w AS (SELECT DISTINCT p_name AS name, split_part(p_name, ' ', 1) AS word FROM {part} UNION SELECT DISTINCT p_name, split_part(p_name, ' ', 2) FROM {part}),
-a AS (SELECT name, min(low) AS low FROM (SELECT name, min(name) OVER (PARTITION BY word) AS low FROM w) t GROUP BY name),
-b AS (SELECT name, min(low) AS low FROM (SELECT w.name, min(a.low) OVER (PARTITION BY w.word) AS low FROM w JOIN a ON a.name = w.name) t GROUP BY name),
-c AS (SELECT name, min(low) AS low FROM (SELECT w.name, min(b.low) OVER (PARTITION BY w.word) AS low FROM w JOIN b ON b.name = w.name) t GROUP BY name),
-d AS (SELECT name, min(low) AS low FROM (SELECT w.name, min(c.low) OVER (PARTITION BY w.word) AS low FROM w JOIN c ON c.name = w.name) t GROUP BY name)
-SELECT d.name, c.low AS family, c.low = d.low AS settled FROM d JOIN c ON c.name = d.name""",
-)
+_WORDS = r"w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM benchmark), l AS (SELECT x.word AS a, y.word AS b FROM w x JOIN w y ON starts_with(y.word, x.word) AND length(y.word) - length(x.word) BETWEEN 1 AND 3 AND length(x.word) >= 3)"
+
+
+@query(f"""WITH RECURSIVE {_WORDS}, r(a, b) AS (SELECT word, word FROM w UNION SELECT r.a, l.b FROM r JOIN (SELECT a, b FROM l UNION SELECT b, a FROM l) l ON l.a = r.b)
+SELECT a AS word, min(b) AS family, count(*) AS n_words FROM r GROUP BY 1""")
+def synonym_families(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of the passages in families: a word of three letters or more and another that goes on for one to three letters are of one, and
+    families that share a word are one, to any length.
+    """
+    found = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
+    words = cut(table(spark, sf, "benchmark").select(F.explode(found).alias("node")).distinct())
+    stems = words.select(F.col("node").alias("dst"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("n")).where("length(dst) - n >= 3").select("dst", F.expr("substring(dst, 1, length(dst) - n)").alias("src"))
+    links = stems.join(words.withColumnRenamed("node", "src"), "src")
+    families = cut(graph.rooted(words, links))
+    sizes = families.groupBy("root").agg(F.count("*").alias("n_words"))
+    return families.join(sizes, "root").select(F.col("node").alias("word"), F.col("root").alias("family"), "n_words")
+
+
 intercepts = shared_sql(
     "intercepts",
     "Turns that a rule answers before any model: sums, and comparisons of two things.",
@@ -141,8 +150,6 @@ def formula_validate(spark: SparkSession, sf: str) -> DataFrame:
     e = F.col("expression")
     reason = F.when(F.col("name") == "", "no name").when(e == "", "no expression").when(F.length(e) > 500, "too long").when(e.rlike(r"[^A-Za-z0-9_ .+*/()^-]"), "not an expression").when(F.contains(e, F.lit("**")) | F.contains(e, F.lit("__")), "denied").otherwise("ok")
     once = each.withColumn("reason", reason).groupBy("doc_id", "name", "expression", "reason").agg(F.min("n").alias("n"))
-
-
     return once.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("n"))).where("place <= 20").select("doc_id", "name", "expression", "reason", "place")
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens, whole_word
-from ..session import table
+from ..operators import graph
+from ..session import cut, table
 from .registry import query
 
 #: Declared keys (table, column) that others may refer to, and columns that may refer.
@@ -71,11 +72,28 @@ def slot_check(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", rule.alias("rule"), missing.alias("missing"))
 
 
-@query("""SELECT conv_id, count(*) AS n_tasks, CAST(max(depth) AS INTEGER) AS waves FROM (SELECT conv_id, turn, CAST(floor(log2(turn + 1)) AS INTEGER) + 1 AS depth FROM conversations) GROUP BY 1""")
+_TASKS = """t AS (SELECT conv_id, turn, coalesce(max(length(text)), 0) AS n FROM conversations GROUP BY 1, 2),
+s AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS size, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM t),
+w AS (SELECT conv_id, turn, n % size AS other FROM s WHERE n % size <> turn UNION SELECT conv_id, turn, prev FROM s WHERE n % 2 = 0 AND prev IS NOT NULL)"""
+
+
+@query(f"""WITH RECURSIVE {_TASKS}, r(conv_id, a, b) AS (SELECT conv_id, turn, other FROM w UNION SELECT r.conv_id, r.a, w.other FROM r JOIN w ON w.conv_id = r.conv_id AND w.turn = r.b),
+bad AS (SELECT r.conv_id, r.b AS turn FROM r WHERE r.a = r.b UNION SELECT conv_id, b FROM r ANTI JOIN (SELECT conv_id, turn AS b FROM t) x USING (conv_id, b)),
+stuck AS (SELECT r.conv_id, a AS turn FROM r JOIN bad ON bad.conv_id = r.conv_id AND bad.turn = r.b UNION SELECT conv_id, turn FROM bad),
+l(conv_id, turn, wave) AS (SELECT conv_id, turn, 1 FROM t ANTI JOIN w USING (conv_id, turn) UNION SELECT w.conv_id, w.turn, l.wave + 1 FROM l JOIN w ON w.conv_id = l.conv_id AND w.other = l.turn ANTI JOIN stuck ON stuck.conv_id = w.conv_id AND stuck.turn = w.turn),
+d AS (SELECT conv_id, turn, max(wave) AS wave FROM l GROUP BY 1, 2)
+SELECT t.conv_id, t.turn, coalesce(d.wave, max(d.wave) OVER (PARTITION BY t.conv_id) + 1, 1) AS wave, d.wave IS NULL AS stuck FROM t LEFT JOIN d USING (conv_id, turn)""")
 def dag_levels(spark: SparkSession, sf: str) -> DataFrame:
-    """Waves of tasks, a turn waiting for turn (n - 1) div 2."""
-    depth = F.floor(F.log2(F.col("turn") + 1)).cast("int") + 1
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_tasks"), F.max(depth).alias("waves"))
+    """Turns as tasks, in waves. A turn waits for the one that its length points at, modulo the number of turns, and, if its length is even, for the
+    one before it; those in circles, or behind one, run in a last wave.
+    """
+    line = Window.partitionBy("conv_id")
+    tasks = table(spark, sf, "conversations").groupBy("conv_id", "turn").agg(F.coalesce(F.max(F.length("text")), F.lit(0)).alias("n"))
+    placed = cut(tasks.select("conv_id", "turn", "n", F.count("*").over(line).alias("size"), F.lag("turn").over(line.orderBy("turn")).alias("prev")))
+    points = placed.select(F.col("conv_id").alias("group"), F.col("turn").alias("task"), (F.col("n") % F.col("size")).alias("other")).where("other != task")
+    before = placed.where("n % 2 = 0 AND prev IS NOT NULL").select("conv_id", "turn", "prev")
+    found = graph.waves(placed.select(F.col("conv_id").alias("group"), F.col("turn").alias("task")), points.union(before))
+    return found.select(F.col("group").alias("conv_id"), F.col("task").alias("turn"), "wave", "stuck")
 
 
 @query("""SELECT a.conv_id, a.turn, replace('see {t}', '{t}', substr(coalesce(b.text, ''), 1, 120)) AS filled FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 WHERE a.role = 'assistant'""")
@@ -90,8 +108,14 @@ def trivial_turns(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", ((F.length("text") <= 30) & F.col("text").rlike(r"^\S+\.?$")).alias("trivial"))
 
 
-@query("SELECT c_nationkey, CASE WHEN count(*) = 0 THEN 'empty' WHEN count(*) = 1 AND (max(c_acctbal) IS NULL OR max(c_acctbal) = 0) THEN 'semantically_empty' ELSE 'filled' END AS state, min(c_acctbal) AS low, max(c_acctbal) AS high FROM customer WHERE c_acctbal > 8000 GROUP BY 1")
+@query("""SELECT n_nationkey, CASE WHEN count(c_custkey) = 0 THEN 'empty' WHEN count(*) = 1 AND (max(c_acctbal) IS NULL OR max(c_acctbal) = 0) THEN 'semantically_empty' ELSE 'filled' END AS state, min(c_acctbal) AS low, max(c_acctbal) AS high
+FROM nation LEFT JOIN (SELECT c_nationkey, c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 100 = c_nationkey * 3) ON c_nationkey = n_nationkey GROUP BY 1""")
 def semantic_empty(spark: SparkSession, sf: str) -> DataFrame:
-    n, high = F.count("*"), F.max("c_acctbal")
+    """Nations by what a statement finds of them: no row, one row that says nothing (its one balance null or 0), or more. The statement asks for
+    customers whose number ends in three times the nation's, debts as null.
+    """
+    asked = table(spark, sf, "customer").where("c_custkey % 100 = c_nationkey * 3").select("c_nationkey", "c_custkey", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("c_acctbal"))
+    n, high = F.count("c_custkey"), F.max("c_acctbal")
     state = F.when(n == 0, "empty").when((n == 1) & (high.isNull() | (high == 0)), "semantically_empty").otherwise("filled")
-    return table(spark, sf, "customer").where("c_acctbal > 8000").groupBy("c_nationkey").agg(state.alias("state"), F.min("c_acctbal").alias("low"), high.alias("high"))
+    joined = table(spark, sf, "nation").join(asked, F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    return joined.groupBy("n_nationkey").agg(state.alias("state"), F.min("c_acctbal").alias("low"), high.alias("high"))

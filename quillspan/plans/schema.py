@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import graph
 from ..operators import retrieval as R
-from ..session import table
+from ..session import cut, table
 from .linking import fk_check
-from .registry import query, shared_sql
+from .registry import ORACLE_SQL, query, shared_sql
 from .retrieval import _vectors
 
 #: Columns of each table, and those of few words that lend samples to its card.
@@ -96,12 +97,31 @@ def dual_recall(spark: SparkSession, sf: str) -> DataFrame:
     return R.ranked(both, "rrf", ["qid"], "table_name", len(COLUMNS)).where("rank <= 5 OR word_rank <= 4 OR vector_rank <= 4")
 
 
-#: Tables within six joins of each other by foreign keys that have no orphan in the tables themselves.
-_REACH = """WITH RECURSIVE e AS (SELECT DISTINCT split_part(src, '.', 1) AS a, split_part(dst, '.', 1) AS b FROM {fk} WHERE n_orphans = 0),
-u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(a, b, d) AS (SELECT a, b, 1 AS d FROM u UNION ALL SELECT r.a, u.b, r.d + 1 FROM r JOIN u ON r.b = u.a WHERE r.d < 6)"""
+#: Foreign keys that have no orphan in the tables themselves, as joins of tables both ways, and all paths that visit no table twice.
+_JOINS = f"""e AS (SELECT DISTINCT split_part(src, '.', 1) AS a, split_part(dst, '.', 1) AS b FROM ({ORACLE_SQL["fk_check"]}) WHERE n_orphans = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e)"""
+_WALKS = "w(a, b, path) AS (SELECT a, b, [a, b] FROM u UNION ALL SELECT w.a, u.b, list_append(path, u.b) FROM w JOIN u ON w.b = u.a WHERE NOT list_contains(path, u.b))"
+
+
+def joins(spark: SparkSession, sf: str) -> DataFrame:
+    """``src`` and ``dst``: tables that a foreign key without orphans joins."""
+    of = lambda c: F.split_part(c, F.lit("."), F.lit(1)).alias(c)
+    return cut(fk_check(spark, sf).where("n_orphans = 0").select(of("src"), of("dst")).distinct())
+
+
+@query(f"WITH RECURSIVE {_JOINS}, {_WALKS} SELECT a, b, CAST(min(len(path) - 1) AS INTEGER) AS n_joins FROM w GROUP BY 1, 2")
+def fk_shortest_path(spark: SparkSession, sf: str) -> DataFrame:
+    """The fewest joins between two tables, however many."""
+    both = cut(graph.both_ways(joins(spark, sf)))
+    found = graph.paths(both, both.select(F.col("src").alias("source"), F.col("src").alias("node")))
+    return found.where("source != node").select(F.col("source").alias("a"), F.col("node").alias("b"), "n_joins")
+
+
+@query(f"WITH RECURSIVE {_JOINS}, {_WALKS} SELECT a AS table_name, least(a, min(b)) AS component FROM w GROUP BY 1")
+def fk_components(spark: SparkSession, sf: str) -> DataFrame:
+    """The first of the tables that joins reach, for each table."""
+    return graph.components(joins(spark, sf)).select(F.col("node").alias("table_name"), F.col("root").alias("component"))
+
 
-fk_shortest_path = shared_sql("fk_shortest_path", "The fewest joins between two tables.", _REACH + " SELECT a, b, CAST(min(d) AS INT) AS n_joins FROM r WHERE a <> b GROUP BY a, b", {"fk": fk_check})
-fk_components = shared_sql("fk_components", "The first of the tables that joins reach, for each table.", _REACH + " SELECT a AS table_name, least(a, min(b)) AS component FROM r GROUP BY a", {"fk": fk_check})
 partner_expand = shared_sql(
     "partner_expand",
     "Up to nine tables of a question: those recalled, and their partners within two joins, by shared words and 3 for being near by vectors.",
@@ -110,12 +130,36 @@ s AS (SELECT p.qid, p.table_name, coalesce(k.overlap, 0) + CASE WHEN v.rank <= 5
 SELECT * FROM (SELECT qid, table_name, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, table_name) AS place FROM s) t WHERE place <= 9""",
     {"dual": dual_recall, "paths": fk_shortest_path, "words": card_keyword, "near": card_vector},
 )
+#: What a reader of the cards strikes out of a question's tables: (question, table), a parameter of the operator.
+STRUCK = [(1, "customer"), (2, "lineitem"), (2, "orders"), (4, "nation"), (4, "lineitem"), (4, "customer")]
+_STRUCK = "struck(qid, table_name) AS (VALUES " + ", ".join(f"({n}, '{t}')" for n, t in STRUCK) + ")"
+
+
+@query(f"""WITH RECURSIVE {_JOINS}, {_WALKS}, {_STRUCK}, p AS (SELECT qid, table_name FROM ({ORACLE_SQL["partner_expand"]})), rest AS (SELECT qid, table_name FROM p ANTI JOIN struck USING (qid, table_name)),
+k AS (SELECT * FROM rest UNION SELECT qid, table_name FROM p WHERE qid NOT IN (SELECT qid FROM rest)),
+c(qid, a, b) AS (SELECT qid, table_name, table_name FROM k UNION SELECT c.qid, c.a, u.b FROM c JOIN u ON u.a = c.b JOIN k ON k.qid = c.qid AND k.table_name = u.b),
+parts AS (SELECT qid, a AS table_name, min(b) AS part FROM c GROUP BY 1, 2),
+links AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY len(path), path, src, dst) AS cost FROM (SELECT qid, x.part AS src, y.part AS dst, path, row_number() OVER (PARTITION BY qid, x.part, y.part ORDER BY len(path), path) AS place
+  FROM w JOIN parts x ON x.table_name = w.a JOIN parts y USING (qid) WHERE y.table_name = w.b AND x.part < y.part) WHERE place = 1),
+around(qid, cost, goal, node) AS (SELECT qid, cost, dst, src FROM links UNION SELECT r.qid, r.cost, goal, CASE WHEN l.src = node THEN l.dst ELSE l.src END FROM around r JOIN links l ON l.qid = r.qid AND l.cost < r.cost AND node IN (l.src, l.dst)),
+kept_links AS (SELECT qid, path FROM links ANTI JOIN (SELECT qid, cost FROM around WHERE node = goal) USING (qid, cost))
+SELECT qid, table_name, false AS added FROM k UNION SELECT qid, table_name, true FROM (SELECT qid, unnest(path) AS table_name FROM kept_links) ANTI JOIN k USING (qid, table_name)""")
+def link_prune(spark: SparkSession, sf: str) -> DataFrame:
+    """A question's tables without those struck out (all of them, if all are), and the tables that joining the rest takes again."""
+    listed = F.array(*[F.struct(F.lit(n).alias("qid"), F.lit(t).alias("table_name")) for n, t in STRUCK])
+    struck = spark.range(1).select(F.explode(listed).alias("s")).select("s.*")
+    p = cut(partner_expand(spark, sf).select("qid", "table_name"))
+    some = p.join(struck, ["qid", "table_name"], "left_anti")
+    kept = some.union(p.join(some.select("qid").distinct(), "qid", "left_anti"))
+    found = graph.bridged(joins(spark, sf), kept.select(F.col("qid").alias("group"), F.col("table_name").alias("node")))
+    return found.select(F.col("group").alias("qid"), F.col("node").alias("table_name"), "added")
+
+
 join_paths = shared_sql(
     "join_paths",
     "The conditions that join the tables of a question, each pair of columns once.",
-    """SELECT DISTINCT x.qid, f.src || ' = ' || f.dst AS condition FROM {partners} x JOIN {partners} y ON x.qid = y.qid JOIN {fk} f ON f.n_orphans = 0 AND split_part(f.src, '.', 1) = x.table_name AND split_part(f.dst, '.', 1) = y.table_name
-WHERE x.place <= 4 AND y.place <= 4""",
-    {"partners": partner_expand, "fk": fk_check},
+    """SELECT DISTINCT x.qid, f.src || ' = ' || f.dst AS condition FROM {linked} x JOIN {linked} y ON x.qid = y.qid JOIN {fk} f ON f.n_orphans = 0 AND split_part(f.src, '.', 1) = x.table_name AND split_part(f.dst, '.', 1) = y.table_name""",
+    {"linked": link_prune, "fk": fk_check},
 )
 context_compression = shared_sql(
     "context_compression",
@@ -190,5 +234,3 @@ def alias_rewrite(spark: SparkSession, sf: str) -> DataFrame:
 
     found = said.select("p_partkey", F.aggregate("aliases", start, step).alias("f"))
     return found.select("p_partkey", F.col("f.text").alias("rest"), F.array_join("f.used", ",").alias("canonicals"))
-
-

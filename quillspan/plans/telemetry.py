@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import graph
 from ..operators.sessions import sessionize
-from ..session import table
+from ..session import cut, table
 from .registry import query
 from .relational import total
 
@@ -89,10 +90,27 @@ def trace_preorder(spark: SparkSession, sf: str) -> DataFrame:
     while (1 << n) <= deepest:
         kids = turns.where("turn > turn div 2").select("conv_id", F.expr("turn div 2").alias("parent"), F.col("turn").alias("kid"))
         level = level.join(kids, (kids["conv_id"] == level["conv_id"]) & (kids["parent"] == level["turn"])).select(level["conv_id"], F.col("kid").alias("turn"), F.concat_ws("/", "path", F.lpad(F.col("kid").cast("string"), 12, "0")).alias("path"), (F.col("depth") + 1).alias("depth"))
+        level = cut(level)  # so that a level doesn't compute all before it
         out, n = out.union(level), n + 1
     return out
 
 
+_LOST = "k AS (SELECT conv_id, turn, (turn - 1) // 2 AS parent FROM (SELECT conv_id, turn, max(length(text)) AS n FROM conversations GROUP BY 1, 2) WHERE n % 5 <> 0)"
+
+
+@query(f"""WITH RECURSIVE {_LOST}, t(conv_id, turn, path, depth) AS (SELECT conv_id, turn, lpad(CAST(turn AS VARCHAR), 12, '0'), 0 FROM k WHERE turn = 0 OR NOT EXISTS (SELECT 1 FROM k p WHERE p.conv_id = k.conv_id AND p.turn = k.parent)
+UNION ALL SELECT k.conv_id, k.turn, t.path || '/' || lpad(CAST(k.turn AS VARCHAR), 12, '0'), t.depth + 1 FROM k JOIN t ON k.conv_id = t.conv_id AND k.parent = t.turn AND k.turn > 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY path) AS pre FROM t), d AS (SELECT a.conv_id, a.turn, count(*) AS below FROM o a JOIN o b ON a.conv_id = b.conv_id AND starts_with(b.path, a.path || '/') GROUP BY 1, 2)
+SELECT conv_id, turn, pre, CAST(pre + coalesce(below, 0) - depth AS BIGINT) AS post, CAST(depth AS BIGINT) AS depth FROM o LEFT JOIN d USING (conv_id, turn)""")
+def trace_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as spans, each of turn (n - 1) div 2, in the order in which they begin and end. Spans whose length is divisible by 5 are lost, and
+    those under them become roots.
+    """
+    kept = table(spark, sf, "conversations").groupBy("conv_id", "turn").agg(F.max(F.length("text")).alias("n")).where("n % 5 != 0")
+    parent = F.when(F.col("turn") > 0, F.expr("(turn - 1) div 2"))
+    return graph.tour(kept.select(F.col("conv_id").alias("group"), F.col("turn").alias("node"), parent.alias("parent"))).select(F.col("group").alias("conv_id"), F.col("node").alias("turn"), "pre", "post", "depth")
+
+
 @query("SELECT conv_id, string_agg(DISTINCT role, ',' ORDER BY role) AS roles, count(*) AS n_turns, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations GROUP BY 1")
 def tools_used(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"), F.count("*").alias("n_turns"), F.sum(F.length("text")).alias("n_chars"))
