@@ -64,3 +64,26 @@ def union_length(intervals: DataFrame, key: str, start: str, end: str) -> DataFr
     line = Window.partitionBy(key).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.max(end).over(line), F.col(start))
     return intervals.select(key, F.greatest(F.lit(0), F.col(end) - F.greatest(F.col(start), before)).alias("new")).groupBy(key).agg(F.sum("new").alias("covered"))
+
+
+def chunk_texts(docs: DataFrame, most: int = CHUNK, least: int = LEAST) -> DataFrame:
+    """``doc_id``, ``n_chunk``, ``heading`` and ``text``: lines folded into chunks as in ``chunks``, and a heading begins a new chunk.
+
+    A chunk's lines are run on, but for a new line after a heading and after the end of a sentence. The fold is one pass within a document's row.
+    """
+    lines = F.transform(F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != ""), lambda x: F.struct(x.alias("text"), is_heading(x).alias("head")))
+    piece = lambda x: F.concat(x["text"], F.when(x["head"] | x["text"].rlike(r"[.!?]\z"), "\n").otherwise(""))
+    chunk = lambda acc: F.struct(acc["heading"].alias("heading"), acc["text"].alias("text"))
+    zero = F.struct(F.lit("").alias("text"), F.lit(0).alias("size"), F.lit(None).cast("string").alias("heading"), F.array().cast("array<struct<heading:string,text:string>>").alias("done"))
+
+    def step(acc: Column, x: Column) -> Column:
+        full = (acc["size"] > 0) & (x["head"] | ((acc["size"] + F.length(x["text"]) > most) & (acc["size"] >= least)))
+        return F.struct(
+            F.when(full, piece(x)).otherwise(F.concat(acc["text"], piece(x))).alias("text"),
+            (F.when(full, 0).otherwise(acc["size"]) + F.length(x["text"])).alias("size"),
+            F.when(x["head"], x["text"]).otherwise(acc["heading"]).alias("heading"),
+            F.when(full, F.array_append(acc["done"], chunk(acc))).otherwise(acc["done"]).alias("done"),
+        )
+
+    folded = F.aggregate(lines, zero, step, lambda acc: F.when(acc["size"] > 0, F.array_append(acc["done"], chunk(acc))).otherwise(acc["done"]))
+    return docs.select("doc_id", F.posexplode(folded).alias("n_chunk", "c")).select("doc_id", "n_chunk", "c.heading", "c.text")

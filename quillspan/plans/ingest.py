@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ingest import ingest, knowledge_base
+from ..session import cut, shared_dir, table
 from ..sources import store
-from ..session import table
 from .registry import query
 
+_HEAD = r"(length(text) <= 60 AND NOT regexp_matches(trim(text), '[.!?:;,]$') AND regexp_matches(trim(text), '\S\s+\S'))"
 _HASH = "substr(sha256(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(text, ''))), 1, 16)"
 
 
@@ -51,6 +55,39 @@ def kb_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return store.upsert(keep(old), keep(new), "doc_id")
 
 
+_INGESTED = f"""{_VERSIONS}, m AS (SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, n.doc_id IS NOT NULL AS again, o.doc_id IS NOT NULL AND n.content_hash IS NOT DISTINCT FROM o.content_hash AS same,
+  coalesce(n.content_hash, o.content_hash) AS content_hash, coalesce(n.text, o.text) AS text, o.text AS old_text, coalesce(n.source, o.source) AS source, o.doc_id IS NOT NULL AS before FROM o FULL JOIN n ON o.doc_id = n.doc_id),
+b AS (SELECT doc_id, n, text, {_HEAD} AS head FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM m) WHERE trim(text) <> ''),
+s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS i, CAST(length(text) AS INTEGER) AS size, text || CASE WHEN head OR regexp_matches(text, '[.!?]$') THEN chr(10) ELSE '' END AS piece FROM b),
+f AS (SELECT doc_id, i, size AS acc, 0 AS c, piece FROM s WHERE i = 1 UNION ALL SELECT doc_id, i, CASE WHEN cut THEN size ELSE acc + size END, CASE WHEN cut THEN c + 1 ELSE c END, piece FROM
+  (SELECT s.doc_id, s.i, s.size, f.acc, f.c, s.piece, s.head OR (f.acc + s.size > 512 AND f.acc >= 60) AS cut FROM f JOIN s ON s.doc_id = f.doc_id AND s.i = f.i + 1)),
+k AS (SELECT doc_id, CAST(max(c) + 1 AS INTEGER) AS n_chunks, md5(string_agg(piece, '' ORDER BY i)) AS chunks_md5 FROM f GROUP BY 1)"""
+
+
+@query(f"""WITH RECURSIVE {_INGESTED} SELECT doc_id, content_hash, n_chunks, chunks_md5, source, CASE WHEN again THEN '2' ELSE '1' END AS pass, CASE WHEN before AND (same OR NOT again) THEN '1' END AS first,
+CASE WHEN doc_id % 3 = 0 AND again AND doc_id % 2 = 0 THEN length(text) || ' * x' WHEN doc_id % 3 = 0 AND before THEN length(old_text) || ' * x' END AS expression, n_chunks AS n_vectors FROM m JOIN k USING (doc_id)""")
+def ingest_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """What a knowledge base holds after two rounds of documents: first one without a source, then one without another and with changed texts of a third.
+
+    Metadata of unchanged documents are merged, changed ones are cut into chunks again, those that don't come again stay. A third of the documents
+    have a formula; in the second round those of odd ids have one that is turned away as well, so theirs stay as they were.
+    """
+    folder = f"{shared_dir(spark).rstrip('/')}/base-{uuid.uuid4().hex}"
+    base = knowledge_base(spark, folder)
+    for number, docs in enumerate(versions(spark, sf), 1):
+        about = F.create_map(F.lit("source"), F.col("source"), F.lit("pass"), F.lit(str(number)), *([F.lit("first"), F.lit("1")] if number == 1 else []))
+        own = docs.where("doc_id % 3 = 0")
+        formulas = own.select("doc_id", F.lit("weight").alias("name"), F.concat(F.length("text").cast("string"), F.lit(" * x")).alias("expression"), F.lit(True).alias("valid"))
+        if number == 2:
+            formulas = formulas.union(own.where("doc_id % 2 = 1").select("doc_id", F.lit("worse"), F.lit("import x"), F.lit(False)))
+        ingest(base, docs, about.cast("map<string,string>"), formulas, "rounds", number)
+    chunks = base.read("chunk").groupBy("doc_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_chunk", "text"))), lambda x: x["text"]), "").cast("binary")).alias("chunks_md5"), F.count("embedding").cast("int").alias("n_vectors"))
+    whole = base.read("doc").join(chunks, "doc_id").join(base.read("formula").select("doc_id", "expression"), "doc_id", "left")
+    found = cut(whole.select("doc_id", "content_hash", "n_chunks", "chunks_md5", *[F.try_element_at("meta", F.lit(k)).alias(k) for k in ("source", "pass", "first")], "expression", "n_vectors"))
+    base.remove()
+    return found
+
+
 @query(f"WITH {_VERSIONS} SELECT o.doc_id, o.source, CASE WHEN o.content_hash = n.content_hash THEN 'refreshed' ELSE 'stale' END AS state, CASE WHEN o.content_hash = n.content_hash THEN n.n_chars + 1 ELSE o.n_chars END AS n_chars FROM o LEFT JOIN n ON o.doc_id = n.doc_id")
 def kb_meta_refresh(spark: SparkSession, sf: str) -> DataFrame:
     """Metadata is replaced only where the content hash hasn't changed."""

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.ingest import ingest as ingest_into
+from ..operators.ingest import knowledge_base
 from ..sources.store import content_hash
 
 
@@ -26,6 +28,19 @@ def ingest(spark: SparkSession, source: str, schema: str, store: str, checkpoint
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def upserts(spark: SparkSession, source: str, schema: str, store: str, checkpoint: str, name: str = "documents") -> StreamingQuery:
+    """Takes new document files (doc_id, text) into the knowledge base in ``store``: each batch is one commit of documents, chunks and vectors.
+
+    A changed document's rows take the place of its old ones; a batch that is run again after a failure finds its number in the manifest.
+    """
+
+    def take_in(batch: DataFrame, number: int) -> None:
+        ingest_into(knowledge_base(spark, store), batch, stream=name, batch=number)
+
+    files = spark.readStream.schema(schema).parquet(source)
+    return files.writeStream.foreachBatch(take_in).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def expiring_sessions(events: DataFrame, late: str = "1 hour", gap: str = "12 hours") -> DataFrame:
     """Sessions of users in a stream of (ts, user_id): closed ``gap`` after the last event, state dropped when the watermark passes."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
