@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import graph, phrases
 from ..operators import retrieval as R
 from ..session import cut, table
 from .linking import fk_check
@@ -220,17 +220,32 @@ SELECT p_partkey, text AS rest, array_to_string(used, ',') AS canonicals FROM r
 def alias_rewrite(spark: SparkSession, sf: str) -> DataFrame:
     """Aliases in questions about parts: the longest first, none inside another, one per name, at most five; what is left of the question."""
     part = table(spark, sf, "part")
-    names = part.select(F.col("p_type").alias("canonical"), F.lower("p_type").alias("alias")).union(part.select("p_brand", F.lower("p_brand"))).union(part.select("p_type", F.substring(F.lower("p_type"), 1, 3))).where("alias != ''").distinct()
-    order = F.struct((-F.length("alias")).alias("size"), "alias", "canonical")
-    listed = names.agg(F.array_sort(F.collect_list(order)).alias("aliases"))  # as many as types and brands
-    said = part.select("p_partkey", F.concat(F.lit("top "), F.lower("p_type"), F.lit(" "), "p_name", F.lit(" of "), F.lower("p_brand")).alias("text")).crossJoin(F.broadcast(listed))
-    start = F.struct(F.col("text").alias("text"), F.array().cast("array<string>").alias("used"))
-
-    def step(s: F.Column, a: F.Column) -> F.Column:
-        at = F.position(a["alias"], s["text"])
-        hit = (at > 0) & (F.size(s["used"]) < 5) & ~F.array_contains(s["used"], a["canonical"])
-        rest = F.concat(F.substring(s["text"], F.lit(1), at - 1), F.lit("<>"), F.substring(s["text"], at + F.length(a["alias"]), F.length(s["text"])))
-        return F.when(hit, F.struct(rest.alias("text"), F.array_append(s["used"], a["canonical"]).alias("used"))).otherwise(s)
-
-    found = said.select("p_partkey", F.aggregate("aliases", start, step).alias("f"))
-    return found.select("p_partkey", F.col("f.text").alias("rest"), F.array_join("f.used", ",").alias("canonicals"))
+    said = part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("top "), F.lower("p_type"), F.lit(" "), "p_name", F.lit(" of "), F.lower("p_brand")).alias("text"))
+    spans = phrases.longest_first(phrases.hits(said, part_aliases(part)))
+    gap = F.when(F.col("spans").isNull(), F.col("text")).otherwise(phrases.replaced(F.col("text"), F.col("spans"), lambda _: F.lit("<>")))
+    names = F.array_join(F.transform("spans", lambda x: x["canonical"]), ",")
+    return said.join(spans, "id", "left").select(F.col("id").alias("p_partkey"), gap.alias("rest"), F.coalesce(names, F.lit("")).alias("canonicals"))
+
+
+def part_aliases(part: DataFrame) -> DataFrame:
+    """``canonical`` and ``alias``: types and brands of parts, and the first three letters of types."""
+    return part.select(F.col("p_type").alias("canonical"), F.lower("p_type").alias("alias")).union(part.select("p_brand", F.lower("p_brand"))).union(part.select("p_type", F.substring(F.lower("p_type"), 1, 3))).where("alias != ''").distinct()
+
+
+@query()
+def fuzzy_rewrite(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions about parts with a letter of the type and one of the name left out: aliases first, then rounds that mend one word each.
+
+    The rounds cut the text into words again after every change, which SQL would need a text of its own for; tests hold it to a plain version.
+    """
+    part = table(spark, sf, "part")
+    names = part.select(F.col("p_type").alias("canonical"), F.lower("p_type").alias("alias")).union(part.select("p_brand", F.lower("p_brand")))
+    each = part.select(F.explode(F.split("p_name", " ")).alias("alias")).select(F.upper("alias").alias("canonical"), "alias")
+    asked = part.groupBy(typed_question().alias("text")).agg(F.min("p_partkey").alias("id"))
+    return phrases.rewrite(asked, names.union(each).distinct()).join(asked.select("id", F.col("text").alias("asked")), "id").select("asked", "text", F.to_json("applied").alias("applied"))
+
+
+def typed_question() -> F.Column:
+    at = F.lit(2) + F.length("p_name") % 3
+    less = lambda c, n: F.concat(F.substring(c, F.lit(1), n - 1), F.substring(c, n + 1, F.length(c)))
+    return F.concat(F.lit("sum of "), less(F.lower("p_type"), at), F.lit(" and "), less(F.col("p_name"), at + 1), F.lit(" for "), F.lower("p_brand"))

@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.similarity import gestalt
 from ..operators.scan import is_write
+from ..operators.similar import nearest
 from ..session import table
 from .registry import query
 
-#: Blocks that true values are dealt into.
-BLOCKS = 16
-
 
 @query(r"SELECT event_id, try_cast(nullif(regexp_extract(props, '(-?[0-9]+(?:\.[0-9]+)?)', 1), '') AS DOUBLE) AS k FROM events")
 def number_extract(spark: SparkSession, sf: str) -> DataFrame:
@@ -86,7 +82,7 @@ _TERMS = "(SELECT DISTINCT regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') A
 
 @query(f"SELECT a.term, b.term AS near FROM {_TERMS} a JOIN {_TERMS} b ON a.term < b.term AND length(a.term) >= 4 AND length(b.term) >= 4 AND abs(length(a.term) - length(b.term)) <= 1 AND levenshtein(a.term, b.term) = 1")
 def edit_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Names of four letters or more, one added, changed or left-out character apart, wherever it is.
+    """Names of four letters or more, one added, changed or left-out character apart, wherever it is, and of a gestalt ratio of 0.7 or more.
 
     Two such names have a string in common that either is, or becomes by leaving out one character: they meet under it, and edit distance decides.
     """
@@ -94,23 +90,17 @@ def edit_match(spark: SparkSession, sf: str) -> DataFrame:
     without = F.expr("transform(sequence(1, length(term)), i -> concat(substr(term, 1, i - 1), substr(term, i + 1)))")
     keyed = terms.select("term", F.explode(F.array_distinct(F.concat(F.array("term"), without))).alias("key"))
     other = keyed.select(F.col("term").alias("near"), "key")
-    return keyed.join(other, "key").where((F.col("term") < F.col("near")) & (F.levenshtein("term", "near") == 1)).select("term", "near").distinct()
+    met = keyed.join(other, "key").where((F.col("term") < F.col("near")) & (F.levenshtein("term", "near") == 1)).select("term", "near").distinct()
+    return met.where(gestalt("term", "near") >= 0.7)
 
 
 @query()
 def nearest_value(spark: SparkSession, sf: str) -> DataFrame:
-    """For misspelt part types the nearest true one by gestalt ratio, which no built-in gives: all true ones are compared, in blocks."""
+    """For misspelt part types the nearest true one by gestalt ratio, which no built-in gives; tests hold it to all pairs."""
     part = table(spark, sf, "part")
-    true = part.select(F.col("p_type").alias("near")).where("near IS NOT NULL").distinct().withColumn("block", F.pmod(F.xxhash64("near"), F.lit(BLOCKS)))
-
-    @F.pandas_udf("double")
-    def ratio(typed: pd.Series, near: pd.Series) -> pd.Series:
-        return pd.Series([0.0 if t is None else difflib.SequenceMatcher(None, x, t).ratio() for x, t in zip(typed.fillna(""), near, strict=True)])
-
     typed = part.groupBy(F.expr("concat(substr(p_type, 2), substr(p_type, 1, 1))").alias("typed")).agg(F.count("*").alias("n"))
-    asked = typed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))))
-    best = asked.join(true, "block", "left").withColumn("ratio", ratio("typed", "near")).groupBy("typed", "n").agg(F.max(F.struct("ratio", "near")).alias("m"))
-    return best.select("typed", "n", "m.near", F.round("m.ratio", 6).alias("ratio"))
+    best = nearest(typed.select(F.col("typed").alias("s")), part.select(F.col("p_type").alias("s")))
+    return typed.join(best, F.col("typed").eqNullSafe(F.col("a"))).select("typed", "n", F.col("b").alias("near"), F.round("ratio", 6).alias("ratio"))
 
 
 _ENUMS = [("customer", "c_mktsegment"), ("part", "p_brand"), ("part", "p_type"), ("orders", "o_orderpriority"), ("orders", "o_orderstatus"), ("nation", "n_name"), ("customer", "c_name")]
