@@ -58,3 +58,13 @@ def topn(question: Column) -> Column:
 def whole_word(words: str) -> str:
     """An expression for words (joined by ``|``) between characters that aren't letters, digits or ``_``, of any script: engines differ on ``\\b``."""
     return rf"(^|[^\p{{L}}\p{{N}}_])({words})($|[^\p{{L}}\p{{N}}_])"
+
+
+def characters(text: Column) -> Column:
+    """The characters of a text, as an array."""
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
+def once(value: Column) -> Column:
+    """``value`` as a generated column, computed once a row: a plain one is computed wherever it is used, within a lambda for every element."""
+    return F.explode(F.array(value))

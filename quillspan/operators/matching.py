@@ -1,9 +1,18 @@
-"""Comparison of result sets."""
+"""Comparison of result sets, and of passages with texts."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
+
+from ..functions.text import squeezed
+from . import phrases
+
+#: Characters of a stretch that is hashed, and stretches of a window, of which the least hash is kept.
+GRAM, WINDOW = 12, 9
 
 
 def normalized(cell: Column) -> Column:
@@ -26,3 +35,43 @@ def equal(a: DataFrame, b: DataFrame) -> bool:
         return False
     missing, extra = multiset_difference(a, b)
     return missing.isEmpty() and extra.isEmpty()
+
+
+def marks(text: str | None) -> np.ndarray:
+    """The least hash of each ``WINDOW`` successive stretches of ``GRAM`` characters, different ones once."""
+    points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    n = len(points) - GRAM + 1
+    if n < WINDOW:
+        return np.zeros(0, np.int64)
+    hashed = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(GRAM):
+            hashed = hashed * np.uint64(0x9E3779B97F4A7C15) + points[i : i + n]
+        hashed ^= hashed >> np.uint64(29)
+        hashed *= np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(hashed, WINDOW).min(axis=1)).view(np.int64)
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def winnowed(text: pd.Series) -> pd.Series:
+    """``marks`` of a column."""
+    return text.map(lambda t: marks(t))
+
+
+def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``item_id`` and ``doc_id``: documents (doc_id, text) that have a passage (item_id, text), case and all white space aside.
+
+    Texts are winnowed: of each ``WINDOW`` successive stretches the least hash is kept. A passage of ``GRAM + WINDOW - 1`` characters has a whole
+    window, which stands in every text that has the passage, however it is spaced, so its least hash is among the text's. They meet by that hash,
+    and the passage itself decides. Shorter passages are looked up by their length, as phrases are; an empty one stands in every text.
+    """
+    facts = items.select("item_id", squeezed(F.lower("text")).alias("fact")).where("fact IS NOT NULL")
+    bodies = docs.select("doc_id", squeezed(F.lower("text")).alias("body")).where("body IS NOT NULL")
+    least = GRAM + WINDOW - 1
+    long = facts.where(F.length("fact") >= least).withColumn("mark", F.element_at(winnowed(F.substring("fact", 1, least)), 1))
+    met = bodies.where(F.length("body") >= least).select("doc_id", F.explode(winnowed("body")).alias("mark")).join(long.select("item_id", "mark"), "mark").select("doc_id", "item_id").distinct()
+    whole = met.join(bodies, "doc_id").join(long.select("item_id", "fact"), "item_id").where(F.contains("body", "fact")).select("item_id", "doc_id").distinct()
+    short = facts.where(F.length("fact").between(1, least - 1)).select(F.col("fact").alias("alias"), F.col("item_id").alias("canonical"))
+    brief = phrases.hits(bodies.select(F.col("doc_id").alias("id"), F.col("body").alias("text")), short, 1).select(F.col("canonical").alias("item_id"), F.col("id").alias("doc_id")).distinct()
+    empty = bodies.select("doc_id").distinct().join(facts.where("fact = ''").select("item_id").distinct()).select("item_id", "doc_id")  # all, by definition
+    return whole.unionByName(brief).unionByName(empty)

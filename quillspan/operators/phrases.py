@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import gestalt
+from ..functions.text import characters, once
 from ..session import cut
 
 #: Characters of an alias's beginning; shorter ones are looked up as a whole.
@@ -20,14 +21,18 @@ APPLIED, ROUNDS, SPANS, RATIO = 5, 3, 12, 0.7
 MASK = "\x00"
 
 
-def hits(texts: DataFrame, aliases: DataFrame) -> DataFrame:
-    """``id``, ``start`` (from 1), ``alias``, ``canonical``: every place of the lower-cased texts (id, text) where an alias (alias, canonical) stands."""
-    names = aliases.where("length(alias) >= 2").select(F.lower("alias").alias("alias"), "canonical").distinct()
+def hits(texts: DataFrame, aliases: DataFrame, shortest: int = 2) -> DataFrame:
+    """``id``, ``start`` (from 1), ``alias``, ``canonical``: every place of the lower-cased texts (id, text) where an alias (alias, canonical) of ``shortest``
+    characters or more stands.
+    """
+    names = aliases.where(F.length("alias") >= shortest).select(F.lower("alias").alias("alias"), "canonical").distinct()
     heads = names.select(F.substring("alias", 1, HEAD).alias("head"), F.length("alias").alias("size")).distinct().groupBy("head").agg(F.collect_set("size").alias("sizes"))
     longest = names.agg(F.max(F.length("alias"))).first()[0] or 0
-    low = texts.select("id", F.lower("text").alias("text")).where("length(text) >= 2")
-    places = low.select("id", "text", F.explode(F.sequence(F.lit(1), F.length("text") - 1)).alias("start")).select("id", "start", F.expr(f"substring(text, start, {longest})").alias("ahead"))
-    beginnings = places.withColumn("head", F.explode(F.array_distinct(F.array(*[F.substring("ahead", 1, n) for n in range(2, HEAD + 1)]))))  # a short alias is its own
+    # from an array of characters: in a string each place would be found by counting from its start
+    low = texts.where("length(text) > 0").select("id", once(characters(F.lower("text"))).alias("c"))
+    stretches = F.transform(F.sequence(F.lit(1), F.size("c")), lambda i: F.array_join(F.slice("c", i, F.lit(longest)), ""))
+    places = low.select("id", F.posexplode(stretches).alias("start", "ahead")).select("id", (F.col("start") + 1).alias("start"), "ahead") if longest else low.select("id", F.lit(1).alias("start"), F.lit("").alias("ahead"))
+    beginnings = places.withColumn("head", F.explode(F.array_distinct(F.array(*[F.substring("ahead", 1, n) for n in range(min(shortest, HEAD), HEAD + 1)]))))  # a short alias is its own
     found = beginnings.join(heads, "head").select("id", "start", "ahead", F.explode("sizes").alias("size")).where("length(ahead) >= size")
     return found.select("id", "start", F.expr("substring(ahead, 1, size)").alias("alias")).join(names, "alias").select("id", "start", "alias", "canonical")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.formula import column, evaluate, parse
 from ..operators import documents as D
+from ..operators.geometry import union_area as union_area_of
 from ..session import table
 from .registry import query
 from .relational import money
@@ -66,6 +67,18 @@ def union_area(spark: SparkSession, sf: str) -> DataFrame:
     return D.union_length(spans, "l_suppkey", "s", "e")
 
 
+@query("""WITH r AS (SELECT DISTINCT l_suppkey AS k, CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS DOUBLE) AS x0, CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS DOUBLE) + l_quantity AS x1, round(l_extendedprice / 100) AS y0, round(l_extendedprice / 100) + 10 + l_linenumber * 20 AS y1 FROM lineitem),
+b AS (SELECT k, x, lead(x) OVER (PARTITION BY k ORDER BY x) AS e FROM (SELECT k, x0 AS x FROM r UNION SELECT k, x1 FROM r)),
+h AS (SELECT b.k, b.x, b.e, y0, y1, max(y1) OVER (PARTITION BY b.k, b.x ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM b JOIN r ON r.k = b.k AND r.x0 <= b.x AND r.x1 >= b.e AND r.x0 < r.x1 AND r.y0 < r.y1)
+SELECT k AS l_suppkey, sum(greatest(0, y1 - greatest(y0, coalesce(top, y0))) * (e - x)) AS area FROM h GROUP BY 1""")
+def union_area_rectangles(spark: SparkSession, sf: str) -> DataFrame:
+    """The area that each supplier's lines cover in the plane of days and prices."""
+    day = F.date_diff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date"))
+    price = F.round(F.col("l_extendedprice") / 100)
+    boxes = table(spark, sf, "lineitem").select("l_suppkey", day.alias("x0"), (day + F.col("l_quantity")).alias("x1"), price.alias("y0"), (price + 10 + F.col("l_linenumber") * 20).alias("y1"))
+    return union_area_of(boxes, "l_suppkey", "x0", "x1", "y0", "y1")
+
+
 @query(r"""SELECT o_orderkey, round(pmod_angle, 6) AS skew FROM (SELECT o_orderkey, CASE WHEN a > 45 THEN 90 - a ELSE a END AS pmod_angle FROM (SELECT o_orderkey, ((degrees(atan2(CAST(o_custkey AS DOUBLE), CAST(o_orderkey AS DOUBLE))) % 90) + 90) % 90 AS a FROM orders))""")
 def skew(spark: SparkSession, sf: str) -> DataFrame:
     """How far a direction is from the nearest right angle."""

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import squeezed, tokens
-from ..operators.matching import multiset_difference
+from ..operators.matching import contained, multiset_difference
 from ..session import table
 from .registry import query
 
@@ -19,23 +18,8 @@ def accuracy_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(r"""SELECT item_id, doc_id FROM (SELECT item_id, regexp_replace(lower(text), '\s+', '', 'g') AS fact FROM benchmark) b JOIN (SELECT doc_id, regexp_replace(lower(text), '\s+', '', 'g') AS body FROM documents) d ON contains(body, fact)""")
 def fact_hit(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that have a passage, white space and case aside.
-
-    A document with the passage has its inner runs of five tokens too, so candidates come from an equi-join on one of
-    them; the least frequent token run isn't needed as the passage decides. Passages too short for such a run are held
-against every document.
-    """
-    items = table(spark, sf, "benchmark").select("item_id", squeezed(F.lower("text")).alias("fact"), tokens(F.col("text")).alias("w"))
-    middle = F.slice("w", F.greatest(F.lit(2), F.floor(F.size("w") / 2).cast("int") - 2), 5)
-    items = items.select("item_id", "fact", F.xxhash64(F.array_join(middle, " ")).alias("run"), F.size(middle).alias("k"))
-    docs = table(spark, sf, "documents")
-    words = docs.select("doc_id", tokens(F.col("text")).alias("w"))
-    runs = words.select("doc_id", F.explode(F.expr("transform(if(size(w) >= 5, sequence(0, size(w) - 5), array()), i -> concat_ws(' ', w[i], w[i+1], w[i+2], w[i+3], w[i+4]))")).alias("r")).select("doc_id", F.xxhash64("r").alias("run"))
-    maybe = runs.join(items.where("k = 5"), "run").select("doc_id", "item_id", "fact").distinct()
-    long = maybe.join(docs.select("doc_id", "text"), "doc_id").where(F.contains(squeezed(F.lower("text")), F.col("fact"))).select("item_id", "doc_id")
-    bodies = docs.select("doc_id", squeezed(F.lower("text")).alias("body"))
-    short = bodies.join(items.where("k < 5").select("item_id", "fact"), F.contains(F.col("body"), F.col("fact"))).select("item_id", "doc_id")
-    return long.unionByName(short)
+    """Documents that have a passage, white space and case aside."""
+    return contained(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
 @query("""SELECT conv_id, count(*) AS n_turns, bool_and(ok) AS all_ok, bool_or(ok) AS any_ok FROM (SELECT conv_id, length(text) > 100 AS ok FROM conversations WHERE role = 'assistant') GROUP BY 1""")

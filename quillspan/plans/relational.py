@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.scan import bounded, distinct_values
-from ..session import table
+from ..operators.quantiles import at_ranks, percentiles
+from ..session import cut, table
 from .registry import query
 
 
@@ -187,23 +188,21 @@ def dominant_value(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT p_brand, round(median(p_retailprice), 6) AS median_price FROM part GROUP BY 1")
 def median_baseline(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").groupBy("p_brand").agg(F.round(F.median("p_retailprice"), 6).alias("median_price"))
+    """Exact medians, found by ranges of values: no task has all of a brand's prices."""
+    prices = table(spark, sf, "part").select(F.col("p_brand").alias("group"), F.col("p_retailprice").alias("value"))
+    return percentiles(prices, {"median": 0.5}).select(F.col("group").alias("p_brand"), F.round("median", 6).alias("median_price"))
 
 
 @query("""SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, any_value(nearest) AS p95_nearest FROM
 (SELECT e.event_type, e.value, n.value AS nearest FROM events e JOIN (SELECT event_type, value FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r,
 count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) WHERE r = greatest(1, CAST(floor(n * 0.95) AS BIGINT))) n ON e.event_type = n.event_type) GROUP BY 1""")
 def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Linear percentiles, and the value at place floor(0.95 n) of the sorted ones, read off value counts so that no group is sorted in one task."""
-    events = table(spark, sf, "events").where("value IS NOT NULL")
-    linear = events.groupBy("event_type").agg(F.expr("round(percentile(value, 0.5), 6)").alias("p50"), F.expr("round(percentile(value, 0.95), 6)").alias("p95"), F.expr("percentile(value, array(0.0, 1.0))").alias("_"), F.count("*").alias("n"))
-    place = F.greatest(F.lit(1), F.floor(F.col("n") * 0.95))
-    # at this fraction interpolation falls on the value itself
-    exact = linear.select("event_type", "p50", "p95", "n", place.alias("place"))
-    counts = events.groupBy("event_type", "value").count()
-    upto = counts.withColumn("upto", F.sum("count").over(Window.partitionBy("event_type").orderBy("value")))
-    hit = upto.join(exact, "event_type").where("upto >= place").groupBy("event_type", "p50", "p95").agg(F.min("value").alias("p95_nearest"))
-    return hit.select("event_type", "p50", "p95", "p95_nearest")
+    """Linear percentiles, and the value at place floor(0.95 n) of the sorted ones, found by ranges of values: no task has all of a type's values."""
+    values = cut(table(spark, sf, "events").where("value IS NOT NULL").select(F.col("event_type").alias("group"), "value"))
+    linear = percentiles(values, {"p50": 0.5, "p95": 0.95})
+    place = values.groupBy("group").agg(F.greatest(F.lit(1), F.floor(F.count("*") * 0.95)).cast("long").alias("rank"))
+    nearest = at_ranks(values, place).select("group", F.col("value").alias("p95_nearest"))
+    return linear.join(nearest, "group").select(F.col("group").alias("event_type"), F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "p95_nearest")
 
 
 @query("SELECT o_orderkey, o_totalprice, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_totalprice DESC, o_orderkey LIMIT 20")
