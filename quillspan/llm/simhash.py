@@ -16,7 +16,8 @@ a text has blocks for its own class and the next. A long text's fingerprint ends
 is the same with odds of at least 0.36, so none of these is with odds below one in a million. (A shared part may be empty for both: texts of up to ``FEW`` parts are dealt
 ``TURNS`` times, which leaves odds below 1 in 10,000 for pairs at the very edge.) A block's members are first checked against the least of
 them alone; then, of blocks that hold members of several components, those of different ones that share one of their rarest shingles, which any
-two of that similarity do.
+two of that similarity do: first one text of each component under a shingle, then all texts of those that are still apart. Sketches of 1,024 bits are compared
+within that join, so that only pairs that may be similar make a row (six standard deviations: odds of one in a billion that a pair at the very edge doesn't).
 
 Cases: null and empty texts, and texts of white space alone, have fingerprint zero and are linked
 like any other; fewer words than a shingle are one shingle; repeated rows keep a row each; a null
@@ -28,12 +29,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -47,6 +49,9 @@ BLOCKS = 4
 MOST, SURE = 32, 32
 #: Parts up to which shingles are dealt several times, and how often; word hashes kept by a task, and texts whose blocks it has given.
 FEW, TURNS, KEPT = 16, 3, 20_000
+#: Bits of a sketch, and the orders of shingles that they stand for.
+SKETCH = 1024
+_ORDERS = np.random.default_rng(11).integers(0, 1 << 63, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -202,8 +207,8 @@ def _posted(texts: DataFrame, k: int, least: float) -> DataFrame:
 
 
 def _described(texts: DataFrame, k: int, whole: bool) -> DataFrame:
-    """``id``, ``digest`` and ``n`` (shingles) of each different text of ``texts`` (id, digest, text), with ``hashes`` of all shingles if
-    ``whole``, else with ``low`` and ``high``, a SimHash of 128 bits.
+    """``id``, ``digest`` and ``n`` (shingles) of each different text of ``texts`` (id, digest, text), with ``hashes`` of all shingles and a
+    ``sketch`` if ``whole``, else with ``low`` and ``high``, a SimHash of 128 bits.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,13 +225,30 @@ def _described(texts: DataFrame, k: int, whole: bool) -> DataFrame:
             kept = batch.take(pa.array(rows, pa.int64()))
             found = [shingle_hashes(x.as_py(), k, words) for x in kept.column(2)]
             if whole:
-                more = {"hashes": pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))}
+                more = {"hashes": pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64())), "sketch": pa.array([sketch(h).view(np.int64) for h in found], pa.list_(pa.int64()))}
             else:
                 prints = np.array([_majority(h) for h in found], np.uint64).reshape(-1, 2).view(np.int64)
                 more = {"low": pa.array(prints[:, 0]), "high": pa.array(prints[:, 1])}
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array([len(h) for h in found], pa.int32()), *more.values()], names=["id", "digest", "n", *more])
 
-    return texts.mapInArrow(run, "id long, digest string, n int, " + ("hashes array<long>" if whole else "low long, high long")).dropDuplicates(["id", "digest"])
+    return texts.mapInArrow(run, "id long, digest string, n int, " + ("hashes array<long>, sketch array<long>" if whole else "low long, high long")).dropDuplicates(["id", "digest"])
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """A bit of the least of the shingles under each of ``SKETCH`` orders: two texts agree in a bit with odds of (1 + similarity) / 2."""
+    if not len(hashes):
+        return np.zeros(SKETCH // 64, np.uint64)
+    low = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(0, len(hashes), 256):
+            np.minimum(low, (_ORDERS[:, None] * hashes[None, i : i + 256]).min(axis=1), out=low)
+        return np.packbits((_mix(low) >> np.uint64(40)).astype(np.uint8) & 1, bitorder="little").view(np.uint64)
+
+
+def apart(least: float, bits: int = SKETCH) -> int:
+    """The bits that sketches of two texts of ``least`` similarity differ in, with six standard deviations more."""
+    share = (1 - least) / 2
+    return math.ceil(bits * share + 6 * math.sqrt(bits * share * (1 - share)))
 
 
 def _majority(hashes: np.ndarray) -> np.ndarray:
@@ -281,17 +303,31 @@ def similar_texts(docs: DataFrame, text_col: str = "text", k: int = 5, least: fl
     inside = members.select("key", "id").union(members.select("key", F.col("hub").alias("id"))).join(placed, "id")
     mixed = inside.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
     crowd = cut(inside.join(mixed, "key", "left_semi").select("id", "component").distinct())
-    whole = _described(texts.join(shared_if_small(crowd.select("id").distinct()), "id", "left_semi").select("id", "digest", "text"), k, True)
-    more = cut(_across(cut(_rarest(crowd.join(whole.select("id", "n", "hashes"), "id"), least))).distinct().join(tried, ["a", "b"], "left_anti"))
-    return components(links.union(_checked(more, prints, texts, k, least)).distinct()).select(F.col("node").alias("digest"), "root")
-
-
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs (a, b: ids) of different components under one key. Pairs of components are found first, so none within a component is looked at."""
-    held = members.select("key", "component").distinct()
-    two = held.join(held.select("key", F.col("component").alias("other")), "key").where("component < other")
-    one, other = members.select("key", "component", F.col("id").alias("x")), members.select("key", F.col("component").alias("other"), F.col("id").alias("y"))
-    return two.join(one, ["key", "component"]).join(other, ["key", "other"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    whole = cut(_described(texts.join(shared_if_small(crowd.select("id").distinct()), "id", "left_semi").select("id", "digest", "text"), k, True))
+    rare = cut(_rarest(crowd.join(whole.select("id", "n", "hashes"), "id"), least))
+    sketched = whole.select("id", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH // 64)])
+    # one of each component under a shingle first: where these are similar, the components are one and the rest of them needn't meet
+    one = rare.groupBy("key", "component").agg(F.min("id").alias("id"))
+    more = cut(_across(one, sketched, least).join(tried, ["a", "b"], "left_anti"))
+    links = cut(links.union(_checked(more, prints, texts, k, least)).distinct())
+    now = components(links).select(F.col("node").alias("digest"), F.col("root").alias("now"))
+    held = rare.drop("component").join(prints.select("id", "digest"), "id").join(now, "digest", "left").select("key", "id", F.coalesce("now", "digest").alias("component"))
+    rest = cut(_across(cut(held), sketched, least).join(tried.unionByName(more), ["a", "b"], "left_anti"))
+    return components(links.union(_checked(rest, prints, texts, k, least)).distinct()).select(F.col("node").alias("digest"), "root")
+
+
+def _across(members: DataFrame, sketched: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b: ids) of different components under one key whose sizes and sketches allow ``least`` similarity: the join itself looks at both, so
+    texts that are alike in less than about 0.69 make no row.
+    """
+    sides = [F.col(c) for c in sketched.columns if c != "id"]
+    full = members.join(sketched, "id")
+    x = full.select("key", F.col("component").alias("xc"), F.col("id").alias("x"), *[c.alias(f"x_{n}") for n, c in enumerate(sides)])
+    y = full.select("key", F.col("component").alias("yc"), F.col("id").alias("y"), *[c.alias(f"y_{n}") for n, c in enumerate(sides)])
+    far = reduce(Column.__add__, [F.bit_count(F.col(f"x_{n}").bitwiseXOR(F.col(f"y_{n}"))) for n in range(1, len(sides))])
+    sized = (F.col("x_0") >= F.col("y_0") * (least - 1e-9)) & (F.col("y_0") >= F.col("x_0") * (least - 1e-9))
+    met = x.join(y, (x["key"] == y["key"]) & (F.col("xc") < F.col("yc")) & sized & (far <= apart(least)))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _rarest(members: DataFrame, least: float) -> DataFrame:
