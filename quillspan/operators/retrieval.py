@@ -13,6 +13,8 @@ K1, B, RRF = 1.5, 0.75, 60
 DIM = 64
 #: Queries of a stated set that are shared with every task.
 SHARED_QUERIES = 2_000
+#: Blocks that rows are dealt into for each block of queries beyond that.
+ROW_BLOCKS = 64
 
 
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,20 +77,29 @@ def backfilled(texts: DataFrame, stored: DataFrame, id_col: str, text_col: str,
 
 def dense_texts(docs: DataFrame, questions: DataFrame, most: int = 20) -> DataFrame:
     """``qid``, ``doc_id``, ``score``, ``rank`` by cosine of hash vectors."""
-    d = hash_arrays(docs, "doc_id", "text").select(F.col("id").alias("doc_id"), F.col("vector").alias("v"))
+    return dense_vectors(hash_arrays(docs, "doc_id", "text").withColumnRenamed("id", "doc_id"), questions, most)
+
+
+def dense_vectors(vectors: DataFrame, questions: DataFrame, most: int = 20) -> DataFrame:
+    """The same from ``vectors`` (doc_id, vector) that are there already."""
+    d = vectors.select("doc_id", F.col("vector").alias("v"))
     q = hash_arrays(questions, "qid", "question").select(F.col("id").alias("qid"), F.col("vector").alias("q"))
     scored = against(d, cut(q)).select("qid", "doc_id", F.round(F.aggregate(F.zip_with("v", "q", lambda a, b: (a * b).cast("decimal(24,10)")), F.lit(0).cast("decimal(34,10)"), lambda s, x: (s + x).cast("decimal(34,10)")).cast("double"), 6).alias("score"))
     return ranked(scored.where("score > 0"), "score", ["qid"], "doc_id", most)
 
 
 def against(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every row with every one of a stated set of queries: up to ``SHARED_QUERIES`` go to every task, more are dealt into blocks of as many."""
+    """Every row with every one of a stated set of queries: up to ``SHARED_QUERIES`` go to every task. More are dealt into blocks of as many, and rows into
+    ``ROW_BLOCKS``; each pair of blocks meets by its key, so that no task has all rows. Both are dealt by their values' hashes, alike if a task runs again.
+    """
     n = queries.count()
     if n <= SHARED_QUERIES:
         return rows.crossJoin(F.broadcast(queries))
     blocks = -(-n // SHARED_QUERIES)
-    dealt = queries.withColumn("_block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)))
-    return rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "_block").drop("_block")
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    dealt = queries.withColumn("_q", F.pmod(F.xxhash64(*queries.columns), F.lit(blocks))).withColumn("_r", every(ROW_BLOCKS))
+    given = rows.withColumn("_r", F.pmod(F.xxhash64(*rows.columns), F.lit(ROW_BLOCKS))).withColumn("_q", every(blocks))
+    return given.join(dealt, ["_q", "_r"]).drop("_q", "_r")
 
 
 def dense(vectors: DataFrame, queries: DataFrame, most: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

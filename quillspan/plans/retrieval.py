@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import snippet, tokens
 from ..operators import retrieval as R
+from ..operators.index import Index, of_table
 from ..session import table
 from .registry import query
 
@@ -42,6 +43,11 @@ def questions(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.explode(listed).alias("q")).select("q.*")
 
 
+def searched(spark: SparkSession, sf: str, only: str = "true") -> Index:
+    """The stored index of the documents that ``only`` holds for; made at the first call, and again when the table's files change."""
+    return of_table(spark, f"{sf}/documents.parquet", table(spark, sf, "documents").where(only), only)
+
+
 @query(f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK.format('text')}) AS term FROM documents) GROUP BY 1, 2")
 def tokenize_tf(spark: SparkSession, sf: str) -> DataFrame:
     return R.term_counts(table(spark, sf, "documents"))
@@ -54,7 +60,7 @@ def bm25_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_BM25} SELECT qid, doc_id, score, rank FROM bm")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return R.bm25(table(spark, sf, "documents"), questions(spark))
+    return searched(spark, sf).bm25(questions(spark))
 
 
 @query(f"WITH {_ASKED}, {_vectors('dv', 'documents', 'doc_id', 'text')} SELECT id AS doc_id, slot, round(value, 6) AS value FROM dv")
@@ -89,15 +95,13 @@ def vector_threshold(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_BM25}, {_DENSE}, {_FUSED} SELECT qid, doc_id, dense_rank, sparse_rank, rrf, rank FROM fu WHERE rank <= 6")
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    docs, asked = table(spark, sf, "documents"), questions(spark)
-    return R.fuse(R.dense_texts(docs, asked), R.bm25(docs, asked), 6)
+    return searched(spark, sf).hybrid(questions(spark), 6)
 
 
 @query(f"""WITH {_BM25.replace("FROM documents", "FROM documents WHERE lang = 'de'")}, {_DENSE.replace("FROM documents", "FROM documents WHERE lang = 'de'")}, {_FUSED} SELECT qid, doc_id, rrf, rank FROM fu WHERE rank <= 6""")
 def hybrid_doc_filter(spark: SparkSession, sf: str) -> DataFrame:
     """The filter is applied before candidates are cut off."""
-    docs, asked = table(spark, sf, "documents").where("lang = 'de'"), questions(spark)
-    return R.fuse(R.dense_texts(docs, asked), R.bm25(docs, asked), 6).select("qid", "doc_id", "rrf", "rank")
+    return searched(spark, sf, "lang = 'de'").hybrid(questions(spark), 6).select("qid", "doc_id", "rrf", "rank")
 
 
 @query(f"""WITH {_BM25}, {_DENSE}, {_FUSED}, h AS (SELECT fu.*, list_distinct({_TOK.format("question")}) AS qw, {_TOK.format("text")} AS dw FROM fu JOIN q USING (qid) JOIN documents USING (doc_id) WHERE rank <= 20)
@@ -105,7 +109,7 @@ SELECT qid, doc_id, rrf, round(len(list_intersect(qw, dw)) / len(qw), 6) AS rera
 def rerank_fallback(spark: SparkSession, sf: str) -> DataFrame:
     """The fused candidates by token overlap, then fused score."""
     docs, asked = table(spark, sf, "documents"), questions(spark)
-    hits = R.fuse(R.dense_texts(docs, asked), R.bm25(docs, asked), 20).join(asked, "qid").join(docs.select("doc_id", "text"), "doc_id")
+    hits = searched(spark, sf).hybrid(asked, 20).join(asked, "qid").join(docs.select("doc_id", "text"), "doc_id")
     scored = hits.select("qid", "doc_id", "rrf", F.round(R.overlap(F.col("question"), F.col("text")), 6).alias("rerank"))
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("rerank"), F.desc("rrf"), "doc_id")))
 
@@ -113,14 +117,14 @@ def rerank_fallback(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_BM25} SELECT qid, rank, doc_id, source, lang, round(score, 4) AS score, substr(regexp_replace(trim(text), '\\s+', ' ', 'g'), 1, 120) AS snippet FROM bm JOIN documents USING (doc_id) WHERE rank <= 6""")
 def citations(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    hits = R.bm25(docs, questions(spark), 6)
+    hits = searched(spark, sf).bm25(questions(spark), 6)
     return hits.join(docs, "doc_id").select("qid", "rank", "doc_id", "source", "lang", F.round("score", 4).alias("score"), snippet(F.col("text")).alias("snippet"))
 
 
 @query(f"""WITH {_BM25} SELECT qid, string_agg('[' || rank || '] ' || source || ' #' || doc_id, chr(10) ORDER BY rank) AS context FROM bm JOIN documents USING (doc_id) WHERE rank <= 6 GROUP BY 1""")
 def context_block(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    hits = R.bm25(docs, questions(spark), 6).join(docs.select("doc_id", "source"), "doc_id")
+    hits = searched(spark, sf).bm25(questions(spark), 6).join(docs.select("doc_id", "source"), "doc_id")
     line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("source"), F.lit(" #"), F.col("doc_id").cast("string"))
     return hits.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("context"))
 
@@ -139,6 +143,6 @@ SELECT count(*) AS n_questions, round(avg(CASE WHEN first_hit = 1 THEN 1.0 ELSE
 def ir_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Hit rates and mean reciprocal rank, an English document counting as relevant."""
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    found = R.bm25(docs, questions(spark)).join(docs.select("doc_id", "lang"), "doc_id").groupBy("qid").agg(F.min(F.when(F.col("lang") == "en", F.col("rank"))).alias("first_hit"))
+    found = searched(spark, sf).bm25(questions(spark)).join(docs.select("doc_id", "lang"), "doc_id").groupBy("qid").agg(F.min(F.when(F.col("lang") == "en", F.col("rank"))).alias("first_hit"))
     share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6)
     return found.agg(F.count("*").alias("n_questions"), share(F.col("first_hit") == 1).alias("hit_at_1"), share(F.col("first_hit") <= 6).alias("hit_at_6"), F.round(F.avg(F.coalesce(1.0 / F.col("first_hit"), F.lit(0.0))), 6).alias("mrr"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import similarity
 from quillspan.operators import phrases, similar
-from quillspan.plans import schema
+from quillspan.plans import registry, schema  # noqa: F401  (the modules of queries in their order)
 from quillspan.session import ship
 
 
