@@ -96,11 +96,10 @@ SELECT coalesce(new.name, old.name) AS name, coalesce(new.value, old.value) AS v
 )
 
 
-@query(r"""SELECT doc_id, NULLIF(regexp_extract(prose, '(?s)```sql\s*(.*?)\s*```', 1), '') AS statement FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'NONE ' || substr(text, 1, 40) ELSE 'Here: ```sql' || chr(10) || 'SELECT ' || doc_id || chr(10) || '``` ' || substr(text, 1, 40) END AS prose FROM documents)""")
+@query(r"""SELECT doc_id, NULLIF(regexp_extract(prose, '(?s)```sql\s*(.*?)\s*```', 1), '') AS statement FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'NONE ' || text ELSE 'Here: ```sql' || chr(10) || 'SELECT ' || doc_id || chr(10) || '``` ' || text END AS prose FROM documents)""")
 def sql_fence_extract(spark: SparkSession, sf: str) -> DataFrame:
     """The statement between fences in prose; none where the answer declines."""
-    head = F.substring("text", 1, 40)
-    prose = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("NONE "), head)).otherwise(F.concat(F.lit("Here: ```sql\nSELECT "), F.col("doc_id").cast("string"), F.lit("\n``` "), head))
+    prose = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("NONE "), "text")).otherwise(F.concat(F.lit("Here: ```sql\nSELECT "), F.col("doc_id").cast("string"), F.lit("\n``` "), "text"))
     return table(spark, sf, "documents").select("doc_id", F.nullif(F.regexp_extract(prose, r"(?s)```sql\s*(.*?)\s*```", 1), F.lit("")).alias("statement"))
 
 
@@ -140,15 +139,31 @@ def param_bind(spark: SparkSession, sf: str) -> DataFrame:
 _CUT = r"^\s*([A-Za-z][A-Za-z0-9_ ]*?) ?= ?(.*)$"
 
 
-@query(rf"""WITH l AS (SELECT doc_id, n, regexp_extract(text, '{_CUT}', 1) AS name, trim(regexp_extract(text, '{_CUT}', 2)) AS expression FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) WHERE contains(text, '=')),
-j AS (SELECT doc_id, n, name, expression, CASE WHEN name = '' THEN 'no name' WHEN expression = '' THEN 'no expression' WHEN length(expression) > 500 THEN 'too long' WHEN regexp_matches(expression, '[^A-Za-z0-9_ .+*/()^-]') THEN 'not an expression' WHEN contains(expression, '**') OR contains(expression, '__') THEN 'denied' ELSE 'ok' END AS reason FROM l)
+#: The one parameter that stands for a formula's input, and the functions that one may call.
+_PARAM, _CALLS = "x", ("max", "min", "abs")
+_SYMBOL = "[A-Za-z_][A-Za-z0-9_]*"
+#: A line put before a text, by the remainder of its id: a formula, one of a symbol that isn't declared, one without its parameter, and none.
+_GIVEN = {0: "'weight = ' || length(text) || ' * x'", 1: "'rate = 2 * max(x, ' || length(text) || ')' || chr(10) || 'other = x + y'", 2: "'fixed = ' || length(text)"}
+_GIVEN_SQL = "CASE doc_id % 5 " + " ".join(f"WHEN {n} THEN {e} || chr(10) || text" for n, e in _GIVEN.items()) + " ELSE text END"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, string_split({_GIVEN_SQL}, chr(10)) AS lines FROM documents), l AS (SELECT doc_id, n, regexp_extract(text, '{_CUT}', 1) AS name, trim(regexp_extract(text, '{_CUT}', 2)) AS expression FROM (SELECT doc_id, unnest(lines) AS text, generate_subscripts(lines, 1) AS n FROM d) WHERE contains(text, '=')),
+s AS (SELECT *, list_filter(regexp_extract_all(expression, '{_SYMBOL}'), lambda w: w NOT IN ('max', 'min', 'abs')) AS symbols FROM l),
+j AS (SELECT doc_id, n, name, expression, CASE WHEN name = '' THEN 'no name' WHEN expression = '' THEN 'no expression' WHEN length(expression) > 500 THEN 'too long' WHEN regexp_matches(expression, '[^A-Za-z0-9_ .,+*/()^-]') THEN 'not an expression' WHEN contains(expression, '**') OR contains(expression, '__') THEN 'denied'
+WHEN len(list_filter(symbols, lambda w: w <> '{_PARAM}')) > 0 THEN 'undeclared symbols' WHEN len(symbols) = 0 THEN 'unused parameter' ELSE 'ok' END AS reason FROM s)
 SELECT doc_id, name, expression, reason, place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS place FROM (SELECT doc_id, name, expression, reason, min(n) AS n FROM j GROUP BY 1, 2, 3, 4)) WHERE place <= 20""")
 def formula_validate(spark: SparkSession, sf: str) -> DataFrame:
-    """Formulas in documents, each once, the first twenty of a document, and why one is turned away."""
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "text")).where(F.contains("text", F.lit("=")))
+    """Formulas in documents, each once, the first twenty of a document, and why one is turned away: its free symbols must be the declared parameter.
+
+    Three fifths of the documents get lines of formulas put before them.
+    """
+    text = F.expr(_GIVEN_SQL.replace("chr(10)", "char(10)"))
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(text, "\n", -1)).alias("n", "text")).where(F.contains("text", F.lit("=")))
     each = lines.select("doc_id", "n", F.regexp_extract("text", _CUT, 1).alias("name"), F.trim(F.regexp_extract("text", _CUT, 2)).alias("expression"))
     e = F.col("expression")
-    reason = F.when(F.col("name") == "", "no name").when(e == "", "no expression").when(F.length(e) > 500, "too long").when(e.rlike(r"[^A-Za-z0-9_ .+*/()^-]"), "not an expression").when(F.contains(e, F.lit("**")) | F.contains(e, F.lit("__")), "denied").otherwise("ok")
+    symbols = F.array_except(F.regexp_extract_all(e, F.lit(_SYMBOL), F.lit(0)), F.array(*map(F.lit, _CALLS)))
+    reason = F.when(F.col("name") == "", "no name").when(e == "", "no expression").when(F.length(e) > 500, "too long").when(e.rlike(r"[^A-Za-z0-9_ .,+*/()^-]"), "not an expression").when(F.contains(e, F.lit("**")) | F.contains(e, F.lit("__")), "denied")
+    reason = reason.when(F.size(F.array_except(symbols, F.array(F.lit(_PARAM)))) > 0, "undeclared symbols").when(F.size(symbols) == 0, "unused parameter").otherwise("ok")
     once = each.withColumn("reason", reason).groupBy("doc_id", "name", "expression", "reason").agg(F.min("n").alias("n"))
     return once.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("n"))).where("place <= 20").select("doc_id", "name", "expression", "reason", "place")
 

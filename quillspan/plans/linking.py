@@ -103,9 +103,11 @@ def placeholder_subst(spark: SparkSession, sf: str) -> DataFrame:
     return turns.where("role = 'assistant'").join(before, ["conv_id", "turn"], "left").select("conv_id", "turn", F.replace(F.lit("see {t}"), F.lit("{t}"), F.substring(F.coalesce("prev", F.lit("")), 1, 120)).alias("filled"))
 
 
-@query(r"SELECT conv_id, turn, length(text) <= 30 AND regexp_matches(text, '^\S+\.?$') AS trivial FROM conversations WHERE role = 'user'")
+@query(r"""SELECT conv_id, turn, length(said) <= 30 AND regexp_matches(said, '^\S+\.?$') AS trivial FROM (SELECT conv_id, turn, CASE WHEN turn % 4 = 2 THEN regexp_extract(text, '^\S+', 0) WHEN turn % 4 = 0 THEN regexp_extract(text, '^\S+\s+\S+', 0) ELSE text END AS said FROM conversations WHERE role = 'user')""")
 def trivial_turns(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", ((F.length("text") <= 30) & F.col("text").rlike(r"^\S+\.?$")).alias("trivial"))
+    """Questions of one short word, which need no context. Of every fourth turn the first word stands for it, of another fourth the first two."""
+    said = F.when(F.col("turn") % 4 == 2, F.regexp_extract("text", r"^\S+", 0)).when(F.col("turn") % 4 == 0, F.regexp_extract("text", r"^\S+\s+\S+", 0)).otherwise(F.col("text"))
+    return table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", ((F.length(said) <= 30) & said.rlike(r"^\S+\.?$")).alias("trivial"))
 
 
 @query("""SELECT n_nationkey, CASE WHEN count(c_custkey) = 0 THEN 'empty' WHEN count(*) = 1 AND (max(c_acctbal) IS NULL OR max(c_acctbal) = 0) THEN 'semantically_empty' ELSE 'filled' END AS state, min(c_acctbal) AS low, max(c_acctbal) AS high

@@ -58,9 +58,11 @@ def char_normalize(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", (folded == F.col("text")).alias("plain"), F.md5(folded.cast("binary")).alias("folded"))
 
 
-@query(r"SELECT conv_id, turn, regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])(insert|update|delete|drop|alter|create|truncate|grant|revoke|merge|replace|copy|call|vacuum)($|[^\p{L}\p{N}_])') AS is_write FROM conversations")
+@query(r"""SELECT conv_id, turn, regexp_matches(lower(CASE WHEN conv_id % 5 = 0 THEN 'please update the ' || text WHEN conv_id % 5 = 1 THEN text || '; dropped_' ELSE text END), '(^|[^\p{L}\p{N}_])(insert|update|delete|drop|alter|create|truncate|grant|revoke|merge|replace|copy|call|vacuum)($|[^\p{L}\p{N}_])') AS is_write FROM conversations""")
 def write_guard(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").select("conv_id", "turn", is_write(F.col("text")).alias("is_write"))
+    """Turns that ask for a change. A fifth of the conversations get such a word put before, another fifth one that only begins like it."""
+    said = F.when(F.col("conv_id") % 5 == 0, F.concat(F.lit("please update the "), "text")).when(F.col("conv_id") % 5 == 1, F.concat("text", F.lit("; dropped_"))).otherwise(F.col("text"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", is_write(said).alias("is_write"))
 
 
 @query(r"""SELECT item_id, CASE WHEN n BETWEEN 1 AND 100 THEN n END AS n FROM (SELECT item_id, try_cast(nullif(regexp_extract(lower('show the top ' || item_id || ' of ' || text), '(?:top|first|best|last)[\s-]*([0-9]{1,3})', 1), '') AS INTEGER) AS n FROM benchmark)""")
