@@ -70,8 +70,8 @@ def flip_order(flips: int = FLIPS) -> np.ndarray:
 class Index:
     """Inverted lists of each substring over one block of codes."""
 
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
+    def __init__(self, codes: np.ndarray, exact_below: int = 0):
+        self.codes, self.exact_below = codes, exact_below
         n, parts = codes.shape
         self.lists = np.concatenate([np.argsort(c, kind="stable").astype(np.int32) for c in codes.T])
         sizes = np.concatenate([np.bincount(c, minlength=1 << 16) for c in codes.T])
@@ -101,7 +101,7 @@ class Index:
         probes = max(probes, sum(math.comb(16, f) for f in range(FLIPS + 1)))
         weight = np.exp2(np.argsort(np.abs(numbers.reshape(-1, 16)), axis=1)).astype(np.float32)  # of the place that is i-th in certainty
         while True:
-            if 2 * wanted >= n or probes >= 1 << 16:
+            if n <= self.exact_below or probes >= 1 << 16:
                 found = np.arange(n)  # all lists
                 break
             found = self.probe(code[:, None] ^ (weight @ sets[:, :probes]).astype(np.int32))
@@ -136,13 +136,13 @@ def _vectors(table: pa.Table) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _search(rows: pa.Table, queries: pa.Table, rotation: np.ndarray, k: int) -> pa.Table:
+def _search(rows: pa.Table, queries: pa.Table, rotation: np.ndarray, k: int, exact_below: int = 0) -> pa.Table:
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     if rows.num_rows and queries.num_rows:
         ids, x = rows.column("vec_id").to_numpy(), _vectors(rows)
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], x[order]
-        index, sets = Index(encode(x @ rotation)), flip_order()
+        index, sets = Index(encode(x @ rotation), exact_below), flip_order()
         asked, q = queries.column("vec_id").to_numpy(), _vectors(queries)
         numbers = q @ rotation
         for own, vector, code, y in zip(asked, q, encode(numbers), numbers, strict=True):
@@ -159,9 +159,9 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return rows.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", fine) & F.exists("embedding", lambda x: x != 0))
 
 
-def search(vectors: DataFrame, is_query: F.Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query: F.Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", exact_below: int = 0) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: for each row for which ``is_query`` (of ``vec_id``) holds, the k rows of
-    largest inner product among those found.
+    largest inner product among those found. In blocks of at most ``exact_below`` rows all are scored, so 0 searches a small table as a large one.
     """
     rows = usable(vectors, id_col, vector_col)
     sizes = rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("count"), F.count_if(is_query).alias("asked")).orderBy(F.desc("count"), "d").first()
@@ -183,7 +183,7 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 20, id_col: str = "v
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     pair = (F.col("block") * query_blocks + F.col("query_block")).alias("pair")
     dealt, asked = dealt.select(pair, "vec_id", "embedding"), asked.select(pair, "vec_id", "embedding")
-    found = dealt.groupBy("pair").cogroup(asked.groupBy("pair")).applyInArrow(lambda r, q: _search(r, q, rotation, k), "query_id long, vec_id long, score double")
+    found = dealt.groupBy("pair").cogroup(asked.groupBy("pair")).applyInArrow(lambda r, q: _search(r, q, rotation, k, exact_below), "query_id long, vec_id long, score double")
     if blocks > 1:  # an id whose rows lie in several blocks
         found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
