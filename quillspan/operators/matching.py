@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from ..functions.text import squeezed
+from ..session import cut
 from . import phrases
 
 #: Characters of a stretch that is hashed, and stretches of a window, of which the least hash is kept.
@@ -75,3 +76,67 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
     brief = phrases.hits(bodies.select(F.col("doc_id").alias("id"), F.col("body").alias("text")), short, 1).select(F.col("canonical").alias("item_id"), F.col("id").alias("doc_id")).distinct()
     empty = bodies.select("doc_id").distinct().join(facts.where("fact = ''").select("item_id").distinct()).select("item_id", "doc_id")  # all, by definition
     return whole.unionByName(brief).unionByName(empty)
+
+
+def ordinals(df: DataFrame) -> DataFrame:
+    """``df``, in the order that it is in, with ``_n`` from 0: places within partitions, and the rows of the partitions before. No task has all rows."""
+    marked = cut(df.withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = marked.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each partition
+    return marked.withColumn("_part", part).join(before, "_part").withColumn("_n", F.col("_before") + place).drop("_at", "_part", "_size", "_before")
+
+
+def cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``n`` (the row's ordinal) and ``cells``, an array of its normalised cells in order of ``columns``."""
+    return ordinals(df.select(*[normalized(df[c]).alias(f"c{i}") for i, c in enumerate(columns)])).select(F.col("_n").alias("n"), F.array(*[f"c{i}" for i in range(len(columns))]).alias("cells"))
+
+
+def held_by(reference: DataFrame, candidate: DataFrame) -> bool:
+    """Whether every row of ``reference`` (n, cells) can be given a row of ``candidate`` of its own that has its cells, repeats counted.
+
+    Rows are given in order: the first row takes the first that fits, the next the first that is left. All ask at once; of those that ask for one candidate the first
+    keeps it, and the others ask for their next, until none is turned away. Rows that may fit meet by the cell that the fewest candidates have.
+    """
+    each = lambda df: df.select("n", "cells", F.explode(F.transform(F.array_distinct("cells"), lambda c: F.struct(c.alias("cell"), F.size(F.filter("cells", lambda x: x.eqNullSafe(c))).alias("times")))).alias("e")).select("n", "cells", F.struct(F.col("e.cell").alias("cell")).alias("key"), "e.times")
+    have, need = cut(each(candidate)), cut(each(reference))
+    often = have.groupBy("key").agg(F.count("*").alias("often"))
+    rare = need.join(often, "key", "left").groupBy("n").agg(F.min_by("key", F.struct(F.coalesce("often", F.lit(0)), "key")).alias("key"), F.count("*").alias("kinds"))
+    met = rare.join(have.select("key", F.col("n").alias("m")), "key").select("n", "kinds", "m")
+    # every kind of cell of the row is in the candidate often enough
+    both = met.join(need.select("n", "key", "times"), "n").join(have.select(F.col("n").alias("m"), "key", F.col("times").alias("has")), ["m", "key"]).where("has >= times")
+    fits = cut(both.groupBy("n", "m").agg(F.count("*").alias("same"), F.first("kinds").alias("kinds")).where("same = kinds").select("n", "m"))
+    rows, turned = reference.count(), None
+    while True:
+        open_fits = fits if turned is None else fits.join(turned, ["n", "m"], "left_anti")
+        asks = cut(open_fits.groupBy("n").agg(F.min("m").alias("m")))
+        if asks.count() < rows:
+            return False
+        refused = cut(asks.withColumn("first", F.min("n").over(Window.partitionBy("m"))).where("n > first").select("n", "m"))
+        if refused.isEmpty():
+            return True
+        turned = refused if turned is None else cut(turned.unionByName(refused))
+
+
+def level(candidate: DataFrame, reference: DataFrame) -> int:
+    """How well a result matches: 1 in order, 2 as a multiset of rows, 3 so by columns of the same names, 4 each reference row within a row of its own; 0 not at all.
+
+    Cells are normalised; columns are taken by place for 1 and 2. Two empty results match at 1.
+    """
+    n = reference.count()
+    if candidate.count() != n:
+        return 0
+    if not n:
+        return 1
+    a, b = cut(cells(candidate, candidate.columns)), cut(cells(reference, reference.columns))
+    if len(candidate.columns) == len(reference.columns):
+        if a.join(b, ["n", "cells"], "left_anti").isEmpty():
+            return 1
+        if a.select("cells").exceptAll(b.select("cells")).isEmpty():
+            return 2
+    names = {c.lower(): c for c in candidate.columns}
+    if all(c.lower() in names for c in reference.columns):
+        by_name = cells(candidate, [names[c.lower()] for c in reference.columns])
+        if by_name.select("cells").exceptAll(b.select("cells")).isEmpty():
+            return 3
+    return 4 if held_by(b, a) else 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.matching import contained, multiset_difference
+from ..operators.matching import contained, level, multiset_difference
 from ..session import table
 from .registry import query
 
@@ -44,3 +44,22 @@ def match_levels(spark: SparkSession, sf: str) -> DataFrame:
         part = missing.agg(F.count("*").alias("missing")).crossJoin(extra.agg(F.count("*").alias("extra"))).select(F.lit(name).alias("name"), "missing", "extra")  # one row each
         out = part if out is None else out.union(part)
     return out
+
+
+@query("SELECT * FROM (VALUES ('same order', 1), ('other order', 2), ('other columns', 3), ('more columns', 4), ('a row less', 0), ('other cells', 0), ('both empty', 1)) t(name, level)")
+def match_level(spark: SparkSession, sf: str) -> DataFrame:
+    """Levels at which results over customers match one: in order, in another order, columns named alike in another order, within more columns, and not."""
+    customer = table(spark, sf, "customer")
+    by_nation = customer.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.max("c_custkey").alias("top"))
+    reference = by_nation.orderBy("c_nationkey")
+    cases = {
+        "same order": customer.groupBy("c_nationkey").agg(F.count("*").cast("double").alias("rows"), F.max("c_custkey").cast("string").alias("most")).orderBy("c_nationkey"),
+        "other order": by_nation.orderBy(F.desc("c_nationkey")),
+        "other columns": by_nation.select(F.col("top").alias("TOP"), "n", "c_nationkey"),
+        "more columns": by_nation.select(F.lit("x").alias("a"), F.col("top").alias("b"), F.col("c_nationkey").alias("c"), F.col("n").alias("d")),
+        "a row less": by_nation.where("c_nationkey != 3"),
+        "other cells": by_nation.select("c_nationkey", "n", (F.col("top") + F.when(F.col("c_nationkey") == 3, 0.5).otherwise(0.0)).alias("top")),
+    }
+    found = [(name, level(c, reference)) for name, c in cases.items()] + [("both empty", level(by_nation.limit(0), reference.limit(0)))]
+    listed = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(n).alias("level")) for name, n in found])
+    return spark.range(1).select(F.explode(listed).alias("l")).select("l.*")
