@@ -116,6 +116,29 @@ def tools_used(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"), F.count("*").alias("n_turns"), F.sum(F.length("text")).alias("n_chars"))
 
 
+#: Prices of a million tokens, fresh and from the provider's cache, by purpose: a parameter of the operator. Other purposes cost nothing.
+PRICES = {"click": (2.0, 0.5), "view": (1.0, 0.25), "purchase": (8.0, 0.8), "login": (4.0, 4.0)}
+_PRICES = "p(event_type, fresh, cached) AS (VALUES " + ", ".join(f"('{t}', CAST({a} AS DECIMAL(10,4)), CAST({b} AS DECIMAL(10,4)))" for t, (a, b) in PRICES.items()) + ")"
+
+
+@query(f"""WITH {_PRICES}, t AS (SELECT event_type, coalesce({_K}, 0) AS k, CASE WHEN event_id % 3 = 0 THEN coalesce({_K}, 0) // 2 ELSE 0 END AS hit FROM events)
+SELECT t.event_type, count(*) AS calls, CAST(sum(k) AS BIGINT) AS tokens, CAST(sum(hit) AS BIGINT) AS cached_tokens, round(CAST(sum((k - hit) * coalesce(fresh, 0) + hit * coalesce(cached, 0)) AS DOUBLE) / 1000000, 9) AS cost,
+round(CAST(sum(k * coalesce(fresh, 0)) AS DOUBLE) / 1000000, 9) AS cost_without_cache, bool_and(fresh IS NOT NULL) AS priced FROM t LEFT JOIN p USING (event_type) GROUP BY 1""")
+def price_costs(spark: SparkSession, sf: str) -> DataFrame:
+    """Costs by purpose from a table of prices, with the provider's cache and without. Of every third call half of the tokens stand for cached ones."""
+    money = lambda n: F.lit(n).cast("decimal(10,4)")
+    listed = F.array(*[F.struct(F.lit(t).alias("event_type"), money(a).alias("fresh"), money(b).alias("cached")) for t, (a, b) in PRICES.items()])
+    prices = spark.range(1).select(F.explode(listed).alias("p")).select("p.*")
+    k = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0).cast("long"))
+    calls = table(spark, sf, "events").select("event_type", k.alias("k"), F.when(F.col("event_id") % 3 == 0, F.expr("coalesce(cast(get_json_object(props, '$.k') as long), 0) div 2")).otherwise(F.lit(0)).cast("long").alias("hit"))
+    sums = calls.groupBy("event_type").agg(F.count("*").alias("calls"), F.sum("k").alias("tokens"), F.sum("hit").alias("cached_tokens"))  # a row for each purpose before prices are met
+    priced = sums.join(prices, "event_type", "left")
+    zero, million = F.lit(0).cast("decimal(10,4)"), 1_000_000
+    fresh, cached = F.coalesce("fresh", zero), F.coalesce("cached", zero)
+    whole = lambda c: F.round(c.cast("double") / million, 9)
+    return priced.select("event_type", "calls", "tokens", "cached_tokens", whole((F.col("tokens") - F.col("cached_tokens")) * fresh + F.col("cached_tokens") * cached).alias("cost"), whole(F.col("tokens") * fresh).alias("cost_without_cache"), F.col("fresh").isNotNull().alias("priced"))
+
+
 @query("SELECT user_id, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS cost FROM events WHERE event_type = 'purchase' GROUP BY 1")
 def turn_cost(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").where("event_type = 'purchase'").groupBy("user_id").agg(total("value").alias("cost"))
