@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Fixed value: the published pre-token pattern of the byte-level vocabulary (alternatives that start alike keep their order).
-PRE_TOKEN = r""" ?\p{L}++|'(?:[stmd]|re|ve|ll)| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"""
+#: Fixed value: the published pre-token pattern of byte-level vocabularies.
+PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters of text encoded together, and entries kept by a worker between slices.
 SLICE_CHARS, KEPT_WORDS = 1 << 20, 80_000
 #: Lists of positions from this length on are applied by array operations.
