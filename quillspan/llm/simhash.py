@@ -49,6 +49,8 @@ BLOCKS = 4
 MOST, SURE = 32, 32
 #: Parts up to which shingles are dealt several times, and how often; word hashes kept by a task, and texts whose blocks it has given.
 FEW, TURNS, KEPT = 16, 3, 20_000
+#: Bytes of shingles up to which all of them go to every task that checks pairs.
+SHARED_BYTES = 16 << 20
 #: Bits of a sketch, and the orders of shingles that they stand for.
 SKETCH = 1024
 _ORDERS = np.random.default_rng(11).integers(0, 1 << 63, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -279,6 +281,8 @@ def _checked(pairs: DataFrame, prints: DataFrame, texts: DataFrame, k: int, leas
     x = sets.select(F.col("digest").alias("src"), F.col("n").alias("m"), F.col("hashes").alias("x"))
     y = sets.select(F.col("digest").alias("dst"), "n", F.col("hashes").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
+    if (sets.agg(F.sum("n")).first()[0] or 0) * 8 <= SHARED_BYTES:  # else a pair is shuffled with its shingles
+        x, y = F.broadcast(x), F.broadcast(y)
     return near.join(x, "src").join(y, "dst").where(both >= (least - 1e-9) * (F.col("m") + F.col("n") - both)).select("src", "dst")
 
 
