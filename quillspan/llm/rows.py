@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..session import freed
+
 #: Rows up to which a list of decisions is shared with every task.
 SHARED_ROWS = 200_000
 
@@ -21,7 +23,9 @@ def digest_of(text: Column) -> Column:
 
 def shared_if_small(df: DataFrame) -> DataFrame:
     """``df``, which has been computed, to be sent to every task if it has ``SHARED_ROWS`` rows or fewer; else it is joined by a shuffle."""
-    return F.broadcast(df) if df.limit(SHARED_ROWS + 1).count() <= SHARED_ROWS else df
+    with freed(df.sparkSession):
+        small = df.limit(SHARED_ROWS + 1).count() <= SHARED_ROWS
+    return F.broadcast(df) if small else df
 
 
 def with_columns(df: DataFrame, text_col: str, fields: list[T.StructField], start: Callable[[], Callable[[str | None], tuple]]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspan.llm import ann, bpe, chat, decontam, graph, langid, licenses, pii, queries, simhash, toxicity, urls
 from quillspan.llm import rows as rows_module
+from quillspan.session import cut
 
 VOCAB = queries.VOCABULARY
 needs_vocab = pytest.mark.skipif(not os.path.exists(VOCAB), reason="no vocabulary file here")
@@ -394,6 +395,51 @@ def test_similar_texts_at_the_edge(spark, monkeypatch):
     assert classes(df) == want
 
 
+def test_parity_differs_in_no_more_bits_than_shingles(spark):
+    rng = np.random.default_rng(6)
+    for n, k in [(0, 1), (1, 1), (150, 3), (150, 30), (3000, 400)]:
+        x = rng.integers(0, 1 << 63, n, np.uint64)
+        y = np.concatenate([x[: max(0, n - k)], rng.integers(0, 1 << 63, k, np.uint64)])
+        odd = int(np.bitwise_count(simhash.parity(x) ^ simhash.parity(y)).sum())
+        assert odd <= len(set(x.tolist()) ^ set(y.tolist())) and (k > 30 or odd >= 0.8 * (k + min(n, k)))
+
+
+def test_similar_texts_pairs_no_unlike_texts_with_a_crowd(spark, monkeypatch):
+    """Near copies of a text, and others that are alike to each of them in 0.7 to 0.78: pairs of these aren't made."""
+    base = [f"b{i}" for i in range(150)]
+
+    def edited(name, at):
+        return " ".join(f"{name}{i}" if i in at else w for i, w in enumerate(base))
+
+    rows = [" ".join(base), *(edited(f"m{n}x", {5 + n}) for n in range(120)), *(edited(f"o{n}x", {7 + n, 40 + n, 80 + n, 110 + n}) for n in range(30))]
+    df, sets, met, checked = words_text(spark, list(enumerate(rows))), {}, [], simhash._checked
+    for t in rows:
+        ws = t.split()
+        sets[t] = {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+
+    def spy(pairs, prints, texts, k, least):
+        named = texts.select("id", "text").distinct()
+        met.append(pairs.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b").select("x", "y").collect())
+        return checked(pairs, prints, texts, k, least)
+
+    monkeypatch.setattr(simhash, "_checked", spy)
+    assert classes(df) == brute.similar(rows)
+    assert len(met) == 3 and not [1 for pairs in met[1:] for x, y in pairs if len(sets[x] & sets[y]) < 0.77 * len(sets[x] | sets[y])]
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before, setting = files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    done = cut(spark.range(0, 1000, 1, 4).groupBy((F.col("id") % 10).alias("k")).count())
+    links = spark.createDataFrame([(i, i + 1) for i in range(9)], "src long, dst long")
+    assert done.count() == 10 and graph.components(cut(links)).where("root = 0").count() == 9
+    assert sorted(tuple(r) for r in done.collect()) == [(k, 100) for k in range(10)]
+    left = {f.rsplit("/", 1)[1].split("_")[1] for f in files() - before}
+    assert len(left) <= 2  # those of the two counts
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+
+
 def test_components_of_a_chain_and_empty(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "src long, dst long")
     got = {r.node: r.root for r in graph.components(chain).collect()}
