@@ -15,6 +15,8 @@ from ..session import cut
 
 #: Characters of an alias's beginning; shorter ones are looked up as a whole.
 HEAD = 4
+#: Characters of aliases and names that are shared with every task; a larger dictionary is met by sorting.
+SHARED = 1_000_000
 #: Aliases applied to a text, rounds for misspelt words, spans looked at in a round, and the least similarity.
 APPLIED, ROUNDS, SPANS, RATIO = 5, 3, 12, 0.7
 #: Stands for what has been rewritten already, a character for each of its own.
@@ -27,19 +29,22 @@ def hits(texts: DataFrame, aliases: DataFrame, shortest: int = 2) -> DataFrame:
     """
     names = aliases.where(F.length("alias") >= shortest).select(F.lower("alias").alias("alias"), "canonical").distinct()
     heads = names.select(F.substring("alias", 1, HEAD).alias("head"), F.length("alias").alias("size")).distinct().groupBy("head").agg(F.collect_set("size").alias("sizes"))
-    longest = names.agg(F.max(F.length("alias"))).first()[0] or 0
+    held = names.agg(F.max(F.length("alias")).alias("longest"), F.sum(F.length("alias") + F.coalesce(F.length("canonical"), F.lit(0))).alias("all")).first()
+    longest = held["longest"] or 0
+    # said outright: Spark takes the places of texts for as few as the texts, and would send them to the driver to share them
+    met = F.broadcast if (held["all"] or 0) <= SHARED else lambda df: df.hint("merge")
     # from an array of characters: in a string each place would be found by counting from its start
     low = texts.where("length(text) > 0").select("id", once(characters(F.lower("text"))).alias("c"))
     stretches = F.transform(F.sequence(F.lit(1), F.size("c")), lambda i: F.array_join(F.slice("c", i, F.lit(longest)), ""))
     places = low.select("id", F.posexplode(stretches).alias("start", "ahead")).select("id", (F.col("start") + 1).alias("start"), "ahead") if longest else low.select("id", F.lit(1).alias("start"), F.lit("").alias("ahead"))
     beginnings = places.withColumn("head", F.explode(F.array_distinct(F.array(*[F.substring("ahead", 1, n) for n in range(min(shortest, HEAD), HEAD + 1)]))))  # a short alias is its own
-    found = beginnings.join(heads, "head").select("id", "start", "ahead", F.explode("sizes").alias("size")).where("length(ahead) >= size")
-    return found.select("id", "start", F.expr("substring(ahead, 1, size)").alias("alias")).join(names, "alias").select("id", "start", "alias", "canonical")
+    found = beginnings.join(met(heads), "head").select("id", "start", "ahead", F.explode("sizes").alias("size")).where("length(ahead) >= size")
+    return found.select("id", "start", F.expr("substring(ahead, 1, size)").alias("alias")).join(met(names), "alias").select("id", "start", "alias", "canonical")
 
 
 def longest_first(found: DataFrame, most: int = APPLIED) -> DataFrame:
     """``id`` and ``spans`` (size, alias, canonical, start): of each text's hits the longest, then by alias, canonical and place, that don't
-    overlap, one for a canonical name, at most ``most``; in the order in which they are taken.
+    overlap, one for a canonical name, at most ``most``; in the order in which they are taken. There may be one row for every text, so a join with it isn't broadcast.
     """
     row = F.struct((-F.length("alias")).alias("size"), "alias", "canonical", "start")
     listed = found.groupBy("id").agg(F.array_sort(F.collect_list(row)).alias("all"))  # as long as the text at most, for each alias length
@@ -48,7 +53,7 @@ def longest_first(found: DataFrame, most: int = APPLIED) -> DataFrame:
         meets = F.exists(taken, lambda t: (t["canonical"] == x["canonical"]) | ((t["start"] < x["start"] - x["size"]) & (x["start"] < t["start"] - t["size"])))
         return F.when((F.size(taken) < most) & ~meets, F.array_append(taken, x)).otherwise(taken)
 
-    return listed.select("id", F.aggregate("all", F.slice("all", 1, 0), step).alias("spans"))
+    return listed.select("id", F.aggregate("all", F.slice("all", 1, 0), step).alias("spans")).hint("merge")
 
 
 def replaced(text: Column, spans: Column, with_: Column | None = None) -> Column:

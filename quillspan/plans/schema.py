@@ -208,6 +208,8 @@ def empty_attribution(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+#: Questions that one task rewrites.
+QUESTIONS_A_TASK = 10_000
 _ALIASES = "SELECT DISTINCT p_type AS canonical, lower(p_type) AS alias FROM part UNION SELECT DISTINCT p_brand, lower(p_brand) FROM part UNION SELECT DISTINCT p_type, substr(lower(p_type), 1, 3) FROM part"
 _SAID = "'top ' || lower(p_type) || ' ' || p_name || ' of ' || lower(p_brand)"
 
@@ -221,6 +223,7 @@ def alias_rewrite(spark: SparkSession, sf: str) -> DataFrame:
     """Aliases in questions about parts: the longest first, none inside another, one per name, at most five; what is left of the question."""
     part = table(spark, sf, "part")
     said = part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("top "), F.lower("p_type"), F.lit(" "), "p_name", F.lit(" of "), F.lower("p_brand")).alias("text"))
+    said = said.repartition(max(1, -(-part.count() // QUESTIONS_A_TASK)), "id")  # a small file of short texts is much work
     spans = phrases.longest_first(phrases.hits(said, part_aliases(part)))
     gap = F.when(F.col("spans").isNull(), F.col("text")).otherwise(phrases.replaced(F.col("text"), F.col("spans"), lambda _: F.lit("<>")))
     names = F.array_join(F.transform("spans", lambda x: x["canonical"]), ",")

@@ -5,12 +5,13 @@ import json
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspan.functions import similarity
 from quillspan.operators import phrases, similar
 from quillspan.plans import registry, schema  # noqa: F401  (the modules of queries in their order)
-from quillspan.session import ship
+from quillspan.session import ship, table
 
 
 def strings(rng, n, letters="abcd", most=9):
@@ -96,6 +97,22 @@ def test_phrases_against_brute_force(spark):
     assert rewritten[999] == (None, 0)
 
 
+def test_places_of_texts_are_never_broadcast(spark, sf):
+    """Spark takes the places of a table of texts for as few as the table; sent to the driver they took more than it had."""
+    plan = schema.alias_rewrite(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") == plan.count("BuildRight") == 2  # the beginnings and the aliases alone
+    said = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lower("p_type").alias("text"))
+    whole = rows_of(phrases.hits(said, schema.part_aliases(table(spark, sf, "part"))))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(phrases, "SHARED", 3)
+        by_sort = phrases.hits(said, schema.part_aliases(table(spark, sf, "part")))
+    assert "Broadcast" not in by_sort._jdf.queryExecution().executedPlan().toString() and rows_of(by_sort) == whole
+
+
+def rows_of(df):
+    return Counter(tuple(r) for r in df.collect())
+
+
 def one_edit(a, b):
     less = lambda w: {w[:i] + w[i + 1 :] for i in range(len(w))}
     return a != b and (a in less(b) or b in less(a) or (len(a) == len(b) and sum(x != y for x, y in zip(a, b)) == 1))
