@@ -43,6 +43,20 @@ def gestalt(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(None if pd.isna(x) else x, None if pd.isna(y) else y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def similar_edit(a: str, b: str, at: str, least: float) -> Column:
+    """Whether two strings, one character (at ``at``) apart, have a ratio of ``least`` or more.
+
+    What is before that place and what is behind it are common. Most pairs are decided by their lengths: if the longer of both is enough by itself, or if what is
+    before is the longest common stretch, as then all behind is matched as well. The ratio is computed for the others alone.
+    """
+    whole, before = F.length(a) + F.length(b), F.col(at) - 1
+    behind = F.greatest(F.length(a), F.length(b)) - F.col(at)
+    longer = F.exists(F.sequence(F.lit(1), F.length(a) - before), lambda j: F.contains(F.col(b), F.substring(F.col(a), j, before + 1)) & (j + before <= F.length(a)))
+    sure = F.when(2 * F.greatest(before, behind) >= (least + 1e-9) * whole, True).when((before >= behind) & (2 * (before + behind) >= (least + 1e-9) * whole), ~longer).otherwise(False)
+    open_pair = lambda c: F.when(~sure, F.col(c))
+    return sure | (gestalt(open_pair(a), open_pair(b)) >= least)
+
+
 def counted(text: Column) -> Column:
     """A string's characters, each with its number among the equal ones before it: what two strings share of these, they share as multisets."""
     chars = F.split(text, "")

@@ -67,3 +67,21 @@ def nearest(typed: DataFrame, true: DataFrame) -> DataFrame:
     rest = every.join(found.select(F.col("a").alias("known")), F.col("a").eqNullSafe(F.col("known")), "left_anti")
     top = true.agg(F.max("s").alias("b")).first()["b"]
     return found.unionByName(rest.select("a", F.lit(top).cast("string").alias("b"), F.lit(0.0).alias("ratio")))
+
+
+def one_edit(terms: DataFrame) -> DataFrame:
+    """``term``, ``near`` (the greater) and ``at``: all pairs of different strings (term) of which one character, the one at ``at``, is changed, added or left out.
+
+    A string has a row for each of its characters, of which no pair meets twice: of equal ones in a row, any may be what is left out, and the last stands
+    for them. Rows hold a hash of what is left, as a number is sorted fast, and pairs that meet are compared. The joins are by sorting: Spark takes
+    those rows for as few as the strings, and would send them to the driver to share them.
+    """
+    each = terms.select("term", F.explode(F.sequence(F.lit(1), F.length("term"))).alias("at")).where("length(term) > 0")
+    less = lambda c, at: F.concat(F.substring(F.col(c), F.lit(1), F.col(at) - 1), F.substring(F.col(c), F.col(at) + 1, F.length(c)))
+    keyed = each.select("term", "at", F.xxhash64("at", less("term", "at")).alias("key"))
+    other = keyed.select(F.col("term").alias("near"), F.col("at").alias("near_at"), "key").hint("merge")
+    changed = keyed.join(other, "key").where((F.col("term") < F.col("near")) & (F.col("at") == F.col("near_at")) & (less("term", "at") == less("near", "near_at")))
+    last = each.where("at = length(term) OR substr(term, at, 1) != substr(term, at + 1, 1)")
+    longer = last.select(F.col("term").alias("long"), "at", F.xxhash64(less("term", "at")).alias("key"))
+    left_out = longer.join(terms.select(F.col("term").alias("short"), F.xxhash64("term").alias("key")).hint("merge"), "key").where(less("long", "at") == F.col("short"))
+    return changed.select("term", "near", "at").unionByName(left_out.select(F.least("long", "short").alias("term"), F.greatest("long", "short").alias("near"), "at"))

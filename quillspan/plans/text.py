@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.similarity import gestalt
+from ..functions.similarity import similar_edit
 from ..operators.scan import is_write
-from ..operators.similar import nearest
+from ..operators.similar import nearest, one_edit
 from ..session import table
 from .registry import query
 
@@ -86,14 +86,11 @@ _TERMS = "(SELECT DISTINCT regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') A
 def edit_match(spark: SparkSession, sf: str) -> DataFrame:
     """Names of four letters or more, one added, changed or left-out character apart, wherever it is, and of a gestalt ratio of 0.7 or more.
 
-    Two such names have a string in common that either is, or becomes by leaving out one character: they meet under it, and edit distance decides.
+    Names of one length meet under what is left without the changed character and its place, names of two lengths where the longer without a character
+    is the shorter: every pair once.
     """
     terms = table(spark, sf, "customer").select(F.regexp_replace(F.lower("c_name"), "[^a-z0-9]", "").alias("term")).distinct().where("length(term) >= 4")
-    without = F.expr("transform(sequence(1, length(term)), i -> concat(substr(term, 1, i - 1), substr(term, i + 1)))")
-    keyed = terms.select("term", F.explode(F.array_distinct(F.concat(F.array("term"), without))).alias("key"))
-    other = keyed.select(F.col("term").alias("near"), "key")
-    met = keyed.join(other, "key").where((F.col("term") < F.col("near")) & (F.levenshtein("term", "near") == 1)).select("term", "near").distinct()
-    return met.where(gestalt("term", "near") >= 0.7)
+    return one_edit(terms).where(similar_edit("term", "near", "at", 0.7)).select("term", "near")
 
 
 @query()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import similarity
 from quillspan.operators import phrases, similar
-from quillspan.plans import registry, schema  # noqa: F401  (the modules of queries in their order)
+from quillspan.plans import registry, schema, text  # noqa: F401  (the modules of queries in their order)
 from quillspan.session import ship, table
 
 
@@ -44,6 +44,20 @@ def test_similar_pairs_against_all_pairs(spark):
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
 
 
+def test_one_edit_against_all_pairs(spark, tmp_path):
+    """Names met by sorting, whatever Spark takes their rows for, each pair once; the ratio decides those that lengths don't."""
+    rng = random.Random(6)
+    names = list({"".join(rng.choice(letters) for _ in range(rng.randrange(1, 11))) for letters in ("ab", "abc", "ab12") for _ in range(250)} | {"aabb", "abbb", "customer7", "customer77", "customer78"})
+    spark.createDataFrame([(n, x) for n, x in enumerate(names + names[:9])], "c_custkey long, c_name string").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    found = text.edit_match(spark, str(tmp_path))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    near = {(a, b) for a in names for b in names if len(a) >= 4 and len(b) >= 4 and a < b and one_edit(a, b)}
+    want = Counter((a, b) for a, b in near if true_ratio(a, b) >= 0.7)
+    assert rows_of(found) == want and len(near) > len(want) > 400
+    pairs = similar.one_edit(column(spark, names, "term"))
+    assert rows_of(pairs.select("term", "near")) == Counter((a, b) for a in names for b in names if a < b and one_edit(a, b))
+
+
 def test_nearest_against_all_pairs(spark):
     ship(spark)
     rng = random.Random(3)
