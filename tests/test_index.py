@@ -70,3 +70,22 @@ def test_rows_meet_many_queries_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "SHARED_QUERIES", 7)
     left, right = spark.range(50).withColumnRenamed("id", "a"), spark.range(20).withColumnRenamed("id", "b")
     assert Counter((r.a, r.b) for r in retrieval.against(left, right).collect()) == Counter((a, b) for a in range(50) for b in range(20))
+
+
+def test_blocks_of_vectors_are_scoring_every_pair(spark, monkeypatch):
+    """Whole products of blocks give the rows that pairs by themselves give: with copies, ties of rounding, nulls, numbers without end and other lengths."""
+    for name, value in {"ROW_BLOCKS": 3, "LEAST_ROWS": 20, "BLOCK_ROWS": 40, "BLOCK_QUERIES": 7, "BLOCK_SCORES": 90, "BLOCK_SUMS": 11}.items():
+        monkeypatch.setattr(retrieval, name, value)
+    rng = random.Random(3)
+    made = [[rng.choice([-0.5, 0.0, 0.25, 1e-7, rng.gauss(0, 1)]) for _ in range(4)] for _ in range(150)]
+    made += [made[0]] * 40 + [[0.5e-6, 0, 0, 0], [1.5e-6, 0, 0, 0], [2.5e-6, 1e-12, 0, 0], [1.0, 0, 0, 0], [-1.0, 0, 0, 0], [3e7, 2e7, 1.0, 0]]
+    odd = [None, [], [1.0], [1.0, None, 0.0, 0.0], [float("nan"), 0.0, 0.0, 0.0], [float("inf"), 0.0, 1.0, 0.0], [1e200, 1.0, 0.0, 0.0]]
+    for extra, most in (([], 1), (odd, 5), (odd, 500)):
+        rows = [*enumerate(made + extra), (None, [0.1, 0.2, 0.3, 0.4])] if extra else [*enumerate(made)]
+        vectors = spark.createDataFrame([(i, None if v is None else [None if x is None else float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>").repartition(3)
+        queries = vectors.where("vec_id % 9 = 0 OR vec_id > 185").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+        found = retrieval.dense(vectors, queries, most)
+        assert "CoGroup" in found._jdf.queryExecution().executedPlan().toString()
+        pairs = vectors.crossJoin(queries).select("qid", "vec_id", F.round(retrieval.dot(F.col("embedding"), F.col("q")), 6).alias("score"))
+        plain = lambda df: Counter((r.qid, r.vec_id, str(r.score + 0.0 if r.score is not None else None), r["rank"]) for r in df.collect())
+        assert plain(found) == plain(retrieval.ranked(pairs, "score", ["qid"], "vec_id", most))
