@@ -82,15 +82,19 @@ def vector_backfill(spark: SparkSession, sf: str) -> DataFrame:
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""")
 def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The vectors nearest to each one whose id is divisible by 100, itself included."""
+    return nearest_vectors(spark, sf, 20)
+
+
+def nearest_vectors(spark: SparkSession, sf: str, most: int) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
-    return R.dense(vectors, vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), 20)
+    return R.dense(vectors, vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), most)
 
 
 @query("""SELECT * FROM (SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM
 (SELECT q.vec_id AS qid, v.vec_id, round(list_inner_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings v CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q)) WHERE rank <= 3 AND score >= 0.4""")
 def vector_threshold(spark: SparkSession, sf: str) -> DataFrame:
     """Term binding by similarity: at most three matches, of 0.4 or more."""
-    return dense_topk(spark, sf).where("rank <= 3 AND score >= 0.4")
+    return nearest_vectors(spark, sf, 3).where("score >= 0.4")
 
 
 @query(f"WITH {_BM25}, {_DENSE}, {_FUSED} SELECT qid, doc_id, dense_rank, sparse_rank, rrf, rank FROM fu WHERE rank <= 6")
