@@ -122,7 +122,7 @@ def rerank_fallback(spark: SparkSession, sf: str) -> DataFrame:
 def citations(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     hits = searched(spark, sf).bm25(questions(spark), 6)
-    return hits.join(docs, "doc_id").select("qid", "rank", "doc_id", "source", "lang", F.round("score", 4).alias("score"), snippet(F.col("text")).alias("snippet"))
+    return docs.join(F.broadcast(hits), "doc_id").select("qid", "rank", "doc_id", "source", "lang", F.round("score", 4).alias("score"), snippet(F.col("text")).alias("snippet"))
 
 
 @query(f"""WITH {_BM25} SELECT qid, string_agg('[' || rank || '] ' || source || ' #' || doc_id, chr(10) ORDER BY rank) AS context FROM bm JOIN documents USING (doc_id) WHERE rank <= 6 GROUP BY 1""")

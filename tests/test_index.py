@@ -89,3 +89,39 @@ def test_blocks_of_vectors_are_scoring_every_pair(spark, monkeypatch):
         pairs = vectors.crossJoin(queries).select("qid", "vec_id", F.round(retrieval.dot(F.col("embedding"), F.col("q")), 6).alias("score"))
         plain = lambda df: Counter((r.qid, r.vec_id, str(r.score + 0.0 if r.score is not None else None), r["rank"]) for r in df.collect())
         assert plain(found) == plain(retrieval.ranked(pairs, "score", ["qid"], "vec_id", most))
+
+
+def shuffled(spark):
+    """Bytes that all tasks so far have written for others to read."""
+    return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+
+def test_texts_and_postings_are_not_shuffled(spark, tmp_path):
+    """An index of texts with many different tokens: what is dealt out is the ids and each task's count of a term."""
+    texts = [" ".join(f"{n % 50}x{k % 90}" for k in range(n, n + 600)) for n in range(600)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(2)
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs, before = spark.read.parquet(f"{tmp_path}/docs"), shuffled(spark)
+    held = index.build(docs, f"{tmp_path}/index")
+    assert shuffled(spark) - before < sum(map(len, texts)) / 10
+    questions = spark.createDataFrame([(1, "1x1 2x2 3x3 3x3"), (2, "49x89")], "qid int, question string")
+    assert rows(held.bm25(questions, 7)) == rows(retrieval.bm25(docs, questions, 7))
+
+
+def test_rows_of_one_id_are_counted_together(spark, tmp_path):
+    again = [(5, "w1 w2 w3"), (5, "w1 w1 rare"), (5, "w2"), (7, None), (7, "w1"), (8, "rare"), (8, "rare")]
+    docs, questions = made(spark, 60).union(spark.createDataFrame(again, "doc_id long, text string")), asked(spark)
+    held = index.build(docs, f"{tmp_path}/index")
+    assert rows(held.bm25(questions, 50)) == rows(retrieval.bm25(docs, questions, 50)) and rows(held.dense(questions, 50)) == rows(retrieval.dense_texts(docs, questions, 50))
+
+
+def test_hits_are_shared_and_texts_stay(spark, sf):
+    """The few hits go to the texts; joined by sorting, all texts were shuffled."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cited, again = (f(spark, sf)._jdf.queryExecution().executedPlan().toString() for f in (plans.citations, plans.rerank_fallback))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for plan in (cited, again):
+        join = plan.index("BroadcastHashJoin [doc_id")
+        assert "Exchange" not in plan[join : plan.index("text#", plan.index("FileScan", join))]
