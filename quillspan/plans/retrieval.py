@@ -113,7 +113,7 @@ SELECT qid, doc_id, rrf, round(len(list_intersect(qw, dw)) / len(qw), 6) AS rera
 def rerank_fallback(spark: SparkSession, sf: str) -> DataFrame:
     """The fused candidates by token overlap, then fused score."""
     docs, asked = table(spark, sf, "documents"), questions(spark)
-    hits = searched(spark, sf).hybrid(asked, 20).join(asked, "qid").join(docs.select("doc_id", "text"), "doc_id")
+    hits = docs.select("doc_id", "text").join(F.broadcast(searched(spark, sf).hybrid(asked, 20).join(asked, "qid")), "doc_id")  # 20 of a question
     scored = hits.select("qid", "doc_id", "rrf", F.round(R.overlap(F.col("question"), F.col("text")), 6).alias("rerank"))
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("rerank"), F.desc("rrf"), "doc_id")))
 
