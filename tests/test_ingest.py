@@ -111,3 +111,25 @@ def test_maps_merge(spark):
     none = F.lit(None).cast("map<string,string>")
     row = spark.range(1).select(merged(about(a="1", b="1"), about(b="2", c="2")).alias("x"), merged(none, about(a="1")).alias("y"), merged(about(a="1"), none).alias("z")).first()
     assert row.x == {"a": "1", "b": "2", "c": "2"} and row.y == row.z == {"a": "1"}
+
+
+def test_texts_are_not_dealt_out_nor_kept(spark, tmp_path):
+    """Two rounds of texts that don't compress: hashes and counts alone are shuffled, and no text is kept beside the store."""
+    import hashlib
+    from pathlib import Path
+
+    spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    kept = lambda: sum(p.stat().st_size for p in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).rglob("part-*")) if spark.sparkContext.getCheckpointDir() else 0
+    text = lambda n, v: "\n".join(" ".join(hashlib.md5(f"{n} {v} {i} {k}".encode()).hexdigest() for k in range(10)) + "." for i in range(40))
+    first, second = [(n, text(n, 0)) for n in range(60)], [(n, text(n, n % 2)) for n in range(70)] + [(3, "Another text of the id.")]
+    base = knowledge_base(spark, f"{tmp_path}/base", 4)
+    shuffled, held_before = written(), kept()
+    ingest(base, docs(spark, first))
+    ingest(base, docs(spark, second))
+    whole = sum(len(t) for _, t in first + second)
+    assert written() - shuffled < whole / 10 and kept() - held_before < whole / 10
+    rows = {r.doc_id: r.all for r in base.read("chunk").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_chunk", "text"))), lambda x: x["text"]), "").alias("all")).collect()}
+    assert {n: t.split() for n, t in rows.items() if n != 3} == {n: t.split() for n, t in dict(second).items() if n != 3} and rows[3].split()[0] in ("Another", text(3, 1).split()[0])
+    assert {n: v[1] == v[2] for n, v in held(base).items()} == dict.fromkeys(range(70), True)
+    assert base.read("chunk").where("size(embedding) = 64").count() == base.read("chunk").count()
